@@ -11,6 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: module and query of each operator
 QUERIES = {
+    "op2_mixture": "mixing",
+    "op3_best_fit_packing": "packing",
     "op5_shard_table": "sharding",
     "op10_media_columns": "media",
 }
