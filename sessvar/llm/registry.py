@@ -13,7 +13,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES = {
     "op2_mixture": "mixing",
     "op3_best_fit_packing": "packing",
+    "op4_pseudonyms": "pii",
     "op5_shard_table": "sharding",
+    "op8_line_dedup": "lines",
     "op10_media_columns": "media",
 }
 
@@ -23,4 +25,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import lines
+
+    return {"op8_line_dedup": lines.SQL}
