@@ -15,6 +15,7 @@ QUERIES = {
     "op3_best_fit_packing": "packing",
     "op4_pseudonyms": "pii",
     "op5_shard_table": "sharding",
+    "op7_simhash_components": "simhash",
     "op8_line_dedup": "lines",
     "op10_media_columns": "media",
 }
