@@ -15,8 +15,10 @@ QUERIES = {
     "op3_best_fit_packing": "packing",
     "op4_pseudonyms": "pii",
     "op5_shard_table": "sharding",
+    "op6_quality_rules": "rules",
     "op7_simhash_components": "simhash",
     "op8_line_dedup": "lines",
+    "op9_quality": "quality",
     "op10_media_columns": "media",
 }
 
