@@ -27,7 +27,7 @@ SHARD_SLOTS = 65_536
 MOST_PASSES = 3
 SEED = 20_240_229
 #: Documents in a hash bucket, within which positions are summed in one task.
-BUCKET_DOCUMENTS = 20_000
+BUCKET_DOCUMENTS = 1_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -85,7 +85,7 @@ def _numbered(sized: DataFrame, n_docs: int) -> DataFrame:
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     bases = sized.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(bases, ["source_no", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
+    return placed.join(bases.hint("merge"), ["source_no", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
 
 
 class Mix:
@@ -161,7 +161,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_no and the words that the mix takes of each document row, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        joined = self.pieces.join(times, ["source_no", "block"], "left")
+        joined = self.pieces.join(times.hint("merge"), ["source_no", "block"], "left")  # both sides grow with the input
         words = F.sum(F.col("n_words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken")
         # at and the rest tell rows of one doc_id apart; equal rows without words are counted one by one
         by = ["source_no", "at", "doc_id", "size", "text_hash"]
@@ -170,7 +170,7 @@ class Mix:
 
     def spans(self) -> DataFrame:
         """shard, order_key, source_no, turn, block and the span of words (start, n_words) of the document that fills it."""
-        held = self.pieces.filter("n_words > 0").join(self.slots, ["source_no", "block"])
+        held = self.pieces.filter("n_words > 0").join(self.slots.hint("merge"), ["source_no", "block"])
         return held.withColumn("order_key", F.xxhash64("shard", "source_no", "turn", "block"))
 
 
@@ -194,7 +194,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     empty = F.array().cast("array<struct<start:bigint,n_words:bigint>>")
     runs = found.withColumn("run", F.explode(F.aggregate("parts", empty, joined)))
-    runs = runs.join(numbered, ["source_no", "at"])
+    runs = runs.join(numbered.hint("merge"), ["source_no", "at"])
     runs = runs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "copy", "turn", "size", "run").hint("shuffle_hash")
     whole = docs.select(*common.DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     ranked = whole.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0))))

@@ -27,7 +27,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in a bucket, within which those of a length are numbered in one task.
-BUCKET_PIECES = 100_000
+BUCKET_PIECES = 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -132,7 +132,7 @@ def _ranked(cut: DataFrame, n: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = bucketed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    return bucketed.withColumn("inside", F.row_number().over(inside)).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inside") - 1).drop("bucket", "base", "inside")
+    return bucketed.withColumn("inside", F.row_number().over(inside)).join(bases.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inside") - 1).drop("bucket", "base", "inside")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

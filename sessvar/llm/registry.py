@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: module and query of each operator
 QUERIES = {
+    "op1_context_mixing": "scoring",
     "op2_mixture": "mixing",
     "op3_best_fit_packing": "packing",
     "op4_pseudonyms": "pii",

@@ -13,8 +13,8 @@ import os
 import numpy as np
 import regex
 
-#: Words and parts that a worker remembers; the tables start afresh when full, which changes no result.
-REMEMBERED = 250_000
+#: Words, and parts, that a worker remembers, some 250 bytes each; the tables start afresh when full, which changes no result.
+REMEMBERED = 600_000
 #: Parts merged in one call.
 GROUP = 16
 
@@ -33,6 +33,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def parts_of(text: str) -> list[str]:
+    """The parts of a PLAIN word; the two commonest shapes, letters and letters with a mark after them, need no pattern."""
+    low = text.lower()
+    if low.isalpha():
+        return [low]
+    if low[:-1].isalpha() and not low[-1].isnumeric():
+        return [low[:-1], low[-1]]
+    return PARTS.findall(low)
+
+
 class WordEncoder:
     """bytes of little-endian unsigned 32-bit ids for UTF-8 texts."""
 
@@ -72,7 +82,7 @@ class WordEncoder:
         for word in words:
             text = word.decode()
             if PLAIN.fullmatch(text) and MARKER not in text:
-                plain[word] = PARTS.findall(text.lower())
+                plain[word] = parts_of(text)
             else:
                 odd.append((word, text))
         needed = {p for parts in plain.values() for p in parts}
@@ -96,7 +106,7 @@ class WordEncoder:
         start = 0
         while start < len(split):
             end, size = start, 0
-            while end < len(split) and (end == start or size + len(split[end]) <= REMEMBERED // 4):
+            while end < len(split) and (end == start or size + len(split[end]) <= max(REMEMBERED // 8, 1)):
                 size += len(split[end])
                 end += 1
             known = self.words
