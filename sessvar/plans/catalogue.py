@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
+from . import registry
+
+
+def _load() -> None:
+    for module in pkgutil.iter_modules(importlib.import_module(__package__).__path__):
+        if module.name.endswith("_queries"):
+            importlib.import_module(f"{__package__}.{module.name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return registry.SQL
