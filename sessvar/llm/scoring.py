@@ -39,7 +39,7 @@ TABLE_BITS = 21
 OWN_CLASS, COMMON = 1024, 64
 FOLDS = 10
 #: Bytes of text coded at a time; rate of the weights; additive constant of the counts.
-CHUNK = 400_000
+CHUNK = 100_000
 RATE = 0.3
 DELTA = 0.4
 #: Distinct words that a task counts before it passes its counts on.
@@ -47,6 +47,10 @@ HELD_WORDS = 400_000
 PREDICTORS = 3
 GATES = 2 * 4 * 4 * 4
 STEPS = 33
+#: Mixed odds lie within plus and minus MOST, in so many LEVELS a unit.
+MOST, LEVELS = 16, 16
+#: Tasks that add up mixers before they are collected.
+ADDERS = 64
 BLOCK = 1 << 16
 
 #: The end token, which no word can be, and the byte that ends a spelled word.
@@ -108,9 +112,47 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    """Well mixed 32-bit hashes of whole numbers."""
+    x = x.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+@dataclass
+class Tree:
+    """A Huffman tree with what is needed at each step of each path: the bit, a hash of the node, how deep (and in which tree)."""
+
+    offset: np.ndarray
+    length: np.ndarray
+    bit: np.ndarray
+    node: np.ndarray
+    depth: np.ndarray
+
+    @classmethod
+    def of(cls, weights: list[int], kind: int) -> Tree:
+        offset, length, nodes, bits = huffman(weights)
+        step = np.arange(len(nodes)) - np.repeat(offset, length)
+        deep = (step > 2).astype(np.uint8) + (step > 5) + (step > 9)
+        return cls(offset.astype(np.int32), length.astype(np.int32), bits.astype(np.uint8), _mix(nodes * 2 + kind), ((deep + 4 * kind) * 16).astype(np.uint8))
+
+
+@dataclass
+class Stream:
+    """Bits in one tree, in order of documents: the bit, its slot for each predictor, the depth's part of its gate, the first bit of each document and, last, their number."""
+
+    bit: np.ndarray
+    slots: list[np.ndarray]
+    depth: np.ndarray
+    starts: np.ndarray
+
+    def by_document(self, value: np.ndarray) -> np.ndarray:
+        """Sums over each document's bits, in their order whatever the other documents."""
+        out = np.zeros(len(self.starts) - 1)
+        some = np.flatnonzero(self.starts[1:] > self.starts[:-1])
+        if len(some):
+            out[some] = np.add.reduceat(value, self.starts[some], dtype=np.float64)
+        return out
 
 
 @dataclass
@@ -122,43 +164,46 @@ class Coder:
     escapes: int
     ends: int
     table_bits: int
-    words: tuple = field(init=False)
-    letters: tuple = field(init=False)
+    words: Tree = field(init=False)
+    letters: Tree = field(init=False)
 
     def __post_init__(self) -> None:
         n = len(self.head)
         self.escape, self.end = n, n + 1
         self.last_letter = np.array([w[-1] for w in self.head] + [0, 0], np.int64)
-        self.words = huffman([int(c) for c in self.head_counts] + [self.escapes + 1, self.ends + 1])
+        self.words = Tree.of([int(c) for c in self.head_counts] + [self.escapes + 1, self.ends + 1], 0)
         seen = np.bincount(np.frombuffer(b" ".join(self.head) + b" ", np.uint8), minlength=256) + 1
-        self.letters = huffman(seen.tolist())
+        self.letters = Tree.of(seen.tolist(), 1)
 
-    def code(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """(words of each text, head id or -1 of every token with ends, document of each bit, bit, slot for each predictor, how deep in which tree)."""
+    def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, list[Stream]]:
+        """(tokens of each text, head id or -1 of every token with ends, words not in the head, the text of each, streams of bits)."""
         found = [tokens(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in found], np.int64)
         last = np.cumsum(sizes) - 1
+        flat = list(itertools.chain.from_iterable(found))
         get = self.head.get
         ids = np.full(int(sizes.sum()), -1, np.int64)
         inside = np.ones(len(ids), bool)
         inside[last] = False
-        ids[inside] = np.fromiter((get(w, -1) for ws in found for w in ws), np.int64, int(inside.sum()))
-        rare = [w for ws in found for w in ws if w not in self.head]
+        ids[inside] = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
         unknown = (ids < 0) & inside
+        at_unknown = np.flatnonzero(unknown)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        rare = [flat[i] for i in (at_unknown - doc[at_unknown]).tolist()]
         symbol = np.where(unknown, self.escape, ids)
         symbol[last] = self.end
-        doc = np.repeat(np.arange(len(texts)), sizes)
         first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
         kind = np.where(symbol < OWN_CLASS, symbol, OWN_CLASS + self.last_letter[symbol])
-        kind[unknown] = OWN_CLASS + np.fromiter((w[-1] for w in rare), np.int64, len(rare))
+        kind[at_unknown] = OWN_CLASS + np.fromiter((w[-1] for w in rare), np.int64, len(rare))
         previous = np.concatenate([[0], kind[:-1] + 1])
         previous[first] = 0
         # the last two very common words before each token of its document
         common_at = np.flatnonzero(symbol < min(COMMON, len(self.head)))
         rank = np.searchsorted(common_at, np.arange(len(symbol)), side="left")
         padded = np.concatenate([[-1, -1], common_at])
-        recent = [np.where((at := padded[rank + 1 - k]) >= first[doc], symbol[np.maximum(at, 0)] + 1, 0) for k in (0, 1)]
-        streams = [self._bits(self.words, symbol, doc, [np.zeros(len(symbol), np.int64), previous, recent[0] * (COMMON + 1) + recent[1]], 0)]
+        start_of = first[doc]
+        recent = [np.where((at := padded[rank + 1 - k]) >= start_of, symbol[np.maximum(at, 0)] + 1, 0) for k in (0, 1)]
+        streams = [self._bits(self.words, symbol, sizes, [None, previous, recent[0] * (COMMON + 1) + recent[1]])]
         if rare:
             raw = np.frombuffer(b" ".join(rare) + b" ", np.uint8).astype(np.int64)
             lengths = np.array([len(w) + 1 for w in rare], np.int64)
@@ -166,50 +211,42 @@ class Coder:
             back = [np.where(place >= k, np.concatenate([np.full(k, STOP), raw[:-k]])[: len(raw)], STOP) for k in (1, 2, 3, 4)]
             contexts = [back[0] << 8 | back[1]]
             contexts += [contexts[0] << 8 | back[2], (contexts[0] << 8 | back[2]) << 8 | back[3]]
-            streams.append(self._bits(self.letters, raw, np.repeat(doc[unknown], lengths), contexts, 1))
-        of_doc, bit, depth, *slots = (np.concatenate([s[i] for s in streams]) for i in range(3 + PREDICTORS))
-        depth[len(streams[0][1]) :] += 4
-        return found, ids, of_doc, bit, slots, depth
-
-    def _bits(self, tree: tuple, symbol: np.ndarray, doc: np.ndarray, contexts: list[np.ndarray], kind: int) -> tuple[np.ndarray, ...]:
-        offset, length, nodes, bits = tree
-        n = length[symbol]
-        at = np.arange(int(n.sum())) + np.repeat(offset[symbol] - (np.cumsum(n) - n), n)
-        node = nodes[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        slots = []
+            letters = np.bincount(doc[at_unknown], lengths, len(texts)).astype(np.int64)
+            streams.append(self._bits(self.letters, raw, letters, contexts))
+        return sizes, ids, rare, doc[at_unknown], streams
+
+    def _bits(self, tree: Tree, symbol: np.ndarray, sizes: np.ndarray, contexts: list[np.ndarray | None]) -> Stream:
+        """``sizes``: symbols of each document. A context of None is none at all."""
+        n = tree.length[symbol]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        at = np.arange(ends[-1], dtype=np.int32)
+        at += np.repeat(tree.offset[symbol] - ends[:-1].astype(np.int32), n)
+        at = at.astype(np.intp)
+        node, slots = tree.node[at], []
         for k, context in enumerate(contexts):
-            seed = _mix(context.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2 * k + kind + 1))
-            mixed = (np.repeat(seed, n) ^ node) * np.uint64(0xFF51AFD7ED558CCD)
-            slots.append((mixed >> np.uint64(64 - self.table_bits)).astype(np.int64))
-        depth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return (np.repeat(doc, n), bits[at], (depth > 2).astype(np.int64) + (depth > 5) + (depth > 9), *slots)
-
-
-def gates(seen1: np.ndarray, seen2: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Which weights mix a bit: its depth and tree, and how often the longer two contexts were seen (0, few, some, many)."""
-    return (depth * 4 + seen1) * 4 + seen2
+            mixed = node.copy() if context is None else np.repeat(_mix(context * 4 + k + 1), n) ^ node
+            mixed *= np.uint32(0x9E3779B1)
+            mixed >>= np.uint32(32 - self.table_bits)
+            slots.append(mixed.astype(np.intp))
+        return Stream(tree.bit[at], slots, tree.depth[at], ends[np.concatenate([[0], np.cumsum(sizes)])])
 
 
 def _seen(total: np.ndarray) -> np.ndarray:
-    return ((total > 0).astype(np.int64) + (total > 2) + (total > 12)).astype(np.int64)
+    """None, few, some, many."""
+    return (total > 0).astype(np.uint32) + (total > 2) + (total > 12)
 
 
 def _step(mixed: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(mixed * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
 
-def _log(counts: np.ndarray) -> np.ndarray:
-    return LOGS[np.minimum(counts, len(LOGS) - 1)]
-
-
-LOGS = np.log(np.arange(1 << 16) + DELTA)
 #: The middle of each cell of the refinement.
 MIDDLE = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
 
 
 @dataclass
 class Tables:
-    """Counts of zeros and ones by predictor and slot."""
+    """Counts of zeros and ones by predictor and slot, next to each other."""
 
     coder: Coder
     counts: np.ndarray
@@ -218,14 +255,6 @@ class Tables:
     def empty(cls, coder: Coder) -> Tables:
         return cls(coder, np.zeros((PREDICTORS, 2 << coder.table_bits), np.uint32))
 
-    @classmethod
-    def of(cls, coder: Coder, parts: list[tuple[int, int, bytes]]) -> Tables:
-        tables, unpack = cls.empty(coder), zstandard.ZstdDecompressor().decompress
-        for k, block, data in parts:
-            numbers = np.frombuffer(unpack(data), np.uint64)
-            tables.counts[k, block * BLOCK :][: len(numbers)] = np.minimum(numbers, 2**32 - 1)
-        return tables
-
     def parts(self) -> Iterator[tuple[int, int, bytes]]:
         """(table, block, compressed counts) of blocks that are not empty."""
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -235,22 +264,55 @@ class Tables:
                     yield k, at // BLOCK, pack(flat[at : at + BLOCK].astype(np.uint64).tobytes())
 
     def learn(self, texts: list[bytes]) -> None:
-        _, _, _, bit, slots, _ = self.coder.code(texts)
-        for k in range(PREDICTORS):
-            np.add.at(self.counts[k], slots[k] * 2 + bit, np.uint32(1))
-
-    def look(self, bit: np.ndarray, slots: list[np.ndarray], depth: np.ndarray, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The predictors' log odds of each bit, and its gate. ``without_own``: as if the bit had not been counted."""
-        odds, seen = [], []
-        for k in range(PREDICTORS):
-            zeros, ones = self.counts[k][slots[k] * 2].astype(np.int64), self.counts[k][slots[k] * 2 + 1].astype(np.int64)
-            if without_own:
-                zeros -= 1 - bit
-                ones -= bit
-            odds.append(_log(ones) - _log(zeros))
-            if k:
-                seen.append(_seen(zeros + ones))
-        return np.stack(odds), gates(*seen, depth)
+        for stream in self.coder.code(texts)[-1]:
+            for k in range(PREDICTORS):
+                np.add.at(self.counts[k], stream.slots[k] * 2 + stream.bit, np.uint32(1))
+
+
+@dataclass
+class Odds:
+    """The predictors' log odds by slot; the lowest two bits of each number tell how often its slot was seen.
+
+    ``without_own``: two numbers a slot, as if the bit at hand, zero or one, had not been counted.
+    """
+
+    coder: Coder
+    odds: np.ndarray
+    without_own: bool
+
+    @classmethod
+    def of(cls, coder: Coder, parts: list[tuple[int, int, bytes]], without_own: bool) -> Odds:
+        each, unpack = 2 if without_own else 1, zstandard.ZstdDecompressor().decompress
+        odds = np.zeros((PREDICTORS, each << coder.table_bits), np.float32)
+        for k, block, data in parts:
+            counts = np.frombuffer(unpack(data), np.uint64).astype(np.float64).reshape(-1, 2)
+            for own in range(each):
+                zeros, ones = counts[:, 0], counts[:, 1]
+                if without_own:
+                    zeros, ones = (np.maximum(zeros - 1, 0), ones) if own == 0 else (zeros, np.maximum(ones - 1, 0))
+                value = (np.log(ones + DELTA) - np.log(zeros + DELTA)).astype(np.float32)
+                value = (value.view(np.uint32) & np.uint32(0xFFFFFFFC) | _seen(zeros + ones)).view(np.float32)
+                odds[k, block * (BLOCK // 2) * each + own :: each][: len(value)] = value
+        return cls(coder, odds, without_own)
+
+    def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictors' log odds of each bit, and its gate: its depth and tree, and how often the longer two contexts were seen."""
+        found = [self.odds[k][s * 2 + stream.bit if self.without_own else s] for k, s in enumerate(stream.slots)]
+        gate = stream.depth.astype(np.uint32)
+        gate += (found[1].view(np.uint32) & np.uint32(3)) << np.uint32(2)
+        gate += found[2].view(np.uint32) & np.uint32(3)
+        return found, gate.astype(np.intp)
+
+
+_HELD: list = []
+
+
+def held_odds(parts: tuple, without_own: bool) -> Odds:
+    """The odds of what was broadcast, made once for each worker that is used again."""
+    if not (_HELD and _HELD[0] is parts and _HELD[1] == without_own):
+        _HELD.clear()
+        _HELD.extend([parts, without_own, Odds.of(*parts, without_own)])
+    return _HELD[2]
 
 
 @dataclass
@@ -260,11 +322,16 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, PREDICTORS), 0.4))
     turned: np.ndarray = field(default_factory=lambda: np.zeros((GATES, STEPS, 2)))
     used: np.ndarray = field(default_factory=lambda: np.zeros(GATES))
+    costs: np.ndarray | None = None
 
-    def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(sum(odds[k] * self.weights[gate, k] for k in range(PREDICTORS)), -30, 30)
+    def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        weights = self.weights.astype(np.float32)
+        out = odds[0] * weights[:, 0][gate]
+        for k in range(1, PREDICTORS):
+            out += odds[k] * weights[:, k][gate]
+        return np.clip(out, -MOST, MOST, out=out)
 
-    def learn(self, bit: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> None:
+    def learn(self, bit: np.ndarray, odds: list[np.ndarray], gate: np.ndarray) -> None:
         mixed = self.mixed(odds, gate)
         chance = 1 / (1 + np.exp(-mixed))
         error, slack = bit - chance, chance * (1 - chance)
@@ -272,7 +339,11 @@ class Mixer:
         self.used += np.bincount(gate, minlength=GATES)
         # a damped step for each gate, scaled by the curvature of its bits
         pull = np.stack([np.bincount(gate, error * odds[k], GATES) for k in range(PREDICTORS)], axis=1)
-        curve = np.stack([np.bincount(gate, slack * odds[j] * odds[k], GATES) for j in range(PREDICTORS) for k in range(PREDICTORS)], axis=1).reshape(GATES, PREDICTORS, PREDICTORS)
+        curve = np.zeros((GATES, PREDICTORS, PREDICTORS))
+        for j in range(PREDICTORS):
+            part = slack * odds[j]
+            for k in range(j, PREDICTORS):
+                curve[:, j, k] = curve[:, k, j] = np.bincount(gate, part * odds[k], GATES)
         step = np.linalg.solve(curve + 30 * np.eye(PREDICTORS), pull[:, :, None])[:, :, 0]
         self.weights += RATE * np.clip(step, -1, 1)
 
@@ -289,14 +360,23 @@ class Mixer:
             seen = mixer.used > 0
             mixer.weights[seen] = summed.reshape(GATES, PREDICTORS)[seen] / mixer.used[seen, None]
             mixer.turned = turned.reshape(GATES, STEPS, 2)
+        mixer.costs = mixer._costs()
         return mixer
 
-    def code_length(self, bit: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Bits that each bit takes: half by the mix, half by its refinement, in which a cell of few bits leans to its middle."""
-        mixed = self.mixed(odds, gate)
+    def _costs(self) -> np.ndarray:
+        """Bits that a zero and a one take, by gate and level of mixed odds: half by the mix, half by its refinement, in which a cell of few bits leans to its middle."""
+        level = np.arange(2 * MOST * LEVELS + 1) / LEVELS - MOST
         refined = (self.turned[:, :, 1] + 20 * MIDDLE) / (self.turned.sum(axis=2) + 20)
-        chance = 0.5 / (1 + np.exp(-mixed)) + 0.5 * refined[gate, _step(mixed)]
-        return -np.log2(np.clip(np.where(bit == 1, chance, 1 - chance), 1e-9, 1))
+        chance = 0.5 / (1 + np.exp(-level)) + 0.5 * refined[:, _step(level)]
+        return -np.log2(np.clip(np.stack([1 - chance, chance], axis=2), 1e-9, 1)).astype(np.float32).ravel()
+
+    def code_length(self, bit: np.ndarray, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Bits that each bit takes. The mixed odds are rounded to levels alike for zero and one, whose chances still add up to one."""
+        level = np.rint((self.mixed(odds, gate) + np.float32(MOST)) * np.float32(LEVELS)).astype(np.intp)
+        level += gate * (2 * MOST * LEVELS + 1)
+        level *= 2
+        level += bit
+        return self.costs[level]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,14 +438,14 @@ def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int
     parts = broadcast((coder, sorted((r["t"], r["block"], bytes(r["data"])) for r in found)))
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, mixer = None, Mixer()
+        mixer = Mixer()
         for batch in _chunks(batches):
-            tables = tables or Tables.of(*parts.value)
-            _, _, _, bit, slots, depth = tables.coder.code(common.encoded(batch))
-            mixer.learn(bit, *tables.look(bit, slots, depth, without_own=True))
+            odds = held_odds(parts.value, without_own=True)
+            for stream in odds.coder.code(common.encoded(batch))[-1]:
+                mixer.learn(stream.bit, *odds.look(stream))
         yield pa.record_batch([pa.array([mixer.packed()], pa.binary())], names=["data"])
 
-    # The mixers are added up in tasks before they are collected: as many rows as shuffle partitions, of fixed size.
+    # The mixers are added up in tasks before they are collected: as many rows as ADDERS, of fixed size.
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -374,7 +454,7 @@ def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int
         if total is not None:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["data"])
 
-    learned = training.mapInArrow(mix, "data binary").repartition(8).mapInArrow(add, "data binary").collect()
+    learned = training.mapInArrow(mix, "data binary").repartition(ADDERS).mapInArrow(add, "data binary").collect()
     return parts, Mixer.of(sorted(bytes(r["data"]) for r in learned))
 
 
@@ -393,23 +473,21 @@ def scored(docs: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, fold
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None
         key = int.from_bytes(os.urandom(7), "little")
         for batch in _chunks(batches):
-            tables = tables or Tables.of(*parts.value)
+            odds = held_odds(parts.value, without_own=False)
             texts = common.encoded(batch)
-            found, ids, doc, bit, slots, depth = tables.coder.code(texts)
-            length = mixer.code_length(bit, *tables.look(bit, slots, depth, without_own=False))
-            sizes = np.array([len(w) + 1 for w in found])
+            sizes, ids, rare, rare_doc, streams = odds.coder.code(texts)
+            bits = sum(s.by_document(mixer.code_length(s.bit, *odds.look(s))) for s in streams)
             owner = np.repeat(np.arange(len(texts)), sizes)
-            last = np.cumsum(sizes) - 1
-            ids[last] = tables.coder.end
+            ids[np.cumsum(sizes) - 1] = odds.coder.end
             in_head = (ids >= 0) & (known[ids] > -1)
-            rare = [Counter(w for w in words if w not in tables.coder.head) for words in found]
+            bounds = np.searchsorted(rare_doc, np.arange(len(texts) + 1)).tolist()
+            counters = [Counter(rare[a:b]) for a, b in itertools.pairwise(bounds)]
             columns = [
                 pa.array(np.arange(len(texts)) + key), batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes),
                 pa.array(np.bincount(owner, in_head, len(texts)).astype(np.int64)), pa.array(np.bincount(owner, np.where(ids >= 0, known[ids], 0), len(texts))),
-                pa.array(np.bincount(doc, length, len(texts))), pa.array([[{"word": w.decode(), "n": n} for w, n in c.items()] for c in rare], rare_type),
+                pa.array(bits), pa.array([[{"word": w.decode(), "n": n} for w, n in c.items()] for c in counters], rare_type),
             ]
             key += len(texts)
             yield pa.record_batch(columns, names=["row_key", "doc_id", "n_bytes", "n_tokens", "n_head", "head_sum", "bits", "rare"])
