@@ -14,9 +14,10 @@ def _star(neighbours: DataFrame, large: bool) -> DataFrame:
     """Links a node's greater neighbours (large) or its smaller ones and itself (small) to the least of them all.
 
     The least neighbour is aggregated first and joined back, so a node with very many neighbours is no one task's group.
+    The xor with zero hides that the sums already lie by node: they are dealt out anew, and so a hub's rows can be split in the join.
     """
     mine = neighbours if large else neighbours.filter("b < a")
-    least = mine.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("m", "a").alias("m"))
+    least = mine.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0)).alias("n"), F.least("m", "a").alias("m"))
     joined = mine.join(least.hint("merge"), F.col("a") == F.col("n"))
     linked = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
     return linked.filter("a <> b").distinct()
