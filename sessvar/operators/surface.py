@@ -28,8 +28,9 @@ def near_money(quotes: DataFrame, most: float = 0.15, least_sessions: int = 2) -
 
 def pairs(panel: DataFrame) -> DataFrame:
     """Call and put settlements of a strike, one pass of conditional aggregation in place of a self-join; both sides must be there."""
-    live = panel.filter((F.col("n_trades") >= LEAST_TRADES) & (F.col("settle") > 0))
-    side = lambda t: F.max(F.when(F.col("opt_type") == t, F.col("settle")))
+    live = panel.filter(F.col("n_trades") >= LEAST_TRADES)
+    # a condition of the aggregate, not a filter, which would be pushed below and repeat whatever computes the settlement
+    side = lambda t: F.max(F.when((F.col("opt_type") == t) & (F.col("settle") > 0), F.col("settle")))
     return live.groupBy(*KEY, "strike", "dte").agg(side("CE").alias("call"), side("PE").alias("put")).filter("call is not null and put is not null")
 
 
