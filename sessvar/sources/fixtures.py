@@ -54,6 +54,9 @@ VIEWS: dict[str, str] = {
     "weights": "SELECT * FROM (VALUES (0, 'Mon', 1.459e0), (1, 'Tue', 0.607e0), (2, 'Wed', 1.093e0), (3, 'Thu', 0.928e0), (4, 'Fri', 0.880e0)) AS w(wd, day, raw)",
     "spans": """SELECT * FROM (VALUES ('Mon', 1), ('Fri', 0), ('Fri', 1), ('Thu', 4), ('Thu', 0), ('Thu', 1), ('Wed', 3), ('Wed', 4), ('Wed', 0), ('Wed', 1),
                ('Tue', 2), ('Tue', 3), ('Tue', 4), ('Tue', 0), ('Tue', 1)) AS s(opened, wd)""",
+    # sessions (weekdays from 0, Monday) of each leg of the products that expire on a Tuesday: straddles, and a spread of the next two expiries
+    "legs": """SELECT concat('open_', opened) AS product, 1 AS sign, wd FROM spans UNION ALL
+        SELECT 'spread_Mon', sign, wd FROM (VALUES (1, 1), (1, 2), (1, 3), (1, 4), (1, 0), (1, 1), (-1, 1)) AS l(sign, wd)""",
     # securities transaction tax periods: start, rate on option sales and on exercised options, percent
     "stt_rates": "SELECT * FROM (VALUES (DATE '2023-04-01', 0.0625e0, 0.125e0), (DATE '2024-10-01', 0.1e0, 0.125e0), (DATE '2026-04-01', 0.15e0, 0.15e0)) AS r(start, sale_pct, exercised_pct)",
     # returns of the indices' sessions, with weekday and week
