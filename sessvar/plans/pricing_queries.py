@@ -13,7 +13,7 @@ from ..sources.fixtures import Views
 from .registry import query
 
 S, DV = number(m.SPOT), number(m.DAILY_VARIANCE)
-DRAWS, NOISE, NODES = 200, 0.1, 16
+DRAWS, NOISE, NODES = 200, 0.1, 100
 CLOCK = "ck AS (SELECT wd, day, raw / (SELECT avg(raw) FROM weights) AS w FROM weights)"
 #: Draws of the clock, by the same hashes.
 DRAWN = f"""du AS (SELECT draw, wd, raw, {uniform_sql("'clock'", 'draw', 'wd')} AS u FROM weights CROSS JOIN range(1, {DRAWS + 1}) AS r(draw)),
