@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
     # suppliers stand for stocks, the shipping month and the one after it for contracts
     "stock_futures": """SELECT sym, trade_date, expiry_no, avg(price) AS settle, sum(qty) AS vol, count(*) * 100 AS oi
         FROM (SELECT l_suppkey % 20 AS sym, CAST(l_shipdate AS DATE) AS trade_date, year(l_shipdate) * 12 + month(l_shipdate) + l_linenumber % 2 AS expiry_no,
-                     round(l_extendedprice / l_quantity, 2) AS price, CAST(l_quantity AS BIGINT) AS qty FROM lineitem) x
+                     l_extendedprice / l_quantity AS price, CAST(l_quantity AS BIGINT) AS qty FROM lineitem) x
         GROUP BY sym, trade_date, expiry_no""",
     # parts stand for (day, symbol, expiry) chains: days from a Monday on, weekly expiries on Thursdays, on Tuesdays for two symbols from week 13
     "chains": """SELECT sy, k, t, off, sym_spot AS spot, eo, es, eo - off AS dte, es - t AS dte_trd, DATE '2024-01-01' + CAST(off AS INT) AS trade_date, DATE '2024-01-01' + CAST(eo AS INT) AS expiry,
