@@ -28,24 +28,25 @@ def errors_sql(clock: str, by: str = "") -> str:
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
-    return df.select(*keys, *(F.round(c, digits).alias(c) for c in df.columns if c not in keys))
+    """Rounded columns other than ``keys``; adding nothing turns a negative zero into zero."""
+    return df.select(*keys, *((F.round(c, digits) + 0.0).alias(c) for c in df.columns if c not in keys))
 
 
-@query("entry_price_error", f"""WITH {CLOCK} SELECT opened, sessions, round(w_clock, 6) AS w_clock, round(100 * ((4e0 * {cdf_sql('dc')} - 2e0) / (4e0 * {cdf_sql('df')} - 2e0) - 1), 6) AS error_pct
+@query("entry_price_error", f"""WITH {CLOCK} SELECT opened, sessions, round(w_clock, 6) AS w_clock, round(100 * ((4e0 * {cdf_sql('dc')} - 2e0) / (4e0 * {cdf_sql('df')} - 2e0) - 1), 6) + 0e0 AS error_pct
     FROM (SELECT opened, count(*) AS sessions, sum(w) AS w_clock, sqrt(sum(w) * {DV}) / 2 AS dc, sqrt(count(*) * {DV}) / 2 AS df FROM spans JOIN ck ON spans.wd = ck.wd GROUP BY opened) x""")
 def entry_price_error(v: Views) -> DataFrame:
     opened = v.spans.join(F.broadcast(m.normalised(v.weights)), "wd").groupBy("opened").agg(F.count("*").alias("sessions"), F.sum("w").alias("w_clock"))
-    return opened.select("opened", "sessions", F.round("w_clock", 6).alias("w_clock"), F.round(100 * (m.atm(F.col("w_clock")) / m.atm(F.col("sessions").cast("double")) - 1), 6).alias("error_pct"))
+    return opened.select("opened", "sessions", F.round("w_clock", 6).alias("w_clock"), (F.round(100 * (m.atm(F.col("w_clock")) / m.atm(F.col("sessions").cast("double")) - 1), 6) + 0.0).alias("error_pct"))
 
 
-@query("calendar_spread_error", f"WITH {CLOCK}, er AS ({errors_sql('ck')}) SELECT product, round(p_clock, 6) AS p_clock, round(p_flat, 6) AS p_flat, round(p_clock / p_flat - 1, 6) AS error FROM er")
+@query("calendar_spread_error", f"WITH {CLOCK}, er AS ({errors_sql('ck')}) SELECT product, round(p_clock, 6) AS p_clock, round(p_flat, 6) AS p_flat, round(p_clock / p_flat - 1, 6) + 0e0 AS error FROM er")
 def calendar_spread_error(v: Views) -> DataFrame:
     return rounded(m.entry_errors(v.legs, m.normalised(v.weights)), "product")
 
 
-@query("entry_error_by_draw", f"WITH {DRAWN}, er AS ({errors_sql('cd', 'draw')}) SELECT draw, product, round(p_clock / p_flat - 1, 6) AS error FROM er")
+@query("entry_error_by_draw", f"WITH {DRAWN}, er AS ({errors_sql('cd', 'draw')}) SELECT draw, product, round(p_clock / p_flat - 1, 6) + 0e0 AS error FROM er")
 def entry_error_by_draw(v: Views) -> DataFrame:
-    return m.entry_errors(v.legs, m.clock_draws(v.weights, DRAWS, NOISE), "draw").select("draw", "product", F.round("error", 6).alias("error"))
+    return m.entry_errors(v.legs, m.clock_draws(v.weights, DRAWS, NOISE), "draw").select("draw", "product", (F.round("error", 6) + 0.0).alias("error"))
 
 
 @query("naive_band", f"""WITH {DRAWN}, co AS (SELECT wd, 0 AS corner, quantile_cont(w, 0.025) AS w FROM cd GROUP BY wd UNION ALL SELECT wd, 1, quantile_cont(w, 0.975) FROM cd GROUP BY wd),
@@ -66,7 +67,7 @@ def _notional_sql(v: str) -> str:
 @query("stt_effect", f"""WITH {_OPEN}, nc AS ({_notional_sql('v_clock')}), nf AS ({_notional_sql('v_flat')}),
     pr AS (SELECT *, {S} * (4e0 * {cdf_sql('dc')} - 2e0) AS c, {S} * (4e0 * {cdf_sql('df')} - 2e0) AS f FROM (SELECT *, sqrt(v_clock) / 2 AS dc, sqrt(v_flat) / 2 AS df FROM xr) q)
     SELECT pr.start, pr.opened, sessions, round(c, 6) AS price_clock, round(f, 6) AS price_flat, round((1 - e) * c, 6) AS long_max, round(c / (1 - p), 6) AS short_min, round(e * c, 6) AS exercise_tax, round(p * c / (1 - p), 6) AS premium_tax,
-           round(1 / (1 - p) - 1 + e, 6) AS band, round(c / f - 1, 6) AS err_frictionless, round((c - e * {S}) / (f - e * {S}) - 1, 6) AS err_forced, round(nc.nb / nf.nb - 1, 6) AS err_optimal
+           round(1 / (1 - p) - 1 + e, 6) AS band, round(c / f - 1, 6) + 0e0 AS err_frictionless, round((c - e * {S}) / (f - e * {S}) - 1, 6) + 0e0 AS err_forced, round(nc.nb / nf.nb - 1, 6) + 0e0 AS err_optimal
     FROM pr JOIN nc ON pr.start = nc.start AND pr.opened = nc.opened JOIN nf ON pr.start = nf.start AND pr.opened = nf.opened""")
 def stt_effect(v: Views) -> DataFrame:
     return rounded(m.taxed(v.stt_rates, v.spans, m.normalised(v.weights)).drop("v_clock", "e"), "start", "opened", "sessions")
