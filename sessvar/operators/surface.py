@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normal
+from ..functions import normal, options
 from ..functions.options import EDGE, HIGHEST, LOWEST
 
 #: Annual rate and days, least pairs of a forward, least trades of a leg.
@@ -115,6 +115,15 @@ def surface(panel: DataFrame) -> DataFrame:
     return found.withColumn("vega", vega).withColumn("total_var", F.col("iv") * F.col("iv") * F.col("ttm"))
 
 
+def volatility_in_row(panel: DataFrame) -> DataFrame:
+    """The implied volatilities of :func:`surface`, of every symbol, type and expiry, by higher-order functions alone."""
+    live = panel.filter("dte >= 1")
+    fwd = forwards(live).select(*KEY, "fwd", F.col("discount").alias("df"))
+    quotes = near_money(liquid(live).join(fwd, [*KEY])).withColumn("ttm", F.col("dte") / YEAR)
+    iv = options.implied_vol(F.col("settle") / F.col("df"), F.col("fwd"), F.col("strike"), F.col("ttm"), F.col("opt_type") == "CE")
+    return quotes.withColumn("iv", iv)
+
+
 def smiles(quotes: DataFrame, least: int = 6) -> DataFrame:
     """Vega-weighted quadratic smile of each expiry by its normal equations: level at the money, its variance, residuals.
 
@@ -161,3 +170,12 @@ def max_pain(panel: DataFrame, least: int = 20) -> DataFrame:
     pain = k * part(F.col("c"), below) - part(F.col("c") * k, below) + part(F.col("p") * k, above) - k * part(F.col("p"), above)
     least_pain = by.withColumn("pain", pain).groupBy(*KEY).agg(F.sum("rows").alias("rows"), F.min(F.struct("pain", "strike")).alias("m")).filter(F.col("rows") >= least)
     return least_pain.select(*KEY, F.col("m.strike").alias("max_pain"), F.col("m.pain").alias("pain"))
+
+
+def max_pain_gaps(pain: DataFrame, spots: DataFrame) -> DataFrame:
+    """Distances of max pain from spot on the quote day and on the expiry day, percent of that day's spot. ``spots``: symbol, day, spot; rows without either day drop out."""
+    now = spots.select("symbol", F.col("day").alias("trade_date"), F.col("spot").alias("spot_now"))
+    final = spots.select("symbol", F.col("day").alias("expiry"), F.col("spot").alias("spot_final"))
+    joined = pain.join(now, ["symbol", "trade_date"]).join(final, ["symbol", "expiry"])
+    gap = lambda c: F.abs(F.col(c) - F.col("max_pain")) / F.col(c) * 100
+    return joined.withColumn("dte", F.date_diff("expiry", "trade_date")).withColumn("gap_now", gap("spot_now")).withColumn("gap_final", gap("spot_final"))

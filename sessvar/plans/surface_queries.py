@@ -108,6 +108,12 @@ def implied_vol_in_row(v: Views) -> DataFrame:
     return quotes.select(*s.KEY, "strike", F.round(iv, 6).alias("iv"))
 
 
+@query("implied_vol_in_row_every_quote")
+def implied_vol_in_row_every_quote(v: Views) -> DataFrame:
+    """The in-row solver on every live quote. Without SQL of its own: tested against the rows of implied_vol."""
+    return s.volatility_in_row(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("iv", 6).alias("iv"))
+
+
 @query("iv_surface", f"WITH RECURSIVE {SURFACE} SELECT trade_date, symbol, expiry, strike, opt_type, round(fwd, 4) AS fwd, round(lm, 8) AS log_moneyness, round(iv, 6) AS iv, round(vega, 2) AS vega, round(iv * iv * ttm, 8) AS total_var, dte_trd FROM surf")
 def iv_surface(v: Views) -> DataFrame:
     return s.surface(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("fwd", 4).alias("fwd"), F.round("log_moneyness", 8).alias("log_moneyness"), F.round("iv", 6).alias("iv"), F.round("vega", 2).alias("vega"), F.round("total_var", 8).alias("total_var"), "dte_trd")
@@ -148,3 +154,16 @@ def max_pain_convergence(v: Views) -> DataFrame:
     spot = v.chains.select(*s.KEY, "spot", "dte")
     joined = s.max_pain(v.option_panel).join(spot, [*s.KEY]).withColumn("bucket", s.dte_bucket(F.col("dte")))
     return joined.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("max_pain") / F.col("spot") - 1)), 8).alias("median_distance"))
+
+
+@query("max_pain_gap_at_expiry", f"""WITH {PAIN}, sp AS (SELECT DISTINCT symbol, trade_date AS day, spot FROM chains),
+    gp AS (SELECT date_diff('day', m.trade_date, m.expiry) AS dte, abs(a.spot - m.max_pain) / a.spot * 100 AS gap_now, abs(b.spot - m.max_pain) / b.spot * 100 AS gap_final
+      FROM mp m JOIN sp a ON a.symbol = m.symbol AND a.day = m.trade_date JOIN sp b ON b.symbol = m.symbol AND b.day = m.expiry)
+    SELECT CASE WHEN dte <= 3 THEN '1-3' WHEN dte <= 7 THEN '4-7' WHEN dte <= 14 THEN '8-14' ELSE '15-35' END AS bucket, count(*) AS n, round(avg(gap_now), 6) AS gap_now, round(avg(gap_final), 6) AS gap_final
+    FROM gp WHERE dte BETWEEN 1 AND 35 GROUP BY 1""")
+def max_pain_gap_at_expiry(v: Views) -> DataFrame:
+    """Mean distances of spot from max pain, on the quote day and at expiry, in the reference's buckets: the second beside the first shows convergence or not."""
+    spots = v.chains.select("symbol", F.col("trade_date").alias("day"), "spot").distinct()
+    gaps = s.max_pain_gaps(s.max_pain(v.option_panel), spots).filter("dte between 1 and 35")
+    bucket = F.when(F.col("dte") <= 14, s.dte_bucket(F.col("dte"))).otherwise("15-35")
+    return gaps.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("gap_now"), 6).alias("gap_now"), F.round(F.avg("gap_final"), 6).alias("gap_final"))
