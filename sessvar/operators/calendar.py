@@ -95,6 +95,33 @@ def best_cut(expiries: DataFrame, least: int = 5) -> DataFrame:
     return best.select("symbol", "n", "uncut", F.col("b.cost").alias("cost"), F.col("b.i").alias("left_n"), F.col("b.expiry").alias("last_left"))
 
 
+def regimes(expiries: DataFrame, least: int = 5, gain: int = 3) -> DataFrame:
+    """All weekday regimes of each symbol: symbol, regime_wd, start, end, n.
+
+    Best cuts repeat within each segment until none sets right ``gain`` expiries; then neighbours of one weekday merge.
+    Every round cuts all open segments of all symbols at once, and only cuts reach the driver: a few for each regime.
+    """
+    keyed = expiries.select("symbol", "expiry").distinct()
+    final: list[tuple[str, object, object]] = []
+    open_: list[tuple[str, object, object]] = [(r["symbol"], r["a"], r["b"]) for r in keyed.groupBy("symbol").agg(F.min("expiry").alias("a"), F.max("expiry").alias("b")).collect()]
+    while open_:
+        parts = expiries.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(open_)], "part long, symbol string, a date, b date")
+        inside = keyed.join(F.broadcast(parts), "symbol").filter("expiry between a and b")
+        # best_cut takes the part for the symbol
+        cuts = {int(r["symbol"]): r for r in best_cut(inside.select(F.col("part").cast("string").alias("symbol"), "expiry"), least).filter(F.col("uncut") - F.col("cost") >= gain).collect()}
+        last = {r["part"]: r["next"] for r in inside.join(F.broadcast(expiries.sparkSession.createDataFrame([(i, c["last_left"]) for i, c in cuts.items()], "cut long, at date")), F.col("part") == F.col("cut")).filter("expiry > at").groupBy("part").agg(F.min("expiry").alias("next")).collect()} if cuts else {}
+        final += [p for i, p in enumerate(open_) if i not in cuts]
+        open_ = [q for i, (symbol, a, b) in enumerate(open_) if i in cuts for q in ((symbol, a, cuts[i]["last_left"]), (symbol, last[i], b))]
+    bounds = expiries.sparkSession.createDataFrame(sorted(final), "symbol string, a date, b date")
+    counted = keyed.join(F.broadcast(bounds), "symbol").filter("expiry between a and b").groupBy("symbol", "a", "b", F.weekday("expiry").alias("wd")).agg(F.count("*").alias("c"), F.min("expiry").alias("first"))
+    # the commonest weekday; ties to the one that comes first
+    top = counted.groupBy("symbol", "a", "b").agg(F.min_by("wd", F.struct(-F.col("c"), F.col("first"))).alias("regime_wd"), F.sum("c").alias("n"))
+    order = Window.partitionBy("symbol").orderBy("a")
+    new = F.coalesce((F.col("regime_wd") != F.lag("regime_wd").over(order)).cast("int"), F.lit(0))
+    runs = top.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("symbol", "run", "regime_wd").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.sum("n").alias("n")).drop("run")
+
+
 def segments(weekdays: list[int], least: int = 5, gain: int = 3) -> list[tuple[int, int, int]]:
     """(weekday, first, last) regimes of an ordered list of expiry weekdays, by repeated best cuts; equal neighbours merge.
 

@@ -106,6 +106,19 @@ def expiry_regimes(v: Views) -> DataFrame:
     return cal.best_cut(listed(v))
 
 
+@query("expiry_regimes_every")
+def expiry_regimes_every(v: Views) -> DataFrame:
+    """All regimes, however many, of expiries quoted on their own day. Without SQL: the cuts are a loop, tested against a brute-force one."""
+    return cal.regimes(cal.own_session_expiries(v.chains))
+
+
+@query("holiday_rolls_of_regimes")
+def holiday_rolls_of_regimes(v: Views) -> DataFrame:
+    """Expiries off the weekday of the regime that they lie in. Without SQL, as the regimes are."""
+    observed = cal.own_session_expiries(v.chains)
+    return cal.rolls(observed, cal.regimes(observed))
+
+
 @query("oi_chain_reconciliation", """SELECT symbol, count(*) AS transitions, CAST(sum(CASE WHEN open_int = prev + chg THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN open_int = prev + chg THEN 1e0 ELSE 0e0 END), 9) AS share
     FROM (SELECT symbol, open_int, lag(open_int) OVER w AS prev, open_int - lag(open_int) OVER w + CASE WHEN open_int % 50 = 7 THEN 1 ELSE 0 END AS chg FROM option_panel
           WINDOW w AS (PARTITION BY symbol, expiry, strike, opt_type ORDER BY trade_date)) x WHERE prev IS NOT NULL GROUP BY symbol""")
