@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import calendar as cal
 from ..operators import clock
 from ..sources.fixtures import Views
 from .pricing_queries import rounded
@@ -27,13 +28,30 @@ def demeaned_log_variance(v: Views) -> DataFrame:
     return clock.demeaned(v.atm_obs, "ln_var", "symbol", "t").select("obs_id", F.round("ln_var_dev", 8).alias("dev"))
 
 
+#: Days of the union budget and of the central bank's announcements.
+MACRO = """2024-02-01 2025-02-01 2026-02-01 2024-02-08 2024-04-05 2024-06-07 2024-08-08 2024-10-09 2024-12-06 2025-02-07 2025-04-09 2025-06-06 2025-08-06 2025-10-01 2025-12-05
+    2026-02-06 2026-04-08 2026-06-05 2026-08-05 2026-10-07""".split()
+
+
+def patterns(v: Views) -> DataFrame:
+    """The stand-in calendar, weekdays from the first quote to the last expiry, with each symbol's expiry days and the macro events."""
+    bounds = v.chains.agg(F.min("trade_date").alias("a"), F.max("expiry").alias("b"))
+    days = bounds.select(F.explode(F.sequence("a", "b")).alias("day")).filter(F.weekday("day") < 5)
+    macro = v.spark.createDataFrame([(d,) for d in MACRO], "day string").select(F.col("day").cast("date").alias("day"))
+    return clock.session_patterns(cal.sessions(days), v.chains.select("symbol").distinct(), cal.own_session_expiries(v.chains), macro)
+
+
+def fitted(v: Views) -> DataFrame:
+    return clock.fit_sessions(v.atm_obs.filter("n_sessions >= 2").select("obs_id", "symbol", "t", "es", "ln_var"), patterns(v))
+
+
 @query("clock_fit")
 def clock_fit(v: Views) -> DataFrame:
     """Not SQL: an iterative fit, tested on planted weights."""
-    return rounded(clock.fit(clock.design(clock.bridge(v.atm_obs))), "symbol", "n", "verdict")
+    return rounded(fitted(v), "symbol", "n", "dropped", "verdict")
 
 
 @query("clock_refusals")
 def clock_refusals(v: Views) -> DataFrame:
-    """Symbols whose weights the rows cannot tell, or tell badly."""
-    return clock.fit(clock.design(clock.bridge(v.atm_obs)), rounds=5).filter("verdict <> 'ok'").select("symbol", "n", "verdict")
+    """Symbols whose weights the rows cannot tell, or tell badly, by the fit of clock_fit."""
+    return fitted(v).filter("verdict <> 'ok'").select("symbol", "n", "verdict")
