@@ -120,32 +120,3 @@ def regimes(expiries: DataFrame, least: int = 5, gain: int = 3) -> DataFrame:
     new = F.coalesce((F.col("regime_wd") != F.lag("regime_wd").over(order)).cast("int"), F.lit(0))
     runs = top.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("symbol", "run", "regime_wd").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.sum("n").alias("n")).drop("run")
-
-
-def segments(weekdays: list[int], least: int = 5, gain: int = 3) -> list[tuple[int, int, int]]:
-    """(weekday, first, last) regimes of an ordered list of expiry weekdays, by repeated best cuts; equal neighbours merge.
-
-    A calendar has hundreds of expiries, so this runs where it is called; :func:`best_cut` is its distributed step.
-    """
-
-    def common(a: int, b: int) -> tuple[int, int]:
-        part = weekdays[a:b]
-        top = max(part, key=lambda w: (part.count(w), -part.index(w)))
-        return top, len(part) - part.count(top)
-
-    def cut(a: int, b: int) -> list[tuple[int, int]]:
-        _, cost = common(a, b)
-        options = [(common(a, c)[1] + common(c, b)[1], c) for c in range(a + least, b - least + 1)]
-        if not options or cost - min(options)[0] < gain:
-            return [(a, b)]
-        c = min(options)[1]
-        return cut(a, c) + cut(c, b)
-
-    out: list[tuple[int, int, int]] = []
-    for a, b in cut(0, len(weekdays)) if weekdays else []:
-        top = common(a, b)[0]
-        if out and out[-1][0] == top:
-            out[-1] = (top, out[-1][1], b - 1)
-        else:
-            out.append((top, a, b - 1))
-    return out

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: Parameters in order, Monday pinned at zero; fewest observations; fewest sessions of a parameter; largest condition number and range of weights that pass unflagged.
 DAYS = ("Tue", "Wed", "Thu", "Fri")
 LEAST_ROWS, LEAST_SESSIONS = 50, 3
@@ -137,7 +139,7 @@ def fit_sessions(observations: DataFrame, patterns: DataFrame, rounds: int = 25)
     no residual degree of freedom, or a demeaned design of too low a rank.
     """
     spans = spanned(observations, patterns)
-    rows = flagged_design(spans).localCheckpoint()
+    rows = scratch.saved(flagged_design(spans), "clock-design")
     sizes = {r["symbol"]: (r["n"], r["dates"]) for r in rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("t").alias("dates")).collect()}
     sessions = {s: np.zeros(len(FEATURES)) for s in sizes}
     for r in spans.groupBy("symbol", "pattern").agg(F.count_distinct("session").alias("n")).collect():

@@ -20,16 +20,21 @@ def daily_prices(ticks: DataFrame, name: str, at: str, tie: str, value: str) ->
     return ticks.groupBy(F.col(name).alias("index_name"), F.to_date(at).alias("day")).agg(F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"))
 
 
+def log_ratio(top: Column, bottom: Column) -> Column:
+    """Log of a ratio of prices, null where either is not positive."""
+    return F.ln(F.when(top > 0, top)) - F.ln(F.when(bottom > 0, bottom))
+
+
 def close_to_close(daily: DataFrame) -> DataFrame:
     order = Window.partitionBy("index_name").orderBy("session")
-    return daily.withColumn("r", F.ln(F.col("close") / F.lag("close").over(order)))
+    return daily.withColumn("r", log_ratio(F.col("close"), F.lag("close").over(order)))
 
 
 def range_variances(daily: DataFrame) -> DataFrame:
     """Overnight and open-to-close returns and the Parkinson variance of each session after the first."""
     order = Window.partitionBy("index_name").orderBy("session")
-    out = daily.withColumn("overnight", F.ln(F.col("open") / F.lag("close").over(order))).withColumn("intraday", F.ln(F.col("close") / F.col("open")))
-    return out.withColumn("parkinson", F.pow(F.ln(F.col("high") / F.col("low")), F.lit(2.0)) / (4.0 * 0.6931471805599453)).filter("overnight IS NOT NULL")
+    out = daily.withColumn("overnight", log_ratio(F.col("open"), F.lag("close").over(order))).withColumn("intraday", log_ratio(F.col("close"), F.col("open")))
+    return out.withColumn("parkinson", F.pow(log_ratio(F.col("high"), F.col("low")), F.lit(2.0)) / (4.0 * 0.6931471805599453)).filter("overnight IS NOT NULL")
 
 
 def forecasts(returns: DataFrame, decay: float = DECAY) -> DataFrame:
@@ -51,7 +56,7 @@ def front_returns(futures: DataFrame) -> DataFrame:
     live = futures.filter("settle > 0 AND vol > 0")
     front = live.groupBy("sym", "trade_date").agg(F.min_by(F.struct("expiry_no", "settle"), "expiry_no").alias("f")).select("sym", "trade_date", "f.*")
     order = Window.partitionBy("sym", "expiry_no").orderBy("trade_date")
-    out = front.withColumn("r", 100 * F.ln(F.col("settle") / F.lag("settle").over(order))).filter(F.abs("r") < GENUINE)
+    out = front.withColumn("r", 100 * log_ratio(F.col("settle"), F.lag("settle").over(order))).filter(F.abs("r") < GENUINE)
     return out.withColumn("sq", F.col("r") * F.col("r"))
 
 
@@ -63,7 +68,7 @@ def log_weights(z: DataFrame, *by: str) -> DataFrame:
     """Log of a weekday's mean of z2 over the mean of all weekdays, by unit (index_name), window and ``by``."""
     sums = z.groupBy(*by, "index_name", "window", "wd").agg(F.sum("z2").alias("s"), F.count("*").alias("n"))
     unit = Window.partitionBy(*by, "index_name", "window")
-    return sums.withColumn("lw", F.ln(F.col("s") / F.col("n") / (F.sum("s").over(unit) / F.sum("n").over(unit))))
+    return sums.withColumn("lw", log_ratio(F.col("s") / F.col("n"), F.sum("s").over(unit) / F.sum("n").over(unit)))
 
 
 def changes(weights: DataFrame, *by: str) -> DataFrame:
@@ -96,15 +101,15 @@ def weekday_shift(events: DataFrame, sessions: DataFrame, squares: DataFrame, re
 
     def mean(wd: int, when: Column) -> Column:
         own = when & (F.col("wd") == wd)
-        return F.sum(F.when(own, F.col("s"))) / F.sum(F.when(own, F.col("n")))
+        return F.try_divide(F.sum(F.when(own, F.col("s"))), F.sum(F.when(own, F.col("n"))))
 
-    value = F.ln(mean(1, post) / mean(1, ~post)) - F.ln(mean(3, post) / mean(3, ~post))
+    value = log_ratio(mean(1, post), mean(1, ~post)) - log_ratio(mean(3, post), mean(3, ~post))
     return laid.groupBy("tau", "is_event").agg(value.alias("stat"))
 
 
 def rank_p(stats: DataFrame) -> DataFrame:
-    """The event's statistic among those of pseudo-events: lower-sided p, percentile, and whether it lies in the middle nine tenths."""
-    star = stats.filter("is_event").select(F.col("stat").alias("star"))
+    """The event's statistic among those of pseudo-events: lower-sided p, percentile, and whether it lies in the middle nine tenths. No row if the event has no statistic."""
+    star = stats.filter("is_event AND stat IS NOT NULL").select(F.col("stat").alias("star"))
     null = stats.filter("NOT is_event AND stat IS NOT NULL").crossJoin(F.broadcast(star))
     out = null.groupBy("star").agg(F.count("*").alias("n"), F.count_if(F.col("stat") <= F.col("star")).alias("extreme"), F.avg((F.col("stat") < F.col("star")).cast("double")).alias("below"), F.median("stat").alias("null_median"))
     return out.select("star", "n", "null_median", (100 * F.col("below")).alias("percentile"), ((1 + F.col("extreme")) / (1 + F.col("n"))).alias("p"), F.col("below").between(0.05, 0.95).alias("inside"))
@@ -150,4 +155,4 @@ def reweighted(z: DataFrame, times: DataFrame) -> DataFrame:
     weekly = z.groupBy("index_name", "window", "week", "wd").agg(F.sum("z2").alias("s"), F.count("*").alias("n"))
     each = weekly.join(times, ["window", "week"]).groupBy("draw", "index_name", "window", "wd").agg(F.sum(F.col("s") * F.col("times")).alias("s"), F.sum(F.col("n") * F.col("times")).alias("n"))
     unit = Window.partitionBy("draw", "index_name", "window")
-    return each.withColumn("lw", F.ln(F.col("s") / F.col("n") / (F.sum("s").over(unit) / F.sum("n").over(unit))))
+    return each.withColumn("lw", log_ratio(F.col("s") / F.col("n"), F.sum("s").over(unit) / F.sum("n").over(unit)))

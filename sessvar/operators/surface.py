@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import normal, options
 from ..functions.options import EDGE, HIGHEST, LOWEST
@@ -27,31 +28,38 @@ def near_money(quotes: DataFrame, most: float = 0.15, least_sessions: int = 2) -
 
 
 def pairs(panel: DataFrame) -> DataFrame:
-    """Call and put settlements of a strike, one pass of conditional aggregation in place of a self-join; both sides must be there."""
-    live = panel.filter(F.col("n_trades") >= LEAST_TRADES)
+    """Call and put settlements of a strike, one pass of conditional aggregation in place of a self-join; both sides must be there, and traded."""
+    live = panel.filter((F.col("volume") > 0) & (F.col("n_trades") >= LEAST_TRADES))
     # a condition of the aggregate, not a filter, which would be pushed below and repeat whatever computes the settlement
     side = lambda t: F.max(F.when((F.col("opt_type") == t) & (F.col("settle") > 0), F.col("settle")))
     return live.groupBy(*KEY, "strike", "dte").agg(side("CE").alias("call"), side("PE").alias("put")).filter("call is not null and put is not null")
 
 
-def forwards(panel: DataFrame, rate: float = RATE, least: int = LEAST_PAIRS) -> DataFrame:
-    """Put-call-parity forward of each expiry: the median over strikes, with the deviations' median and maximum.
+def unexpired(panel: DataFrame) -> DataFrame:
+    """The panel, which raises on a row of the expiry day: a settlement is no option price then."""
+    return panel.withColumn("dte", F.when(F.col("dte") < 1, F.raise_error(F.lit("an expiring contract has no forward")).cast("long")).otherwise(F.col("dte")))
 
-    On the expiry day a settlement is no option price: such rows raise.
-    """
-    checked = panel.withColumn("dte", F.when(F.col("dte") < 1, F.raise_error(F.lit("an expiring contract has no forward")).cast("long")).otherwise(F.col("dte")))
-    discount = F.exp(F.lit(-rate) * F.col("dte") / YEAR)
-    each = pairs(checked).withColumn("f", F.col("strike") + (F.col("call") - F.col("put")) / discount)
+
+def discounting(rate: float) -> Column:
+    return F.exp(F.lit(-rate) * F.col("dte") / YEAR)
+
+
+def forwards(panel: DataFrame, rate: float = RATE, least: int = LEAST_PAIRS) -> DataFrame:
+    """Put-call-parity forward of each expiry: the median over strikes, with the deviations' median and maximum. Expiring contracts raise."""
+    discount = discounting(rate)
+    each = pairs(unexpired(panel)).withColumn("f", F.col("strike") + (F.col("call") - F.col("put")) / discount)
     # the join back and the deviations' median use the key's partitioning again
     middle = each.join(each.groupBy(*KEY).agg(F.median("f").alias("fwd"), F.count("*").alias("n_pairs")).filter(F.col("n_pairs") >= least), [*KEY])
     off = F.abs(F.col("f") - F.col("fwd"))
     return middle.groupBy(*KEY, "dte", "fwd", "n_pairs").agg(F.max(off).alias("fwd_dev_max"), F.median(off).alias("fwd_mad")).withColumn("discount", discount)
 
 
-def forward_sensitivity(panel: DataFrame, rates: tuple[float, float, float] = (0.055, 0.065, 0.075)) -> DataFrame:
-    """The forward at three rates side by side."""
-    low, mid, high = (forwards(panel, r).select(*KEY, F.col("fwd").alias(f"fwd_{i}")) for i, r in enumerate(rates))
-    return low.join(mid, [*KEY]).join(high, [*KEY])
+def forward_sensitivity(panel: DataFrame, rates: tuple[float, float, float] = (0.055, 0.065, 0.075), least: int = LEAST_PAIRS) -> DataFrame:
+    """The forward at three rates side by side: the pairs are made once, and one aggregation takes all medians."""
+    each = pairs(unexpired(panel))
+    at = lambda rate: F.median(F.col("strike") + (F.col("call") - F.col("put")) / discounting(rate))
+    found = each.groupBy(*KEY).agg(F.count("*").alias("n_pairs"), *(at(r).alias(f"fwd_{i}") for i, r in enumerate(rates)))
+    return found.filter(F.col("n_pairs") >= least).drop("n_pairs")
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -89,9 +97,10 @@ def solve_volatility(price: np.ndarray, forward: np.ndarray, strike: np.ndarray,
 
 def with_volatility(quotes: DataFrame, price: Column, forward: Column, strike: Column, ttm: Column, is_call: Column, name: str = "iv") -> DataFrame:
     """Adds the implied volatility in Arrow batches; null where there is none."""
-    schema = quotes.schema.add(name, "double")
-    staged = quotes.select("*", price.alias("_p"), forward.alias("_f"), strike.alias("_k"), ttm.cast("double").alias("_t"), is_call.alias("_c"))
     kept = quotes.columns
+    # a new type: StructType.add would alter the one that the frame holds
+    schema = StructType([*quotes.schema.fields, StructField(name, DoubleType())])
+    staged = quotes.select("*", price.alias("_p"), forward.alias("_f"), strike.alias("_k"), ttm.cast("double").alias("_t"), is_call.alias("_c"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -16,7 +16,14 @@ from .registry import query
 RATIO_DRAWS, WEEK_DRAWS, PART = 200, 300, 14
 EVENT, BLACKOUT = "DATE '1998-06-01'", ("DATE '1999-01-01'", "DATE '1999-03-31'")
 
-RET = "rt AS (SELECT index_name, day, session, ln(close / lag(close) OVER (PARTITION BY index_name ORDER BY session)) AS r FROM index_daily)"
+
+
+def ln_ratio(top: str, bottom: str) -> str:
+    """As :func:`returns.log_ratio`."""
+    return f"(ln(CASE WHEN {top} > 0 THEN {top} END) - ln(CASE WHEN {bottom} > 0 THEN {bottom} END))"
+
+
+RET = f"rt AS (SELECT index_name, day, session, {ln_ratio('close', 'before')} AS r FROM (SELECT *, lag(close) OVER (PARTITION BY index_name ORDER BY session) AS before FROM index_daily) x)"
 
 
 @query("index_ohlc", "SELECT index_name, day, open, high, low, close FROM index_daily")
@@ -29,8 +36,8 @@ def close_to_close(v: Views) -> DataFrame:
     return r.close_to_close(v.index_daily).select("index_name", "day", F.round("r", 8).alias("r"))
 
 
-@query("overnight_intraday_parkinson", """SELECT index_name, day, round(ov, 8) AS overnight, round(ln(close / open), 8) AS intraday, round(pow(ln(high / low), 2) / (4 * ln(2e0)), 8) AS parkinson
-    FROM (SELECT *, ln(open / lag(close) OVER (PARTITION BY index_name ORDER BY session)) AS ov FROM index_daily) x WHERE ov IS NOT NULL""")
+@query("overnight_intraday_parkinson", f"""SELECT index_name, day, round({ln_ratio('open', 'before')}, 8) AS overnight, round({ln_ratio('close', 'open')}, 8) AS intraday, round(pow({ln_ratio('high', 'low')}, 2) / (4 * ln(2e0)), 8) AS parkinson
+    FROM (SELECT *, lag(close) OVER (PARTITION BY index_name ORDER BY session) AS before FROM index_daily) x WHERE open > 0 AND before > 0""")
 def overnight_intraday_parkinson(v: Views) -> DataFrame:
     return rounded(r.range_variances(v.index_daily).select("index_name", "day", "overnight", "intraday", "parkinson"), "index_name", "day", digits=8)
 
@@ -38,9 +45,9 @@ def overnight_intraday_parkinson(v: Views) -> DataFrame:
 FORE = f"""{RET}, sq AS (SELECT *, row_number() OVER (PARTITION BY index_name ORDER BY session) - 1 AS n FROM rt WHERE r IS NOT NULL),
     fo AS (SELECT index_name, CAST(0 AS BIGINT) AS n, avg(r * r) AS f FROM sq WHERE n < {r.SEED} GROUP BY index_name
       UNION ALL SELECT fo.index_name, fo.n + 1, {r.DECAY} * fo.f + (1 - {r.DECAY}) * sq.r * sq.r FROM fo JOIN sq ON sq.index_name = fo.index_name AND sq.n = fo.n WHERE EXISTS (SELECT 1 FROM sq s2 WHERE s2.index_name = fo.index_name AND s2.n = fo.n + 1)),
-    zz AS (SELECT sq.index_name, day, session, r, f AS forecast, r * r / f AS z2 FROM sq JOIN fo ON sq.index_name = fo.index_name AND sq.n = fo.n)"""
+    zz AS (SELECT sq.index_name, day, session, r, f AS forecast, r * r / nullif(f, 0) AS z2 FROM sq JOIN fo ON sq.index_name = fo.index_name AND sq.n = fo.n)"""
 WIN = f"{FORE}, zw AS (SELECT *, CASE WHEN session > {PART} THEN 1 ELSE 0 END AS part, isodow(day) - 1 AS wd, session - session % 7 AS week FROM zz WHERE isodow(day) <= 5)"
-LW = "SELECT *, ln(s / n / (sum(s) OVER (PARTITION BY index_name, part) / sum(n) OVER (PARTITION BY index_name, part))) AS lw FROM (SELECT index_name, part, wd, sum(z2) AS s, count(*) AS n FROM zw GROUP BY index_name, part, wd) g"
+LW = "SELECT *, ln(CASE WHEN s > 0 THEN s END / n / (sum(s) OVER (PARTITION BY index_name, part) / sum(n) OVER (PARTITION BY index_name, part))) AS lw FROM (SELECT index_name, part, wd, sum(z2) AS s, count(*) AS n FROM zw GROUP BY index_name, part, wd) g"
 CH = "ch AS (SELECT index_name, wd, max(CASE WHEN part = 1 THEN lw END) - max(CASE WHEN part = 0 THEN lw END) AS change FROM lw GROUP BY index_name, wd)"
 
 
@@ -86,7 +93,7 @@ def date_cluster_multiplicity(v: Views) -> DataFrame:
 
 
 @query("week_block_bootstrap", f"""WITH RECURSIVE {WIN}, {_WK}, bs AS (SELECT draw, index_name, zw.part, wd, sum(z2 * times) AS s, sum(times) AS n FROM zw JOIN mu ON mu.part = zw.part AND mu.week = zw.week GROUP BY draw, index_name, zw.part, wd),
-    lw AS (SELECT *, ln(s / n / (sum(s) OVER (PARTITION BY draw, index_name, part) / sum(n) OVER (PARTITION BY draw, index_name, part))) AS lw FROM bs),
+    lw AS (SELECT *, ln(CASE WHEN s > 0 THEN s END / n / (sum(s) OVER (PARTITION BY draw, index_name, part) / sum(n) OVER (PARTITION BY draw, index_name, part))) AS lw FROM bs),
     ch AS (SELECT draw, index_name, wd, max(CASE WHEN part = 1 THEN lw END) - max(CASE WHEN part = 0 THEN lw END) AS change FROM lw GROUP BY draw, index_name, wd)
     SELECT index_name, wd, round(quantile_cont(change, 0.025), 6) AS low, round(quantile_cont(change, 0.975), 6) AS high, count(*) - count(change) AS not_finite FROM ch GROUP BY index_name, wd""")
 def week_block_bootstrap(v: Views) -> DataFrame:
@@ -96,7 +103,7 @@ def week_block_bootstrap(v: Views) -> DataFrame:
 
 
 FRONT = f"""fr AS (SELECT sym, trade_date, expiry_no, settle FROM (SELECT *, row_number() OVER (PARTITION BY sym, trade_date ORDER BY expiry_no) AS first_no FROM stock_futures WHERE settle > 0 AND vol > 0) x WHERE first_no = 1),
-    rr AS (SELECT *, r * r AS sq FROM (SELECT *, 100 * ln(settle / lag(settle) OVER (PARTITION BY sym, expiry_no ORDER BY trade_date)) AS r FROM fr) y WHERE abs(r) < {r.GENUINE})"""
+    rr AS (SELECT *, r * r AS sq FROM (SELECT *, 100 * ln(settle / lag(settle) OVER (PARTITION BY sym, expiry_no ORDER BY trade_date)) AS r FROM fr WHERE settle > 0) y WHERE abs(r) < {r.GENUINE})"""
 
 
 @query("front_contract_returns", f"WITH {FRONT} SELECT sym, trade_date, expiry_no, round(r, 8) AS r FROM rr")
@@ -119,7 +126,7 @@ PSEUDO = f"""{DAYS}, sp AS (SELECT min(session) AS split FROM dy WHERE day >= {E
     WHERE t.session = split OR ((t.session - {r.REACH}) % {r.STRIDE} = 0 AND NOT (t.session - {r.REACH} < split AND split < t.session + {r.REACH}) AND NOT (lo.day <= {BLACKOUT[1]} AND hi.day >= {BLACKOUT[0]})))"""
 STAT = f"""{FRONT}, {PSEUDO}, sd AS (SELECT trade_date AS day, sum(sq) AS s, count(*) AS n FROM rr GROUP BY trade_date), sw AS (SELECT session, s, n, isodow(sd.day) - 1 AS wd FROM sd JOIN dy ON dy.day = sd.day),
     me AS (SELECT tau, is_event, wd, session >= tau AS post, sum(s) / sum(n) AS m FROM ps JOIN sw ON session >= tau - {r.REACH} AND session < tau + {r.REACH} WHERE wd IN (1, 3) GROUP BY tau, is_event, wd, session >= tau),
-    st AS (SELECT tau, is_event, sum(CASE WHEN post THEN 1 ELSE -1 END * CASE WHEN wd = 1 THEN 1 ELSE -1 END * ln(m)) AS stat, count(*) AS four FROM me GROUP BY tau, is_event)"""
+    st AS (SELECT tau, is_event, sum(CASE WHEN post THEN 1 ELSE -1 END * CASE WHEN wd = 1 THEN 1 ELSE -1 END * ln(CASE WHEN m > 0 THEN m END)) AS stat, count(CASE WHEN m > 0 THEN 1 END) AS four FROM me GROUP BY tau, is_event)"""
 
 
 def shipping(v: Views) -> DataFrame:
@@ -145,7 +152,7 @@ def randomization_stock_stat(v: Views) -> DataFrame:
     return rounded(r.weekday_shift(pseudo(v), shipping(v), r.front_returns(v.stock_futures)), "tau", "is_event", digits=7)
 
 
-@query("randomization_pvalue", f"""WITH {STAT}, nu AS (SELECT n.stat, e.stat AS star FROM st n CROSS JOIN (SELECT stat FROM st WHERE is_event) e WHERE NOT n.is_event AND n.four = 4)
+@query("randomization_pvalue", f"""WITH {STAT}, nu AS (SELECT n.stat, e.stat AS star FROM st n CROSS JOIN (SELECT stat FROM st WHERE is_event AND four = 4) e WHERE NOT n.is_event AND n.four = 4)
     SELECT round(star, 7) AS star, count(*) AS n, round(median(stat), 7) AS null_median, round(100 * avg(CASE WHEN stat < star THEN 1e0 ELSE 0e0 END), 6) AS percentile, round((1 + count(*) FILTER (WHERE stat <= star)) / (1e0 + count(*)), 6) AS p,
            avg(CASE WHEN stat < star THEN 1e0 ELSE 0e0 END) BETWEEN 0.05 AND 0.95 AS inside FROM nu GROUP BY star""")
 def randomization_pvalue(v: Views) -> DataFrame:

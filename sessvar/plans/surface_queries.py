@@ -13,7 +13,7 @@ from .registry import query
 
 LIVE = "SELECT * FROM option_panel WHERE dte >= 1"
 PAIRS = """SELECT trade_date, symbol, expiry, strike, dte, max(CASE WHEN opt_type = 'CE' THEN settle END) AS call, max(CASE WHEN opt_type = 'PE' THEN settle END) AS put
-    FROM option_panel WHERE dte >= 1 AND n_trades >= 5 AND settle > 0 GROUP BY trade_date, symbol, expiry, strike, dte"""
+    FROM option_panel WHERE dte >= 1 AND volume > 0 AND n_trades >= 5 AND settle > 0 GROUP BY trade_date, symbol, expiry, strike, dte"""
 
 
 def forward_ctes(name: str, rate: float) -> str:

@@ -59,8 +59,6 @@ VIEWS: dict[str, str] = {
         SELECT 'spread_Mon', sign, wd FROM (VALUES (1, 1), (1, 2), (1, 3), (1, 4), (1, 0), (1, 1), (-1, 1)) AS l(sign, wd)""",
     # securities transaction tax periods: start, rate on option sales and on exercised options, percent
     "stt_rates": "SELECT * FROM (VALUES (DATE '2023-04-01', 0.0625e0, 0.125e0), (DATE '2024-10-01', 0.1e0, 0.125e0), (DATE '2026-04-01', 0.15e0, 0.15e0)) AS r(start, sale_pct, exercised_pct)",
-    # returns of the indices' sessions, with weekday and week
-    "returns": """SELECT index_name, day, session, close, ln(close / lag(close) OVER (PARTITION BY index_name ORDER BY session)) AS r, session % 7 AS wd, CAST(floor(session / 7e0) AS BIGINT) AS week FROM index_daily""",
     # at-the-money total variance over sessions (t, T] with planted weekday weights and a scale per date
     "atm_obs": """SELECT c.p_partkey AS obs_id, c.symbol, c.trade_date, c.t, c.es, c.es - c.t AS n_sessions,
                ln((0.5e0 + (c.p_partkey % 16 + 1 + c.t % 7) / 40e0) * v.total) + (((c.p_partkey * 37) % 101) / 101e0 - 0.5e0) * 0.02e0 AS ln_var

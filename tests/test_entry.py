@@ -14,4 +14,4 @@ def test_without_the_subpackage(monkeypatch):
 
 
 def test_entry(spark):
-    assert entry_module.entry(spark).columns
+    assert entry_module.entry(spark).collect()
