@@ -8,8 +8,6 @@ with the same schema, and repeated rows are each processed.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import dropped, saved, scratch
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "documents", "dropped", "encoded", "id_crc", "saved", "scratch", "slices", "texts"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,32 +37,6 @@ def id_crc(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a folder of our own only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="scratch-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def saved(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table that saved() made and that nothing needs any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows handed to Python at a time, and the bytes of text after which a slice is worked on by itself.
 SLICE_BYTES = 8 << 20
 

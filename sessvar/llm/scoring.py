@@ -3,14 +3,26 @@
 A text is coded as a stream of bits. A frequent word is a path in a Huffman tree over the frequent words; any other
 word is an escape and then its bytes, each a path in a second tree. Three predictors guess every bit, each from
 counts of zeros and ones in a table indexed by a hash of its context and the tree node: for words the
-contexts are nothing, the previous word, and the previous two; for bytes the last one, two and three.
+contexts are nothing, the previous word, and the previous two; for bytes the last two, three and four.
 Their log odds are mixed by weights that a gate picks, from how much the longer contexts have seen. The
 mix is then refined by how bits with that gate and mixed odds turned out.
 
-Training is online in every task: a chunk of text is predicted with the counts, weights and refinement
-so far, and only then do these learn from it. The tasks' counts add up to those of the whole corpus, their weights
-are averaged by how many bits they saw. Scoring mixes with the corpus's tables, and a document's score
-depends on nothing but the model and the document.
+Training is online in every task and reads the corpus once: a chunk of text is predicted with the counts, weights and
+refinement so far, and only then do these learn from it. The tasks' counts add up to those of the whole corpus, their weights
+are averaged by how many bits they saw. Those tables are of bounded size and broadcast. Two more are Spark tables that
+grow with the corpus and are joined:
+
+- the counts of all words. An infrequent word that training knows is the mix of its share of the infrequent words and of its
+  spelling, the weight of the spelling being the share of words that occur once, as new words are expected to come.
+- passages. After some three-word contexts, picked by hash and so alike in every copy of a passage, one more bit says whether the
+  words up to the next such context are those which mostly followed it; its chance depends on how many did, and is
+  learned from the corpus. If so, they need no further bits.
+
+A training document is scored as if the occurrence at hand had not been counted, so that its score and that of a held-out
+document mean the same. A document's score depends on nothing but the model, the document and whether it was held out.
+
+Beside the rules of :mod:`.common`: a very long text is coded by itself, in memory in proportion to it; repeated rows are
+each scored, and are passages to one another; ties between passages go to the greater hash.
 """
 
 from __future__ import annotations
@@ -18,15 +30,15 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import os
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +47,9 @@ from . import common
 #: Production parameters: frequent words at most, slots of a predictor's table at most (powers of two), folds of which the first is held out.
 HEAD = 1 << 17
 TABLE_BITS = 21
+#: Times that a frequent word is seen at least; one in how many contexts, of how many words, begins a passage.
+LEAST_SEEN = 4
+EVERY, CONTEXT = 16, 3
 #: Most frequent words that are classes of their own, and those that make up the longest context.
 OWN_CLASS, COMMON = 1024, 64
 FOLDS = 10
@@ -45,6 +60,8 @@ DELTA = 0.4
 #: Distinct words that a task counts before it passes its counts on.
 HELD_WORDS = 400_000
 PREDICTORS = 3
+#: The number that a mixer has where tables have theirs.
+MIXER = PREDICTORS
 GATES = 2 * 4 * 4 * 4
 STEPS = 33
 #: Mixed odds lie within plus and minus MOST, in so many LEVELS a unit.
@@ -139,20 +156,30 @@ class Tree:
 
 @dataclass
 class Stream:
-    """Bits in one tree, in order of documents: the bit, its slot for each predictor, the depth's part of its gate, the first bit of each document and, last, their number."""
+    """Bits in one tree, in order of documents: the bit, its slot for each predictor, the depth's part of its gate, the first bit of each symbol."""
 
     bit: np.ndarray
     slots: list[np.ndarray]
     depth: np.ndarray
     starts: np.ndarray
 
-    def by_document(self, value: np.ndarray) -> np.ndarray:
-        """Sums over each document's bits, in their order whatever the other documents."""
-        out = np.zeros(len(self.starts) - 1)
-        some = np.flatnonzero(self.starts[1:] > self.starts[:-1])
-        if len(some):
-            out[some] = np.add.reduceat(value, self.starts[some], dtype=np.float64)
-        return out
+    def by_symbol(self, value: np.ndarray) -> np.ndarray:
+        """Sums over each symbol's bits."""
+        return np.add.reduceat(value, self.starts, dtype=np.float64)
+
+
+@dataclass
+class Coded:
+    """What a batch of texts is coded as: tokens of each text with its end, id of each token among the frequent words (-1: none; the last of each
+    text is the end), places of the others, these words, the text of each token, the bits of tokens and (if there are such words) of bytes."""
+
+    sizes: np.ndarray
+    ids: np.ndarray
+    rare_at: np.ndarray
+    rare: list[bytes]
+    doc: np.ndarray
+    streams: list[Stream]
+    rare_sizes: np.ndarray
 
 
 @dataclass
@@ -175,8 +202,7 @@ class Coder:
         seen = np.bincount(np.frombuffer(b" ".join(self.head) + b" ", np.uint8), minlength=256) + 1
         self.letters = Tree.of(seen.tolist(), 1)
 
-    def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, list[Stream]]:
-        """(tokens of each text, head id or -1 of every token with ends, words not in the head, the text of each, streams of bits)."""
+    def code(self, texts: list[bytes]) -> Coded:
         found = [tokens(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in found], np.int64)
         last = np.cumsum(sizes) - 1
@@ -203,7 +229,8 @@ class Coder:
         padded = np.concatenate([[-1, -1], common_at])
         start_of = first[doc]
         recent = [np.where((at := padded[rank + 1 - k]) >= start_of, symbol[np.maximum(at, 0)] + 1, 0) for k in (0, 1)]
-        streams = [self._bits(self.words, symbol, sizes, [None, previous, recent[0] * (COMMON + 1) + recent[1]])]
+        lengths = np.zeros(0, np.int64)
+        streams = [self._bits(self.words, symbol, [None, previous, recent[0] * (COMMON + 1) + recent[1]])]
         if rare:
             raw = np.frombuffer(b" ".join(rare) + b" ", np.uint8).astype(np.int64)
             lengths = np.array([len(w) + 1 for w in rare], np.int64)
@@ -211,12 +238,12 @@ class Coder:
             back = [np.where(place >= k, np.concatenate([np.full(k, STOP), raw[:-k]])[: len(raw)], STOP) for k in (1, 2, 3, 4)]
             contexts = [back[0] << 8 | back[1]]
             contexts += [contexts[0] << 8 | back[2], (contexts[0] << 8 | back[2]) << 8 | back[3]]
-            letters = np.bincount(doc[at_unknown], lengths, len(texts)).astype(np.int64)
-            streams.append(self._bits(self.letters, raw, letters, contexts))
-        return sizes, ids, rare, doc[at_unknown], streams
+            streams.append(self._bits(self.letters, raw, contexts))
+        ids[last] = self.end
+        return Coded(sizes, ids, at_unknown, rare, doc, streams, lengths)
 
-    def _bits(self, tree: Tree, symbol: np.ndarray, sizes: np.ndarray, contexts: list[np.ndarray | None]) -> Stream:
-        """``sizes``: symbols of each document. A context of None is none at all."""
+    def _bits(self, tree: Tree, symbol: np.ndarray, contexts: list[np.ndarray | None]) -> Stream:
+        """A context of None is none at all."""
         n = tree.length[symbol]
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         at = np.arange(ends[-1], dtype=np.int32)
@@ -228,7 +255,7 @@ class Coder:
             mixed *= np.uint32(0x9E3779B1)
             mixed >>= np.uint32(32 - self.table_bits)
             slots.append(mixed.astype(np.intp))
-        return Stream(tree.bit[at], slots, tree.depth[at], ends[np.concatenate([[0], np.cumsum(sizes)])])
+        return Stream(tree.bit[at], slots, tree.depth[at], ends[:-1])
 
 
 def _seen(total: np.ndarray) -> np.ndarray:
@@ -244,6 +271,10 @@ def _step(mixed: np.ndarray) -> np.ndarray:
 MIDDLE = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
 
 
+def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log(ones + np.float32(DELTA)) - np.log(zeros + np.float32(DELTA))
+
+
 @dataclass
 class Tables:
     """Counts of zeros and ones by predictor and slot, next to each other."""
@@ -263,15 +294,30 @@ class Tables:
                 if flat[at : at + BLOCK].any():
                     yield k, at // BLOCK, pack(flat[at : at + BLOCK].astype(np.uint64).tobytes())
 
-    def learn(self, texts: list[bytes]) -> None:
-        for stream in self.coder.code(texts)[-1]:
-            for k in range(PREDICTORS):
-                np.add.at(self.counts[k], stream.slots[k] * 2 + stream.bit, np.uint32(1))
+    def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictors' log odds of each bit from the counts so far, and its gate: its depth and tree, and how often the longer two contexts were seen."""
+        found, gate = [], stream.depth.astype(np.uint32)
+        for k, slots in enumerate(stream.slots):
+            pair = self.counts[k].view(np.uint64)[slots].view(np.uint32).astype(np.float32)
+            found.append(_log_odds(pair[0::2], pair[1::2]))
+            if k:
+                gate += _seen(pair[0::2] + pair[1::2]) << np.uint32(2 if k == 1 else 0)
+        return found, gate.astype(np.intp)
+
+    def add(self, stream: Stream) -> None:
+        for k in range(PREDICTORS):
+            np.add.at(self.counts[k], stream.slots[k] * 2 + stream.bit, np.uint32(1))
+
+    def learn(self, texts: list[bytes], mixer: Mixer) -> None:
+        """Predicts each bit with what was learned before these texts, then learns from them."""
+        for stream in self.coder.code(texts).streams:
+            mixer.learn(stream.bit, *self.look(stream))
+            self.add(stream)
 
 
 @dataclass
 class Odds:
-    """The predictors' log odds by slot; the lowest two bits of each number tell how often its slot was seen.
+    """The predictors' log odds by slot, in 64ths; the lowest two bits of each number tell how often its slot was seen.
 
     ``without_own``: two numbers a slot, as if the bit at hand, zero or one, had not been counted.
     """
@@ -283,36 +329,37 @@ class Odds:
     @classmethod
     def of(cls, coder: Coder, parts: list[tuple[int, int, bytes]], without_own: bool) -> Odds:
         each, unpack = 2 if without_own else 1, zstandard.ZstdDecompressor().decompress
-        odds = np.zeros((PREDICTORS, each << coder.table_bits), np.float32)
+        odds = np.zeros((PREDICTORS, each << coder.table_bits), np.int16)
         for k, block, data in parts:
-            counts = np.frombuffer(unpack(data), np.uint64).astype(np.float64).reshape(-1, 2)
+            counts = np.frombuffer(unpack(data), np.uint64).astype(np.float32).reshape(-1, 2)
             for own in range(each):
                 zeros, ones = counts[:, 0], counts[:, 1]
                 if without_own:
                     zeros, ones = (np.maximum(zeros - 1, 0), ones) if own == 0 else (zeros, np.maximum(ones - 1, 0))
-                value = (np.log(ones + DELTA) - np.log(zeros + DELTA)).astype(np.float32)
-                value = (value.view(np.uint32) & np.uint32(0xFFFFFFFC) | _seen(zeros + ones)).view(np.float32)
+                value = np.rint(_log_odds(zeros, ones) * 64).astype(np.int16) << 2 | _seen(zeros + ones).astype(np.int16)
                 odds[k, block * (BLOCK // 2) * each + own :: each][: len(value)] = value
         return cls(coder, odds, without_own)
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictors' log odds of each bit, and its gate: its depth and tree, and how often the longer two contexts were seen."""
-        found = [self.odds[k][s * 2 + stream.bit if self.without_own else s] for k, s in enumerate(stream.slots)]
-        gate = stream.depth.astype(np.uint32)
-        gate += (found[1].view(np.uint32) & np.uint32(3)) << np.uint32(2)
-        gate += found[2].view(np.uint32) & np.uint32(3)
+        """As :meth:`Tables.look`, of the whole corpus."""
+        found, gate = [], stream.depth.astype(np.uint32)
+        for k, slots in enumerate(stream.slots):
+            value = self.odds[k][slots * 2 + stream.bit if self.without_own else slots]
+            found.append((value >> 2).astype(np.float32) * np.float32(1 / 64))
+            if k:
+                gate += (value & 3).astype(np.uint32) << np.uint32(2 if k == 1 else 0)
         return found, gate.astype(np.intp)
 
 
 _HELD: list = []
 
 
-def held_odds(parts: tuple, without_own: bool) -> Odds:
-    """The odds of what was broadcast, made once for each worker that is used again."""
-    if not (_HELD and _HELD[0] is parts and _HELD[1] == without_own):
+def held_odds(parts: tuple) -> tuple[Odds, Odds]:
+    """The odds of what was broadcast, for held-out texts and for those of the training, made once for each worker that is used again."""
+    if not (_HELD and _HELD[0] is parts):
         _HELD.clear()
-        _HELD.extend([parts, without_own, Odds.of(*parts, without_own)])
-    return _HELD[2]
+        _HELD.extend([parts, (Odds.of(*parts, without_own=False), Odds.of(*parts, without_own=True))])
+    return _HELD[1]
 
 
 @dataclass
@@ -412,12 +459,12 @@ def _summed(parts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, folds: int = FOLDS) -> tuple[Broadcast, Mixer]:
     """The coder and the summed tables, broadcast, and the mixer, all of bounded size: at most ``head`` words and ``PREDICTORS * 2**table_bits`` slots.
 
-    The frequent words are those whose count is in the highest classes, sixteenths of a power of two, that hold no more than ``head`` words.
+    The frequent words are those seen LEAST_SEEN times or more whose count is in the highest classes, sixteenths of a power of two, that hold no more than ``head`` words.
     """
     classes = F.floor(F.log2("c") * 16).cast("int")
     held = sorted(((r["k"], r["n"]) for r in counts.filter(F.col("word") != END).groupBy(classes.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
     room = list(itertools.accumulate(n for _, n in held))
-    least = next((k + 1 for (k, _), n in zip(held, room, strict=True) if n > head), 0)
+    least = max(int(math.log2(LEAST_SEEN) * 16), next((k + 1 for (k, _), n in zip(held, room, strict=True) if n > head), 0))
     frequent = counts.filter((F.col("word") != END) & (classes >= least)).orderBy(F.desc("c"), "word").collect()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     words, known = {r["word"].encode(): i for i, r in enumerate(frequent)}, np.array([r["c"] for r in frequent], np.int64)
@@ -426,25 +473,19 @@ def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int
     broadcast = docs.sparkSession.sparkContext.broadcast
     training, coding = common.texts(docs).filter(common.id_crc(folds) != 0), broadcast(coder)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, mixer = None, Mixer()
         for batch in _chunks(batches):
             tables = tables or Tables.empty(coding.value)
-            tables.learn(common.encoded(batch))
-        for k, block, data in tables.parts() if tables else ():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["t", "block", "data"])
+            tables.learn(common.encoded(batch), mixer)
+        if tables:
+            for k, block, data in [*tables.parts(), (MIXER, 0, mixer.packed())]:
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["t", "block", "data"])
 
-    found = _summed(training.mapInArrow(count, "t int, block int, data binary")).collect()
+    learned = common.saved(training.mapInArrow(learn, "t int, block int, data binary"), "model-parts")
+    found = _summed(learned.filter(F.col("t") != MIXER)).collect()
     parts = broadcast((coder, sorted((r["t"], r["block"], bytes(r["data"])) for r in found)))
 
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer()
-        for batch in _chunks(batches):
-            odds = held_odds(parts.value, without_own=True)
-            for stream in odds.coder.code(common.encoded(batch))[-1]:
-                mixer.learn(stream.bit, *odds.look(stream))
-        yield pa.record_batch([pa.array([mixer.packed()], pa.binary())], names=["data"])
-
     # The mixers are added up in tasks before they are collected: as many rows as ADDERS, of fixed size.
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -454,8 +495,119 @@ def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int
         if total is not None:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["data"])
 
-    learned = training.mapInArrow(mix, "data binary").repartition(ADDERS).mapInArrow(add, "data binary").collect()
-    return parts, Mixer.of(sorted(bytes(r["data"]) for r in learned))
+    mixers = learned.filter(F.col("t") == MIXER).select("data").repartition(ADDERS).mapInArrow(add, "data binary").collect()
+    return parts, Mixer.of(sorted(bytes(r["data"]) for r in mixers))
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def passages(coded: Coded, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, hash of the context, hash of the words) of each passage: from a picked context to the next, or to the end of the text."""
+    ids, n = coded.ids, len(coded.ids)
+    with np.errstate(over="ignore"):
+        own = _mix64(ids.astype(np.uint64) + np.uint64(1))
+        own[coded.rare_at] = np.fromiter(map(xxhash.xxh64_intdigest, coded.rare), np.uint64, len(coded.rare))
+        context = np.zeros(n, np.uint64)
+        for k in range(1, CONTEXT + 1):
+            context[k:] = context[k:] * np.uint64(0x9E3779B97F4A7C15) + own[: n - k]
+        context = _mix64(context)
+        place = np.arange(n) - np.repeat(np.cumsum(coded.sizes) - coded.sizes, coded.sizes)
+        at = np.flatnonzero((context % np.uint64(every) == 0) & (place >= CONTEXT))
+        if not len(at):
+            return at, context[at], context[at]
+        first = np.cumsum(coded.sizes) - coded.sizes
+        # sums run from a passage's start to the next one's, or to the next text's
+        bounds = np.union1d(at, first)
+        since = np.arange(n) - np.repeat(bounds, np.diff(np.append(bounds, n)))
+        sums = np.add.reduceat(_mix64(own + (since.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), bounds)
+    return at, context[at], sums[np.searchsorted(bounds, at)]
+
+
+#: What :func:`_first_scores` returns of each row: sums over its frequent words for the base score, bits before the first passage, its passages, its infrequent words with the passage each lies in (0: before the first).
+FIRST = "row_key long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, head_sum double, bits double, passages array<struct<context:long,words:long,bits:float>>, rare array<struct<word:string,passage:int,spelled:float>>"
+
+
+def _first_scores(docs: DataFrame, parts: Broadcast, mixer: Mixer, ends: int, folds: int) -> DataFrame:
+    coder = parts.value[0]
+    known = np.log10(np.concatenate([coder.head_counts, [0, ends]]) + 0.1)
+    held = common.id_crc(folds) == 0
+
+    def lists(sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+    def score(batch: pa.RecordBatch, odds: Odds, key: int) -> pa.RecordBatch:
+        texts = common.encoded(batch)
+        coded, n = odds.coder.code(texts), len(texts)
+        bits = [s.by_symbol(mixer.code_length(s.bit, *odds.look(s))) for s in coded.streams]
+        spelled = np.add.reduceat(bits[1], np.cumsum(coded.rare_sizes) - coded.rare_sizes) if coded.rare else np.zeros(0)
+        at, context, words = passages(coded)
+        # which passage of its text each token lies in
+        starts = np.zeros(len(coded.ids), np.int64)
+        starts[at] = 1
+        number = np.cumsum(starts)
+        first = np.cumsum(coded.sizes) - coded.sizes
+        number -= np.repeat(number[first] - starts[first], coded.sizes)
+        cost = np.zeros(0)
+        if len(at):
+            cost = np.bincount(np.cumsum(starts)[number > 0] - 1, bits[0][number > 0], len(at))
+        in_head = (coded.ids >= 0) & (known[coded.ids] > -1)
+        columns = [
+            pa.array(np.arange(n) + key), batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(coded.sizes),
+            pa.array(np.bincount(coded.doc, in_head, n).astype(np.int64)), pa.array(np.bincount(coded.doc, np.where(coded.ids >= 0, known[coded.ids], 0), n)),
+            pa.array(np.bincount(coded.doc, np.where(number == 0, bits[0], 0), n)),
+            lists(np.bincount(coded.doc[at], minlength=n), {"context": pa.array(context.view(np.int64)), "words": pa.array(words.view(np.int64)), "bits": pa.array(cost.astype(np.float32))}),
+            lists(np.bincount(coded.doc[coded.rare_at], minlength=n), {"word": pa.array(coded.rare, pa.binary()).cast(pa.string()), "passage": pa.array(number[coded.rare_at].astype(np.int32)), "spelled": pa.array(spelled.astype(np.float32))}),
+        ]
+        return pa.record_batch(columns, names=[f.split()[0] for f in FIRST.replace("struct<context:long,words:long,", "").replace("struct<word:string,passage:int,", "").split(", ")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 40  # the same in a task that is run again
+        for batch in _chunks(batches):
+            for odds in held_odds(parts.value):
+                own = batch.filter(pa.array(np.array(batch.column(2).to_pylist(), bool) != odds.without_own))
+                if own.num_rows:
+                    yield score(own, odds, key)
+                    key += own.num_rows
+
+    return common.texts(docs, held.alias("held_out")).mapInArrow(work, FIRST)
+
+
+#: A context with at least so many times its even share of passages is joined from a broadcast, of at most this many rows.
+HOT = 1000
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """Each passage of each row, with what mostly followed its context in the training, the passage at hand left out:
+    ``n`` times of ``total``, and whether the passage is it (``same``); n is null where the context was not seen."""
+    each = rows.select("row_key", "held_out", F.posexplode("passages").alias("i", "p")).select("row_key", "held_out", (F.col("i") + 1).alias("passage"), "p.*")
+    counted = each.filter("not held_out").groupBy("context", "words").agg(F.count("*").alias("n"))
+    table = common.saved(counted.groupBy(F.col("context").alias("c")).agg(F.sum("n").alias("total"), F.max(F.struct("n", "words")).alias("top")), "passages")
+    # fewer than HOT contexts can have over one in HOT of all passages
+    share = F.lit((table.agg(F.sum("total")).first()[0] or 0) / HOT)
+    hot = F.broadcast(table.filter(F.col("total") > share))
+    found = each.join(hot, F.col("context") == F.col("c")).unionByName(each.join(hot.select("c"), F.col("context") == F.col("c"), "left_anti").join(table.hint("merge"), F.col("context") == F.col("c"), "left"))
+    same = F.coalesce(F.col("top.words") == F.col("words"), F.lit(False))
+    own = (~F.col("held_out")).cast("long")
+    n, total = F.col("top.n") - F.when(same, own).otherwise(0), F.col("total") - own
+    # where only the passage itself is the most frequent, another that followed once is expected, and is not it
+    return found.select("row_key", "held_out", "passage", "bits", F.when(total > 0, F.greatest(n, F.lit(1))).alias("n"), total.alias("total"), (same & (n > 0)).alias("same"))
+
+
+def _flags(followed: DataFrame) -> DataFrame:
+    """Adds ``flag``, the bits of saying whether a passage is what was expected, by how often that followed and whether anything else did."""
+    gate = F.when(F.col("n").isNotNull(), F.least(F.col("n"), F.lit(8)) * 2 + (F.col("n") == F.col("total")).cast("long"))
+    followed = followed.withColumn("gate", gate)
+    turned = followed.filter("gate is not null and not held_out").groupBy("gate").agg(F.count_if("same").alias("hits"), F.count("*").alias("all")).collect()  # at most 16 rows
+    chance = {r["gate"]: (r["hits"] + 0.5) / (r["all"] + 1) for r in turned}
+    flag = F.lit(1.0)  # a gate that training never met
+    for g, p in sorted(chance.items()):
+        flag = F.when(F.col("gate") == g, F.when(F.col("same"), -math.log2(p)).otherwise(-math.log2(1 - p))).otherwise(flag)
+    return followed.withColumn("flag", F.when(F.col("gate").isNotNull(), flag).otherwise(0.0))
 
 
 def scored(docs: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, folds: int = FOLDS) -> DataFrame:
@@ -465,49 +617,40 @@ def scored(docs: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, fold
     bits_per_byte (null for an empty text). A null or empty text is its end token.
     """
     counts = common.saved(word_counts(docs, folds), "word-counts")
-    seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
+    seen = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
+        F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends"),
+    ).first()
     parts, mixer = train(docs, counts, head, table_bits, folds)
-    coder = parts.value[0]
-    known = np.log10(np.concatenate([coder.head_counts, [0, seen["ends"]]]) + 0.1)
-    schema = "row_key long, doc_id long, n_bytes long, n_tokens long, n_head long, head_sum double, bits double, rare array<struct<word:string,n:long>>"
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = int.from_bytes(os.urandom(7), "little")
-        for batch in _chunks(batches):
-            odds = held_odds(parts.value, without_own=False)
-            texts = common.encoded(batch)
-            sizes, ids, rare, rare_doc, streams = odds.coder.code(texts)
-            bits = sum(s.by_document(mixer.code_length(s.bit, *odds.look(s))) for s in streams)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            ids[np.cumsum(sizes) - 1] = odds.coder.end
-            in_head = (ids >= 0) & (known[ids] > -1)
-            bounds = np.searchsorted(rare_doc, np.arange(len(texts) + 1)).tolist()
-            counters = [Counter(rare[a:b]) for a, b in itertools.pairwise(bounds)]
-            columns = [
-                pa.array(np.arange(len(texts)) + key), batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes),
-                pa.array(np.bincount(owner, in_head, len(texts)).astype(np.int64)), pa.array(np.bincount(owner, np.where(ids >= 0, known[ids], 0), len(texts))),
-                pa.array(bits), pa.array([[{"word": w.decode(), "n": n} for w, n in c.items()] for c in counters], rare_type),
-            ]
-            key += len(texts)
-            yield pa.record_batch(columns, names=["row_key", "doc_id", "n_bytes", "n_tokens", "n_head", "head_sum", "bits", "rare"])
-
-    rows = common.saved(common.texts(docs).mapInArrow(work, schema), "scores")
-    rare = rows.select("row_key", F.explode("rare").alias("r")).select("row_key", F.col("r.word").alias("rare_word"), F.col("r.n").alias("times"))
-    counted = rare.join(counts.hint("merge"), F.col("rare_word") == F.col("word"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    of_row = counted.groupBy(F.col("row_key").alias("k")).agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"))
-    joined = rows.drop("rare").join(of_row.hint("merge"), F.col("row_key") == F.col("k"), "left")
+    rows = common.saved(_first_scores(docs, parts, mixer, seen["ends"], folds), "scores")
+    # infrequent words: all that are not in the head
+    infrequent = max(parts.value[0].escapes, 1)
+    new = min(max(seen["once"] / infrequent, 0.001), 0.999)
+    rare = rows.select("row_key", "held_out", F.explode("rare").alias("r")).select("row_key", "held_out", "r.*")
+    counted = rare.join(counts.select(F.col("word").alias("w"), "c").hint("merge"), F.col("word") == F.col("w"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    others = F.greatest(F.col("c") - (~F.col("held_out")).cast("long"), F.lit(0))
+    chance = F.lit(new) * F.pow(F.lit(2.0), -F.col("spelled")) + F.lit((1 - new) / infrequent) * others
+    spelled = F.least(-F.log2(F.greatest(chance, F.lit(1e-300))), F.col("spelled") - math.log2(new))
+    words = counted.select("row_key", "passage", spelled.alias("bits"), F.lit(0.0).alias("flag"), F.lit(False).alias("same"), F.log10(F.col("c") + 0.1).alias("base"), (F.col("c") > 0).cast("long").alias("known"))
+    coded = _flags(common.saved(_followed(rows), "passages-followed"))
+    passages_ = coded.select("row_key", "passage", F.col("bits").cast("double").alias("bits"), "flag", "same", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
+    # both groupings lie by row_key, so the rows move once
+    moved = words.unionByName(passages_).repartition("row_key")
+    of_passage = moved.groupBy("row_key", "passage").agg(F.sum("bits").alias("bits"), F.sum("flag").alias("flag"), F.max("same").alias("same"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+    of_row = of_passage.groupBy(F.col("row_key").alias("k")).agg(F.sum(F.col("flag") + F.when(F.col("same"), 0.0).otherwise(F.col("bits"))).alias("more"), F.sum("base").alias("rare_sum"), F.sum("known").alias("n_rare"))
+    joined = rows.drop("rare", "passages").join(of_row.hint("merge"), F.col("row_key") == F.col("k"), "left")
     each = math.log10(seen["n"] + 0.1 * (seen["v"] + 1))
+    bits = F.col("bits") + F.coalesce("more", F.lit(0.0))
     return joined.select(
         "doc_id",
-        (common.id_crc(folds) == 0).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
         F.lit(seen["n"]).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        (-F.col("bits") * math.log10(2)).alias("score"),
+        (-bits * math.log10(2)).alias("score"),
         "n_bytes",
-        F.try_divide("bits", "n_bytes").alias("bits_per_byte"),
+        F.try_divide(bits, "n_bytes").alias("bits_per_byte"),
     )
 
 

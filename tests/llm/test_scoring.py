@@ -62,19 +62,163 @@ def test_only_held_out(spark):
     assert len(got) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
 
 
-def test_chances_of_single_words_add_up_to_one_at_most():
+def small_model():
     head = {w: i for i, w in enumerate([b"a", b"bc", b"d", b"e"])}
     coder = scoring.Coder(head, np.array([8, 4, 2, 1]), 3, 5, 15)
-    tables = scoring.Tables.empty(coder)
-    tables.learn([b"a bc a d", b"e a a", b"zz a"])
-    odds = scoring.Odds.of(coder, list(tables.parts()), without_own=False)
-    mixer = scoring.Mixer.of([scoring.Mixer().packed()])
+    tables, mixer = scoring.Tables.empty(coder), scoring.Mixer()
+    for texts in ([b"a bc a d", b"e a a"], [b"zz a", b"a bc zzq a"]):
+        tables.learn(texts, mixer)
+    return coder, list(tables.parts()), scoring.Mixer.of([mixer.packed()])
+
+
+def test_chances_of_single_words_add_up_to_one_at_most():
+    coder, parts, mixer = small_model()
+    odds = scoring.Odds.of(coder, parts, without_own=False)
 
     def bits(text):
-        streams = coder.code([text])[-1]
-        return sum(s.by_document(mixer.code_length(s.bit, *odds.look(s)))[0] for s in streams)
+        return sum(mixer.code_length(s.bit, *odds.look(s)).sum() - (s.by_symbol(mixer.code_length(s.bit, *odds.look(s)))[-1] if text and not i else 0) for i, s in enumerate(coder.code([text]).streams))
 
-    empty = 2.0 ** -bits(b"")
     # a text begins with its end, a word of the head, or an escape; the words of one letter are part of what follows an escape
-    after = [w for w in head] + [bytes([c]) for c in range(33, 127) if bytes([c]) not in head]
-    assert empty + sum(2.0 ** -bits(w) for w in after) <= 1.0 + 1e-6
+    after = [w for w in coder.head] + [bytes([c]) for c in range(33, 127) if not 65 <= c <= 90 and bytes([c]) not in coder.head]
+    assert 2.0 ** -bits(b"") + sum(2.0 ** -bits(w) for w in after) <= 1.0 + 1e-6
+
+
+def mix32(x):
+    x = x * 0xD6E8FEB86659FD93 % 2**64
+    x = (x ^ x >> 31) * 0x7FB5D329728EA185 % 2**64
+    x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D % 2**64
+    return x >> 32
+
+
+class Plain:
+    """The coder and mixer one bit at a time, from its docstring."""
+
+    def __init__(self, coder):
+        self.coder, self.counts = coder, {}
+        self.weights = [[0.4] * 3 for _ in range(scoring.GATES)]
+
+    def path(self, tree, symbol):
+        at, n = int(tree.offset[symbol]), int(tree.length[symbol])
+        return [(int(tree.bit[i]), int(tree.node[i]), int(tree.depth[i])) for i in range(at, at + n)]
+
+    def steps(self, text):
+        """(bit, the keys of its slots, the depth's part of its gate) of words, then of bytes."""
+        c, words, letters = self.coder, [], []
+        toks = text.lower().split()
+        own = [c.head.get(w, -1) for w in toks]
+        symbols = [c.escape if i < 0 else i for i in own] + [c.end]
+        kinds = [(i if 0 <= i < scoring.OWN_CLASS else scoring.OWN_CLASS + w[-1]) for i, w in zip(own, toks, strict=True)]
+        seen = []
+        for i, symbol in enumerate(symbols):
+            previous = kinds[i - 1] + 1 if i else 0
+            recent = [seen[-k] + 1 if len(seen) >= k else 0 for k in (1, 2)]
+            contexts = [None, previous, recent[0] * (scoring.COMMON + 1) + recent[1]]
+            words += [(bit, contexts, node, depth) for bit, node, depth in self.path(c.words, symbol)]
+            if symbol < min(scoring.COMMON, len(c.head)):
+                seen.append(symbol)
+        for w in (w for w, i in zip(toks, own, strict=True) if i < 0):
+            spelled = w + b" "
+            for i, byte in enumerate(spelled):
+                b = [spelled[i - k] if i >= k else scoring.STOP for k in (1, 2, 3, 4)]
+                contexts = [b[0] << 8 | b[1], (b[0] << 8 | b[1]) << 8 | b[2], ((b[0] << 8 | b[1]) << 8 | b[2]) << 8 | b[3]]
+                letters += [(bit, contexts, node, depth) for bit, node, depth in self.path(c.letters, byte)]
+        slot = lambda k, context, node: ((node if context is None else mix32(context * 4 + k + 1) ^ node) * 0x9E3779B1 % 2**32) >> (32 - c.table_bits)
+        return [[(bit, [(k, slot(k, x, node)) for k, x in enumerate(contexts)], depth) for bit, contexts, node, depth in part] for part in (words, letters)]
+
+    def odds(self, keys, less=None):
+        out, gate = [], 0
+        for k, key in enumerate(keys):
+            zeros, ones = self.counts.get(key, (0, 0))
+            zeros, ones = max(zeros - (less == 0), 0), max(ones - (less == 1), 0)
+            out.append(math.log(ones + scoring.DELTA) - math.log(zeros + scoring.DELTA))
+            if k:
+                n = zeros + ones
+                gate += ((n > 0) + (n > 2) + (n > 12)) << (2 if k == 1 else 0)
+        return out, gate
+
+    def learn(self, texts):
+        """Predicts the bits of all texts with what was known before, then learns from them."""
+        for part in (0, 1):
+            bits = [step for t in texts for step in self.steps(t)[part]]
+            pull, curve = {}, {}
+            for bit, keys, depth in bits:
+                x, gate = self.odds(keys)
+                gate += depth
+                mixed = max(min(sum(a * b for a, b in zip(x, self.weights[gate], strict=True)), scoring.MOST), -scoring.MOST)
+                p = 1 / (1 + math.exp(-mixed))
+                pull[gate] = pull.get(gate, 0) + np.array(x) * (bit - p)
+                curve[gate] = curve.get(gate, 0) + np.outer(x, x) * p * (1 - p)
+            for gate in pull:
+                self.weights[gate] = self.weights[gate] + scoring.RATE * np.clip(np.linalg.solve(curve[gate] + 30 * np.eye(3), pull[gate]), -1, 1)
+            for bit, keys, _ in bits:
+                for key in keys:
+                    zeros, ones = self.counts.get(key, (0, 0))
+                    self.counts[key] = (zeros + (bit == 0), ones + (bit == 1))
+
+
+def test_against_a_coder_of_one_bit_at_a_time():
+    coder, parts, mixer = small_model()
+    plain = Plain(coder)
+    for texts in ([b"a bc a d", b"e a a"], [b"zz a", b"a bc zzq a"]):
+        plain.learn(texts)
+    used = [g for g in range(scoring.GATES) if mixer.used[g]]
+    assert len(used) > 5
+    np.testing.assert_allclose(mixer.weights[used], np.array([plain.weights[g] for g in used]), atol=1e-4)
+    for text, own in ((b"a bc zz e", False), (b"", False), (b"new words A bc", False), (b"a bc a d", True), (b"a bc zzq a", True)):
+        odds = scoring.Odds.of(coder, parts, without_own=own)
+        for stream, steps in zip(coder.code([text]).streams, plain.steps(text), strict=False):
+            got = mixer.code_length(stream.bit, *odds.look(stream))
+            for bits, (bit, keys, depth) in zip(got, steps, strict=True):
+                x, gate = plain.odds(keys, bit if own else None)
+                mixed = sum(a * b for a, b in zip(x, plain.weights[gate + depth], strict=True))
+                turned = mixer.turned[gate + depth, min(max(round(mixed * 2) + 16, 0), 32)]
+                near = []
+                for m in (mixed - 0.06, mixed, mixed + 0.06):  # odds and mix are rounded
+                    cell = min(max(round(m * 2) + 16, 0), 32)
+                    turned = mixer.turned[gate + depth, cell]
+                    refined = (turned[1] + 20 / (1 + math.exp(-(cell - 16) / 2))) / (turned.sum() + 20)
+                    p = 0.5 / (1 + math.exp(-m)) + 0.5 * refined
+                    near.append(-math.log2(p if bit else 1 - p))
+                assert min(near) - 0.02 <= bits <= max(near) + 0.02
+
+
+def test_passages_are_alike_in_copies_and_cover_the_text_from_the_first_on():
+    coder, *_ = small_model()
+    rng = np.random.default_rng(2)
+    shared = " ".join(f"s{i}" for i in rng.integers(0, 50, 300))
+    texts = [f"x y {shared}".encode(), f"quite another beginning {shared} and end".encode(), b"", b"a b"]
+    coded = coder.code(texts)
+    at, context, words = scoring.passages(coded, every=8)
+    of = [[(c, w) for a, c, w in zip(at, context, words, strict=True) if coded.doc[a] == d] for d in range(4)]
+    assert len(of[0]) > 15 and not of[2] and not of[3]
+    assert len(set(of[0]) & set(of[1])) >= len(of[0]) - 2
+    other = scoring.passages(coder.code([texts[1]]), every=8)
+    assert [(c, w) for c, w in zip(*other[1:], strict=True)] == of[1]
+
+
+def test_passages_followed_against_a_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 5 == 0, [(int(c), int(rng.integers(1 + c % 4)), 1.0) for c in rng.integers(0, 12, 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_key long, held_out boolean, passages array<struct<context:long,words:long,bits:float>>")
+    got = {(r["row_key"], r["passage"]): (r["n"], r["total"], r["same"]) for r in scoring._followed(df).collect()}
+    count = Counter((c, w) for _, held_out, ps in rows if not held_out for c, w, _ in ps)
+    assert len(got) == 360
+    for i, held_out, ps in rows:
+        for k, (c, w, _) in enumerate(ps):
+            mine = {words: n for (context, words), n in count.items() if context == c}
+            top = max(mine, key=lambda x: (mine[x], x), default=None)
+            n = mine[top] - (w == top and not held_out) if mine else 0
+            total = sum(mine.values()) - (not held_out)
+            want = (max(n, 1), total, w == top and n > 0) if mine and total > 0 else (None, None, False)
+            have = got[i, k + 1]
+            assert (have[0], have[2]) == (want[0], want[2]) and (want[1] is None or have[1] == want[1])
+
+
+def test_copies_of_a_document_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"k{i}" for i in rng.integers(0, 500, 120)) for _ in range(150)]
+    rows = [(i, t, "", "") for i, t in enumerate(texts)] + [(1000 + i, texts[i], "", "") for i in range(0, 150, 10)]
+    got = {r["doc_id"]: r for r in scoring.scored(spark.createDataFrame(rows, SCHEMA), table_bits=16).collect()}
+    alone = [got[i]["bits_per_byte"] for i in range(150) if i % 10]
+    twice = [got[i]["bits_per_byte"] for i in range(0, 150, 10) if not held(1000 + i)]
+    assert max(twice) < min(alone)
