@@ -3,7 +3,9 @@
 Rules that hold for every operator here unless its own docstring says otherwise:
 a null text is an empty text, a null ``doc_id`` is an ordinary value that sorts last, columns other
 than those named are ignored (so their names cannot clash), an empty table gives an empty result
-with the same schema, and repeated rows are each processed.
+with the same schema, and repeated rows are each processed. A text is handled whole however long it is: it is a slice of
+its own, in memory in proportion to its length. Ties are broken by doc_id and then by the text's hash; rows that agree in both are
+alike, and which of them is taken makes no difference.
 """
 
 from __future__ import annotations
@@ -41,15 +43,15 @@ def id_crc(modulus: int, doc_id: str = "doc_id") -> Column:
 SLICE_BYTES = 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about SLICE_BYTES of ``column``, so that a worker's memory does not follow the batch."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of ``column``, so that a worker's memory does not follow the batch."""
     for batch in batches:
         start = size = 0
         text = batch.column(batch.schema.get_field_index(column))
         lengths = pc.binary_length(text).to_pylist()
         for i, n in enumerate(lengths):
             size += n or 0
-            if size >= SLICE_BYTES:
+            if size >= most:
                 yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < len(lengths):

@@ -52,7 +52,7 @@ def line_hashes(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 class Runs:
-    """Runs of (h, doc_id), one row per hash over all of them, kept as tables of the session's warehouse."""
+    """Runs of (h, doc_id), one row per hash over all of them, kept as bucketed tables in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
@@ -61,7 +61,8 @@ class Runs:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        writer = df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet")
+        writer.option("path", f"{common.scratch(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def tables(self) -> list[str]:
@@ -94,7 +95,9 @@ class Runs:
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
+            files = self.spark.table(name)
             self.spark.sql(f"DROP TABLE {name}")
+            common.dropped(files)
 
     def close(self) -> None:
         self._drop(self.tables())

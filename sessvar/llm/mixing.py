@@ -26,8 +26,9 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
 MOST_PASSES = 3
 SEED = 20_240_229
-#: Documents in a hash bucket, within which positions are summed in one task.
+#: Documents in a hash bucket, within which positions are summed in one task; slots that a task lays out.
 BUCKET_DOCUMENTS = 1_000
+TASK_SLOTS = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -80,7 +81,7 @@ def _numbered(sized: DataFrame, n_docs: int) -> DataFrame:
     row per (source, bucket); no task needs all rows of a source.
     """
     buckets = 1 + n_docs // BUCKET_DOCUMENTS
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     bases = sized.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -155,7 +156,9 @@ class Mix:
 
         before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         runs = drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).filter("count > 0")
-        numbered = runs.select("shard", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("at"))
+        # the windows leave a source's runs together: they are dealt out before each becomes very many rows
+        dealt = runs.repartition(1 + total // TASK_SLOTS, "shard", "source_no")
+        numbered = dealt.select("shard", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("at"))
         return numbered.mapInPandas(place, "shard long, source_no int, turn long, block long")
 
     def taken(self) -> DataFrame:
@@ -184,24 +187,24 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     # Rows of one doc_id with one text are told apart by a number; any order will do, since they are equal.
     same = Window.partitionBy("doc_id", "text_hash").orderBy("at")
     numbered = mix.documents.filter("size > 0").withColumn("copy", F.row_number().over(same)).select("source_no", "at", "copy")
-    found = mix.spans().groupBy("source_no", "at", "doc_id", "text_hash", "size", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("parts"))
-
-    def joined(acc: Column, part: Column) -> Column:
-        last = F.element_at(acc, -1)
-        run = F.struct(last["start"].alias("start"), (last["n_words"] + part["n_words"]).alias("n_words"))
-        touches = (F.size(acc) > 0) & (last["start"] + last["n_words"] == part["start"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(run))).otherwise(F.concat(acc, F.array(part)))
-
-    empty = F.array().cast("array<struct<start:bigint,n_words:bigint>>")
-    runs = found.withColumn("run", F.explode(F.aggregate("parts", empty, joined)))
-    runs = runs.join(numbered.hint("merge"), ["source_no", "at"])
-    runs = runs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "copy", "turn", "size", "run").hint("shuffle_hash")
+    by = ["source_no", "at", "doc_id", "text_hash", "size", "turn"]
+    order = Window.partitionBy(*by).orderBy("start")
+    touches = F.coalesce(F.lag(F.col("start") + F.col("n_words")).over(order) == F.col("start"), F.lit(False))
+    parts = mix.spans().withColumn("new", (~touches).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = parts.groupBy(*by, "run").agg(F.min("start").alias("start"), F.sum("n_words").alias("n_words")).join(numbered.hint("merge"), ["source_no", "at"])
+    runs = runs.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "copy", "size").agg(F.collect_list(F.struct("start", "n_words")).alias("runs")).hint("shuffle_hash")
     whole = docs.select(*common.DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     ranked = whole.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0))))
     out = ranked.alias("t").join(runs.alias("r"), F.col("t.doc_id").eqNullSafe(F.col("r.d")) & (F.col("t.h") == F.col("r.h")) & (F.col("t.copy") == F.col("r.copy")))
-    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({common.WORD})"), F.lit(1)), (F.col("run.start") + 1).cast("int"), F.col("run.n_words").cast("int"))
-    text = F.when(F.col("run.n_words") == F.col("r.size"), F.col("text")).otherwise(F.array_join(words, " "))
-    out = out.select("t.doc_id", text.alias("text"), "lang", "source")
+
+    def cut(words: Column) -> Column:
+        joined = lambda run: F.array_join(F.slice(words, (run["start"] + 1).cast("int"), run["n_words"].cast("int")), " ")
+        return F.transform("r.runs", lambda run: F.when(run["n_words"] == F.col("r.size"), F.col("text")).otherwise(joined(run)))
+
+    # an array of one, bound to a name: the text is split once, not for each run
+    split = F.array(F.regexp_extract_all(F.col("text"), F.lit(f"({common.WORD})"), F.lit(1)))
+    texts = F.element_at(F.transform(split, cut), 1)
+    out = out.select("t.doc_id", F.explode(texts).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 def _ranked(cut: DataFrame, n: int) -> DataFrame:
     """Numbers the pieces of each length from 0. Buckets keep a frequent length from being one task's work."""
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 + n // BUCKET_PIECES)))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(1 + n // BUCKET_PIECES)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = bucketed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")

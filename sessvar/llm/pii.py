@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ from . import common
 #: Production parameters. The key here is for the tables of this repository; give your own.
 KEY = b"synthetic tables only"
 ROUNDS = 10
+#: Longer values are permuted in parts of so many places, each with its own tweak.
+MOST_PLACES = 128
 
 
 def _draw(key: bytes, tweak: str, r: int, value: int, size: int) -> int:
@@ -62,6 +65,9 @@ def places(text: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = (DIGI
     mine = [(i, alphabet_of[c]) for i, c in enumerate(text) if c in alphabet_of]
     if not mine:
         return text
+    if len(mine) > MOST_PLACES:  # so that numbers stay of bounded size
+        ends = [0, *(mine[k][0] for k in range(MOST_PLACES, len(mine), MOST_PLACES)), len(text)]
+        return "".join(places(text[a:b], key, f"{tweak}|{k}", alphabets, inverse) for k, (a, b) in enumerate(itertools.pairwise(ends)))
     half = len(mine) // 2
     sizes = [1, 1]
     value = 0
@@ -207,9 +213,10 @@ class Kind:
     valid: Callable[[str], bool] = lambda text: True
 
 
-#: In this order where candidates start at one place.
+#: In this order where candidates start at one place. Runs without a bound are possessive and begin where no run goes before them,
+#: so that no place of a long token is tried twice.
 KINDS = (
-    Kind("email", r"[\w.+%-]*[^\W_][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}", _email),
+    Kind("email", r"(?<![\w.+%-])[\w.+%-]++@(?:[^\W_][\w-]*+(?<=[^\W_])\.)+[^\W\d_]{2,}", _email, lambda text: bool(re.search(r"[^\W_]", text.rpartition("@")[0]))),
     Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _access_key),
     Kind("secret", r"(?i:(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9_+/-]{12,})", _secret, lambda text: bool(re.search(r"\d", text))),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban, _iban_valid),

@@ -97,24 +97,21 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: in
     return rows.withColumn("held_out", common.id_crc(folds) == 0).mapInPandas(work, "doc_id long, held_out boolean, score double")
 
 
-def labelled_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS) -> Discriminant:
-    """The model alone. Only labelled documents are counted."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("wanted")).distinct()
-    known = common.texts(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("wanted"), "left_semi")
-    return fit(common.saved(stats.labelled(stats.counts(known), labels, label, folds), "counts-labelled"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score ``threshold`` or more, with the columns of documents, each as it was."""
-    model = labelled_model(docs, labels)
-    whole = docs.select(*common.DOCUMENT_COLUMNS)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label: str = "quality", folds: int = FOLDS) -> DataFrame:
+    """The documents that score ``threshold`` or more, with the columns of documents, each as it was.
+
+    The texts are counted once; counts lie beside the rows in a scratch table, and only they go to Python again to be scored.
+    """
+    kept = docs.select(*common.DOCUMENT_COLUMNS)
+    counted = common.saved(kept.withColumn("counts", stats.counted(F.coalesce(F.col("text"), F.lit("")))), "counted")
+    rows = counted.select(F.col("doc_id").cast("long").alias("doc_id"), "counts.*")
+    model = fit(common.saved(stats.labelled(rows, labels, label, folds), "counts-labelled"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            texts = [t or b"" for t in common.encoded(batch)]
-            yield batch.filter(pa.array(model.score(stats.count(texts)) >= threshold))
+    @F.arrow_udf("double")
+    def score(counts: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.column_stack([f.to_numpy() for f in counts.flatten()])))
 
-    return whole.mapInArrow(work, whole.schema)
+    return counted.filter(score("counts") >= threshold).select(*common.DOCUMENT_COLUMNS)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,23 +175,24 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """doc_id, fp, text_hash and component_id, the least doc_id reachable over links of at most ``radius`` differing bits.
+    """doc_id, fp, text_hash, component_id, the least doc_id reachable over links of at most ``radius`` differing bits, and root.
 
-    Documents without words have fingerprint zero and link like any other. A component of null ids alone has a null id.
+    Documents without words have fingerprint zero and link like any other. A component of null ids alone has a null id; rows of one
+    doc_id may lie in different components, which then share an id. ``root``, a fingerprint, is each component's own.
     """
     prints = common.saved(fingerprints(docs, words), "fingerprints")
     distinct = common.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-ids")
     roots = graph.components(links(distinct, radius, most))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(of_root, "root").select(F.col("fp").alias("p"), "component_id")
-    return prints.join(of_print.hint("merge"), F.col("fp") == F.col("p")).select("doc_id", "fp", "text_hash", "component_id")
+    of_print = rooted.join(of_root, "root").select(F.col("fp").alias("p"), "component_id", "root")
+    return prints.join(of_print.hint("merge"), F.col("fp") == F.col("p")).select("doc_id", "fp", "text_hash", "component_id", "root")
 
 
 def representatives(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each near-duplicate group left, that of the least doc_id; the columns of documents."""
     found = near_duplicates(docs, words, radius)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("o"), "doc_id", "text_hash")).alias("r"))
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("o"), "doc_id", "text_hash")).alias("r"))
     chosen = chosen.select(F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h")).hint("shuffle_hash")
     hashed = docs.select(*common.DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     kept = hashed.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")

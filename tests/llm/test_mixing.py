@@ -73,3 +73,20 @@ def test_empty(spark):
     assert mixing.mixed_documents(docs).count() == 0
     nothing = spark.createDataFrame([(1, None, "en", "a", 0)], docs.schema)
     assert [tuple(r)[:2] + (r.taken,) for r in mixing.Mix(nothing).taken().collect()] == [(1, 0, 0)]
+
+
+def test_rows_of_a_null_id_are_spread_and_runs_are_cut_from_a_text_that_is_split_once(spark):
+    texts = [" ".join(f"d{i}w{k}" for k in range(30 + i)) for i in range(3_000)]
+    docs = spark.createDataFrame([(None, t, "en", "s0" if i % 4 else "s1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    mix = mixing.Mix(docs)
+    assert mix.slots.rdd.getNumPartitions() >= 1 + 3_000 * 1_000 // 64 // mixing.TASK_SLOTS // 10
+    out = mixing.mixed_documents(docs).collect()
+    whole = {t: i for i, t in enumerate(texts)}
+    taken = {}
+    for r in out:
+        words = r["text"].split()
+        i = int(words[0][1:].split("w")[0])
+        assert r["doc_id"] is None and " ".join(words) in texts[i] and r["n_chars"] == len(r["text"])
+        taken[i] = taken.get(i, 0) + len(words)
+    assert all(n <= 3 * (30 + i) for i, n in taken.items()) and len(whole) == 3_000
+    assert sum(taken.values()) == mix.taken().agg({"taken": "sum"}).first()[0]

@@ -1,6 +1,9 @@
 import datetime as dt
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,3 +69,29 @@ def test_whole_table(spark):
     for r in got:
         assert r.text == pii.pseudonymised(next(t for d, t, _ in rows if d == r.doc_id) or "")[0]
     assert pii.pseudonyms(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 300_000 + " x@ ", "x@" + "a." * 150_000, "a@" * 150_000, "1." * 150_000, "1-" * 150_000 + "@x", "x@a" + "-" * 300_000, "AB12" + " ABCD" * 60_000, "+1 " * 100_000, "token   " * 40_000],
+)
+def test_very_long_tokens_take_time_in_proportion(text):
+    began = time.monotonic()
+    pii.pseudonymised(text)
+    assert time.monotonic() - began < 5
+
+
+def test_very_long_values_come_back():
+    for text in ("token=" + "aB3" * 2_000, "x" * 5_000 + "9@mail.example.org"):
+        new, spans = pii.pseudonymised(text)
+        assert len(spans) == 1 and len(new) == len(text) and new != text
+        assert pii.pseudonymised(new, inverse=True)[0] == text
+
+
+def test_addresses_are_those_of_a_plain_pattern():
+    plain = re.compile(r"[\w.+%-]*[^\W_][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+    kind = pii.KINDS[0]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1._-@+ ") for _ in range(rng.randrange(4, 24)))
+        assert [m.span() for m in re.finditer(kind.pattern, text) if kind.valid(m[0])] == [m.span() for m in plain.finditer(text)]

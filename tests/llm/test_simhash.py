@@ -101,3 +101,11 @@ def test_whole_table(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_representatives_of_repeated_and_null_ids(spark):
+    a, b, c, d = ("one two three four five six", "quite other words stand here now", "nothing of that is said in this", "and last comes another text again")
+    rows = [(5, a, "x", "s", 1), (5, b, "x", "s", 1), (None, c, "x", "s", 1), (None, d, "x", "s", 1), (7, a, "x", "s", 1), (None, c, "x", "s", 1), (9, None, "x", "s", 1), (8, "", "x", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.representatives(docs).collect())
+    assert got == sorted([(5, a), (5, b), (0, c), (0, d), (8, "")])
