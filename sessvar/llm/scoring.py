@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded as a stream of bits. A frequent word is a path in a Huffman tree over the frequent words; any other
-word is an escape and then its bytes, each a path in a second tree. Three predictors guess every bit, each from
+word is an escape and, if it is new, its bytes, each a path in a second tree. Three predictors guess every bit, each from
 counts of zeros and ones in a table indexed by a hash of its context and the tree node: for words the
 contexts are nothing, the previous word, and the previous two; for bytes the last two, three and four.
 Their log odds are mixed by weights that a gate picks, from how much the longer contexts have seen. The
@@ -10,10 +10,10 @@ mix is then refined by how bits with that gate and mixed odds turned out.
 Training is online in every task and reads the corpus once: a chunk of text is predicted with the counts, weights and
 refinement so far, and only then do these learn from it. The tasks' counts add up to those of the whole corpus, their weights
 are averaged by how many bits they saw. Those tables are of bounded size and broadcast. Two more are Spark tables that
-grow with the corpus and are joined:
+grow with the corpus and are joined, by 64-bit hashes:
 
-- the counts of all words. An infrequent word that training knows is the mix of its share of the infrequent words and of its
-  spelling, the weight of the spelling being the share of words that occur once, as new words are expected to come.
+- the counts of all words. An infrequent word that training knows costs its share of the infrequent words; any other is spelled.
+  How likely a new word is follows from the share of words that occur once, and these are what spelling is learned from.
 - passages. After some three-word contexts, picked by hash and so alike in every copy of a passage, one more bit says whether the
   words up to the next such context are those which mostly followed it; its chance depends on how many did, and is
   learned from the corpus. If so, they need no further bits.
@@ -36,9 +36,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +50,12 @@ HEAD = 1 << 17
 TABLE_BITS = 21
 #: Times that a frequent word is seen at least; one in how many contexts, of how many words, begins a passage.
 LEAST_SEEN = 4
-EVERY, CONTEXT = 16, 3
+EVERY, CONTEXT = 24, 3
 #: Most frequent words that are classes of their own, and those that make up the longest context.
 OWN_CLASS, COMMON = 1024, 64
 FOLDS = 10
 #: Bytes of text coded at a time; rate of the weights; additive constant of the counts.
-CHUNK = 100_000
+CHUNK = 25_000
 RATE = 0.3
 DELTA = 0.4
 #: Distinct words that a task counts before it passes its counts on.
@@ -72,6 +73,8 @@ BLOCK = 1 << 16
 
 #: The end token, which no word can be, and the byte that ends a spelled word.
 END, STOP = "\n", 32
+#: Fixed value: the seed of hashes of words, as that of Spark's xxhash64.
+SEED = 42
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -138,11 +141,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A Huffman tree with what is needed at each step of each path: the bit, a hash of the node, how deep (and in which tree)."""
+    """A Huffman tree with what is needed at each step of each path: the bit, the node's number and a hash of it, how deep (and in which tree)."""
 
     offset: np.ndarray
     length: np.ndarray
     bit: np.ndarray
+    number: np.ndarray
     node: np.ndarray
     depth: np.ndarray
 
@@ -151,7 +155,7 @@ class Tree:
         offset, length, nodes, bits = huffman(weights)
         step = np.arange(len(nodes)) - np.repeat(offset, length)
         deep = (step > 2).astype(np.uint8) + (step > 5) + (step > 9)
-        return cls(offset.astype(np.int32), length.astype(np.int32), bits.astype(np.uint8), _mix(nodes * 2 + kind), ((deep + 4 * kind) * 16).astype(np.uint8))
+        return cls(offset.astype(np.int32), length.astype(np.int32), bits.astype(np.uint8), nodes.astype(np.int32), _mix(nodes * 2 + kind), ((deep + 4 * kind) * 16).astype(np.uint8))
 
 
 @dataclass
@@ -168,18 +172,37 @@ class Stream:
         return np.add.reduceat(value, self.starts, dtype=np.float64)
 
 
+def bits_of(tree: Tree, symbol: np.ndarray, contexts: list[np.ndarray | None], table_bits: int) -> Stream:
+    """A context of None is none at all: its slots are the nodes' numbers."""
+    n = tree.length[symbol]
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    at = np.arange(ends[-1], dtype=np.int32)
+    at += np.repeat(tree.offset[symbol] - ends[:-1].astype(np.int32), n)
+    at = at.astype(np.intp)
+    node, slots = tree.node[at], []
+    for k, context in enumerate(contexts):
+        if context is None:
+            slots.append(tree.number[at].astype(np.intp) & ((1 << table_bits) - 1))
+            continue
+        mixed = np.repeat(_mix(context * 4 + k + 1), n) ^ node
+        mixed *= np.uint32(0x9E3779B1)
+        mixed >>= np.uint32(32 - table_bits)
+        slots.append(mixed.astype(np.intp))
+    return Stream(tree.bit[at], slots, tree.depth[at], ends[:-1])
+
+
 @dataclass
 class Coded:
     """What a batch of texts is coded as: tokens of each text with its end, id of each token among the frequent words (-1: none; the last of each
-    text is the end), places of the others, these words, the text of each token, the bits of tokens and (if there are such words) of bytes."""
+    text is the end), places of the others, these words and their hashes, the text of each token, the bits."""
 
     sizes: np.ndarray
     ids: np.ndarray
     rare_at: np.ndarray
     rare: list[bytes]
+    hashes: np.ndarray
     doc: np.ndarray
-    streams: list[Stream]
-    rare_sizes: np.ndarray
+    stream: Stream
 
 
 @dataclass
@@ -192,15 +215,12 @@ class Coder:
     ends: int
     table_bits: int
     words: Tree = field(init=False)
-    letters: Tree = field(init=False)
 
     def __post_init__(self) -> None:
         n = len(self.head)
         self.escape, self.end = n, n + 1
         self.last_letter = np.array([w[-1] for w in self.head] + [0, 0], np.int64)
         self.words = Tree.of([int(c) for c in self.head_counts] + [self.escapes + 1, self.ends + 1], 0)
-        seen = np.bincount(np.frombuffer(b" ".join(self.head) + b" ", np.uint8), minlength=256) + 1
-        self.letters = Tree.of(seen.tolist(), 1)
 
     def code(self, texts: list[bytes]) -> Coded:
         found = [tokens(t) for t in texts]
@@ -229,33 +249,40 @@ class Coder:
         padded = np.concatenate([[-1, -1], common_at])
         start_of = first[doc]
         recent = [np.where((at := padded[rank + 1 - k]) >= start_of, symbol[np.maximum(at, 0)] + 1, 0) for k in (0, 1)]
-        lengths = np.zeros(0, np.int64)
-        streams = [self._bits(self.words, symbol, [None, previous, recent[0] * (COMMON + 1) + recent[1]])]
-        if rare:
-            raw = np.frombuffer(b" ".join(rare) + b" ", np.uint8).astype(np.int64)
-            lengths = np.array([len(w) + 1 for w in rare], np.int64)
-            place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            back = [np.where(place >= k, np.concatenate([np.full(k, STOP), raw[:-k]])[: len(raw)], STOP) for k in (1, 2, 3, 4)]
-            contexts = [back[0] << 8 | back[1]]
-            contexts += [contexts[0] << 8 | back[2], (contexts[0] << 8 | back[2]) << 8 | back[3]]
-            streams.append(self._bits(self.letters, raw, contexts))
+        stream = bits_of(self.words, symbol, [None, previous, recent[0] * (COMMON + 1) + recent[1]], self.table_bits)
         ids[last] = self.end
-        return Coded(sizes, ids, at_unknown, rare, doc, streams, lengths)
-
-    def _bits(self, tree: Tree, symbol: np.ndarray, contexts: list[np.ndarray | None]) -> Stream:
-        """A context of None is none at all."""
-        n = tree.length[symbol]
-        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        at = np.arange(ends[-1], dtype=np.int32)
-        at += np.repeat(tree.offset[symbol] - ends[:-1].astype(np.int32), n)
-        at = at.astype(np.intp)
-        node, slots = tree.node[at], []
-        for k, context in enumerate(contexts):
-            mixed = node.copy() if context is None else np.repeat(_mix(context * 4 + k + 1), n) ^ node
-            mixed *= np.uint32(0x9E3779B1)
-            mixed >>= np.uint32(32 - self.table_bits)
-            slots.append(mixed.astype(np.intp))
-        return Stream(tree.bit[at], slots, tree.depth[at], ends[:-1])
+        digest = xxhash.xxh64_intdigest
+        return Coded(sizes, ids, at_unknown, rare, np.fromiter((digest(w, SEED) for w in rare), np.uint64, len(rare)), doc, stream)
+
+
+@dataclass
+class Speller:
+    """Words to bits, byte by byte with a space at the end, under contexts of the last two, three and four bytes."""
+
+    weights: list[int]
+    table_bits: int
+    letters: Tree = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.letters = Tree.of(self.weights, 1)
+
+    def code(self, words: list[bytes]) -> tuple[Stream, np.ndarray]:
+        """The bits, and the first byte of each word. There is at least one word."""
+        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(raw)) - np.repeat(starts, lengths)
+        back = [np.where(place >= k, np.concatenate([np.full(k, STOP), raw[:-k]])[: len(raw)], STOP) for k in (1, 2, 3, 4)]
+        two = back[0] << 8 | back[1]
+        three = two << 8 | back[2]
+        return bits_of(self.letters, raw, [two, three, three << 8 | back[3]], self.table_bits), starts
+
+    def spelled(self, words: list[bytes], odds: Odds, mixer: Mixer) -> np.ndarray:
+        """The bits of each word."""
+        if not words:
+            return np.zeros(0)
+        stream, starts = self.code(words)
+        return np.add.reduceat(stream.by_symbol(mixer.code_length(stream.bit, *odds.look(stream))), starts)
 
 
 def _seen(total: np.ndarray) -> np.ndarray:
@@ -279,12 +306,11 @@ def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Tables:
     """Counts of zeros and ones by predictor and slot, next to each other."""
 
-    coder: Coder
     counts: np.ndarray
 
     @classmethod
-    def empty(cls, coder: Coder) -> Tables:
-        return cls(coder, np.zeros((PREDICTORS, 2 << coder.table_bits), np.uint32))
+    def empty(cls, table_bits: int) -> Tables:
+        return cls(np.zeros((PREDICTORS, 2 << table_bits), np.uint32))
 
     def parts(self) -> Iterator[tuple[int, int, bytes]]:
         """(table, block, compressed counts) of blocks that are not empty."""
@@ -308,11 +334,10 @@ class Tables:
         for k in range(PREDICTORS):
             np.add.at(self.counts[k], stream.slots[k] * 2 + stream.bit, np.uint32(1))
 
-    def learn(self, texts: list[bytes], mixer: Mixer) -> None:
-        """Predicts each bit with what was learned before these texts, then learns from them."""
-        for stream in self.coder.code(texts).streams:
-            mixer.learn(stream.bit, *self.look(stream))
-            self.add(stream)
+    def learn(self, stream: Stream, mixer: Mixer) -> None:
+        """Predicts each bit with what was learned before these, then learns from them."""
+        mixer.learn(stream.bit, *self.look(stream))
+        self.add(stream)
 
 
 @dataclass
@@ -322,14 +347,13 @@ class Odds:
     ``without_own``: two numbers a slot, as if the bit at hand, zero or one, had not been counted.
     """
 
-    coder: Coder
     odds: np.ndarray
     without_own: bool
 
     @classmethod
-    def of(cls, coder: Coder, parts: list[tuple[int, int, bytes]], without_own: bool) -> Odds:
+    def of(cls, table_bits: int, parts: list[tuple[int, int, bytes]], without_own: bool) -> Odds:
         each, unpack = 2 if without_own else 1, zstandard.ZstdDecompressor().decompress
-        odds = np.zeros((PREDICTORS, each << coder.table_bits), np.int16)
+        odds = np.zeros((PREDICTORS, each << table_bits), np.int16)
         for k, block, data in parts:
             counts = np.frombuffer(unpack(data), np.uint64).astype(np.float32).reshape(-1, 2)
             for own in range(each):
@@ -338,7 +362,7 @@ class Odds:
                     zeros, ones = (np.maximum(zeros - 1, 0), ones) if own == 0 else (zeros, np.maximum(ones - 1, 0))
                 value = np.rint(_log_odds(zeros, ones) * 64).astype(np.int16) << 2 | _seen(zeros + ones).astype(np.int16)
                 odds[k, block * (BLOCK // 2) * each + own :: each][: len(value)] = value
-        return cls(coder, odds, without_own)
+        return cls(odds, without_own)
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
         """As :meth:`Tables.look`, of the whole corpus."""
@@ -351,15 +375,15 @@ class Odds:
         return found, gate.astype(np.intp)
 
 
-_HELD: list = []
+_HELD: dict[tuple[int, bool], tuple[object, Odds]] = {}
 
 
-def held_odds(parts: tuple) -> tuple[Odds, Odds]:
-    """The odds of what was broadcast, for held-out texts and for those of the training, made once for each worker that is used again."""
-    if not (_HELD and _HELD[0] is parts):
-        _HELD.clear()
-        _HELD.extend([parts, (Odds.of(*parts, without_own=False), Odds.of(*parts, without_own=True))])
-    return _HELD[1]
+def held_odds(model: Model, without_own: bool) -> Odds:
+    """The odds of a model that was broadcast, for texts outside its training or inside, made once for each worker that is used again."""
+    place = (model.kind, without_own)
+    if place not in _HELD or _HELD[place][0] is not model:
+        _HELD[place] = (model, Odds.of(model.coder.table_bits, model.parts, without_own))
+    return _HELD[place][1]
 
 
 @dataclass
@@ -426,14 +450,24 @@ class Mixer:
         return self.costs[level]
 
 
+@dataclass
+class Model:
+    """A coder (kind 0: of texts, 1: of words) with the summed parts of its tables and its mixer; of bounded size."""
+
+    kind: int
+    coder: Coder | Speller
+    parts: list[tuple[int, int, bytes]]
+    mixer: Mixer
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of about CHUNK bytes of text."""
     for batch in common.slices(batches):
-        sizes = np.array([len(t) for t in common.encoded(batch)])
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // CHUNK
-        for _, rows in itertools.groupby(range(len(sizes)), key=group.__getitem__):
-            own = list(rows)
-            yield batch.slice(own[0], len(own))
+        bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(sizes)]
+        for low, high in itertools.pairwise(bounds):
+            yield batch.slice(low, high - low)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -456,37 +490,21 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.repartition("t", "block").mapInArrow(work, parts.schema)
 
 
-def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, folds: int = FOLDS) -> tuple[Broadcast, Mixer]:
-    """The coder and the summed tables, broadcast, and the mixer, all of bounded size: at most ``head`` words and ``PREDICTORS * 2**table_bits`` slots.
-
-    The frequent words are those seen LEAST_SEEN times or more whose count is in the highest classes, sixteenths of a power of two, that hold no more than ``head`` words.
-    """
-    classes = F.floor(F.log2("c") * 16).cast("int")
-    held = sorted(((r["k"], r["n"]) for r in counts.filter(F.col("word") != END).groupBy(classes.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    room = list(itertools.accumulate(n for _, n in held))
-    least = max(int(math.log2(LEAST_SEEN) * 16), next((k + 1 for (k, _), n in zip(held, room, strict=True) if n > head), 0))
-    frequent = counts.filter((F.col("word") != END) & (classes >= least)).orderBy(F.desc("c"), "word").collect()
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
-    words, known = {r["word"].encode(): i for i, r in enumerate(frequent)}, np.array([r["c"] for r in frequent], np.int64)
-    bits = min(table_bits, max(15, math.ceil(math.log2(total[0] + 1)) + 1))
-    coder = Coder(words, known, total[0] - total[1] - int(known.sum()), total[1], bits)
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    training, coding = common.texts(docs).filter(common.id_crc(folds) != 0), broadcast(coder)
+def _learned(rows: DataFrame, kind: int, coder: Coder | Speller) -> Model:
+    """The model of the texts (or words) of ``rows``, read once; the tasks' tables and mixers are summed in tasks, and their sums, of bounded size, collected."""
+    coding = rows.sparkSession.sparkContext.broadcast(coder)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, mixer = None, Mixer()
         for batch in _chunks(batches):
-            tables = tables or Tables.empty(coding.value)
-            tables.learn(common.encoded(batch), mixer)
+            tables = tables or Tables.empty(coding.value.table_bits)
+            coded = coding.value.code(common.encoded(batch))
+            tables.learn(coded[0] if kind else coded.stream, mixer)
         if tables:
             for k, block, data in [*tables.parts(), (MIXER, 0, mixer.packed())]:
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["t", "block", "data"])
 
-    learned = common.saved(training.mapInArrow(learn, "t int, block int, data binary"), "model-parts")
-    found = _summed(learned.filter(F.col("t") != MIXER)).collect()
-    parts = broadcast((coder, sorted((r["t"], r["block"], bytes(r["data"])) for r in found)))
-
-    # The mixers are added up in tasks before they are collected: as many rows as ADDERS, of fixed size.
+    # As many rows as ADDERS, of fixed size, are collected.
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -495,8 +513,37 @@ def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int
         if total is not None:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["data"])
 
+    learned = common.saved(rows.mapInArrow(learn, "t int, block int, data binary"), "model-parts")
+    found = _summed(learned.filter(F.col("t") != MIXER)).collect()
     mixers = learned.filter(F.col("t") == MIXER).select("data").repartition(ADDERS).mapInArrow(add, "data binary").collect()
-    return parts, Mixer.of(sorted(bytes(r["data"]) for r in mixers))
+    common.dropped(learned)
+    return Model(kind, coder, sorted((r["t"], r["block"], bytes(r["data"])) for r in found), Mixer.of(sorted(bytes(r["data"]) for r in mixers)))
+
+
+def _fitting(n: int, most: int) -> int:
+    """Table bits for ``n`` symbols."""
+    return min(most, max(15, math.ceil(math.log2(n + 1)) + 1))
+
+
+def train(docs: DataFrame, counts: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, folds: int = FOLDS) -> tuple[Model, Model]:
+    """The models of texts and of the spelling of new words, of bounded size: at most ``head`` words and ``PREDICTORS * 2**table_bits`` slots each.
+
+    The frequent words are those seen LEAST_SEEN times or more whose count is in the highest classes, sixteenths of a power of two, that hold no more than ``head`` words.
+    Words that are seen once are what spelling is learned from.
+    """
+    classes = F.floor(F.log2("c") * 16).cast("int")
+    held = sorted(((r["k"], r["n"]) for r in counts.filter(F.col("word") != END).groupBy(classes.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room = list(itertools.accumulate(n for _, n in held))
+    least = max(int(math.log2(LEAST_SEEN) * 16), next((k + 1 for (k, _), n in zip(held, room, strict=True) if n > head), 0))
+    frequent = counts.filter((F.col("word") != END) & (classes >= least)).orderBy(F.desc("c"), "word").collect()
+    once, is_end = F.count_if(F.col("c") == 1), F.col("word") == END
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)), once).first()
+    words, known = {r["word"].encode(): i for i, r in enumerate(frequent)}, np.array([r["c"] for r in frequent], np.int64)
+    coder = Coder(words, known, total[0] - total[1] - int(known.sum()), total[1], _fitting(total[0], table_bits))
+    seen = np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256) + 1
+    speller = Speller(seen.tolist(), _fitting(8 * total[2], table_bits))
+    of_texts = _learned(common.texts(docs).filter(common.id_crc(folds) != 0), 0, coder)
+    return of_texts, _learned(counts.filter((F.col("c") == 1) & ~is_end).select(F.col("word").alias("text")), 1, speller)
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -510,7 +557,7 @@ def passages(coded: Coded, every: int = EVERY) -> tuple[np.ndarray, np.ndarray,
     ids, n = coded.ids, len(coded.ids)
     with np.errstate(over="ignore"):
         own = _mix64(ids.astype(np.uint64) + np.uint64(1))
-        own[coded.rare_at] = np.fromiter(map(xxhash.xxh64_intdigest, coded.rare), np.uint64, len(coded.rare))
+        own[coded.rare_at] = coded.hashes
         context = np.zeros(n, np.uint64)
         for k in range(1, CONTEXT + 1):
             context[k:] = context[k:] * np.uint64(0x9E3779B97F4A7C15) + own[: n - k]
@@ -527,24 +574,29 @@ def passages(coded: Coded, every: int = EVERY) -> tuple[np.ndarray, np.ndarray,
     return at, context[at], sums[np.searchsorted(bounds, at)]
 
 
-#: What :func:`_first_scores` returns of each row: sums over its frequent words for the base score, bits before the first passage, its passages, its infrequent words with the passage each lies in (0: before the first).
-FIRST = "row_key long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, head_sum double, bits double, passages array<struct<context:long,words:long,bits:float>>, rare array<struct<word:string,passage:int,spelled:float>>"
+#: What :func:`_first_scores` returns of each row: sums over its frequent words for the base score, bits before the first passage, its passages, and its infrequent words by
+#: hash, with the passage each lies in (0: before the first) and, in held-out texts, the bits of its spelling.
+FIRST = "row_key long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_head long, head_sum double, bits double, passages array<struct<context:long,words:long,bits:float>>, rare array<struct<h:long,passage:int,spelled:float>>"
+FIRST_NAMES = ("row_key", "doc_id", "held_out", "n_bytes", "n_tokens", "n_head", "head_sum", "bits", "passages", "rare")
+
 
+def _lists(sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
-def _first_scores(docs: DataFrame, parts: Broadcast, mixer: Mixer, ends: int, folds: int) -> DataFrame:
-    coder = parts.value[0]
-    known = np.log10(np.concatenate([coder.head_counts, [0, ends]]) + 0.1)
-    held = common.id_crc(folds) == 0
 
-    def lists(sizes: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+def _first_scores(docs: DataFrame, models: tuple[Model, Model], ends: int, folds: int) -> DataFrame:
+    known = np.log10(np.concatenate([models[0].coder.head_counts, [0, ends]]) + 0.1)
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    def score(batch: pa.RecordBatch, odds: Odds, key: int) -> pa.RecordBatch:
+    def score(batch: pa.RecordBatch, held: bool, key: int) -> pa.RecordBatch:
+        (model, spelling), odds = sent.value, held_odds(sent.value[0], without_own=not held)
         texts = common.encoded(batch)
-        coded, n = odds.coder.code(texts), len(texts)
-        bits = [s.by_symbol(mixer.code_length(s.bit, *odds.look(s))) for s in coded.streams]
-        spelled = np.add.reduceat(bits[1], np.cumsum(coded.rare_sizes) - coded.rare_sizes) if coded.rare else np.zeros(0)
+        coded, n = model.coder.code(texts), len(texts)
+        bits = coded.stream.by_symbol(model.mixer.code_length(coded.stream.bit, *odds.look(coded.stream)))
+        spelled = pa.nulls(len(coded.rare), pa.float32())
+        if held:
+            spelled = pa.array(spelling.coder.spelled(coded.rare, held_odds(spelling, without_own=False), spelling.mixer).astype(np.float32))
         at, context, words = passages(coded)
         # which passage of its text each token lies in
         starts = np.zeros(len(coded.ids), np.int64)
@@ -554,27 +606,43 @@ def _first_scores(docs: DataFrame, parts: Broadcast, mixer: Mixer, ends: int, fo
         number -= np.repeat(number[first] - starts[first], coded.sizes)
         cost = np.zeros(0)
         if len(at):
-            cost = np.bincount(np.cumsum(starts)[number > 0] - 1, bits[0][number > 0], len(at))
+            cost = np.bincount(np.cumsum(starts)[number > 0] - 1, bits[number > 0], len(at))
         in_head = (coded.ids >= 0) & (known[coded.ids] > -1)
         columns = [
             pa.array(np.arange(n) + key), batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(coded.sizes),
             pa.array(np.bincount(coded.doc, in_head, n).astype(np.int64)), pa.array(np.bincount(coded.doc, np.where(coded.ids >= 0, known[coded.ids], 0), n)),
-            pa.array(np.bincount(coded.doc, np.where(number == 0, bits[0], 0), n)),
-            lists(np.bincount(coded.doc[at], minlength=n), {"context": pa.array(context.view(np.int64)), "words": pa.array(words.view(np.int64)), "bits": pa.array(cost.astype(np.float32))}),
-            lists(np.bincount(coded.doc[coded.rare_at], minlength=n), {"word": pa.array(coded.rare, pa.binary()).cast(pa.string()), "passage": pa.array(number[coded.rare_at].astype(np.int32)), "spelled": pa.array(spelled.astype(np.float32))}),
+            pa.array(np.bincount(coded.doc, np.where(number == 0, bits, 0), n)),
+            _lists(np.bincount(coded.doc[at], minlength=n), {"context": pa.array(context.view(np.int64)), "words": pa.array(words.view(np.int64)), "bits": pa.array(cost.astype(np.float32))}),
+            _lists(np.bincount(coded.doc[coded.rare_at], minlength=n), {"h": pa.array(coded.hashes.view(np.int64)), "passage": pa.array(number[coded.rare_at].astype(np.int32)), "spelled": spelled}),
         ]
-        return pa.record_batch(columns, names=[f.split()[0] for f in FIRST.replace("struct<context:long,words:long,", "").replace("struct<word:string,passage:int,", "").split(", ")])
+        return pa.record_batch(columns, names=FIRST_NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40  # the same in a task that is run again
         for batch in _chunks(batches):
-            for odds in held_odds(parts.value):
-                own = batch.filter(pa.array(np.array(batch.column(2).to_pylist(), bool) != odds.without_own))
+            flags = np.array(batch.column(2).to_pylist(), bool)
+            for held in (True, False):
+                own = batch.filter(pa.array(flags == held))
                 if own.num_rows:
-                    yield score(own, odds, key)
+                    yield score(own, held, key)
                     key += own.num_rows
 
-    return common.texts(docs, held.alias("held_out")).mapInArrow(work, FIRST)
+    return common.texts(docs, (common.id_crc(folds) == 0).alias("held_out")).mapInArrow(work, FIRST)
+
+
+def _known_words(counts: DataFrame, spelling: Model) -> DataFrame:
+    """(h, c, once) of each word, by hash: its count and, if that is one, the bits of its spelling as if it had not been seen."""
+    sent = counts.sparkSession.sparkContext.broadcast(spelling)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches):
+            model = sent.value
+            bits = model.coder.spelled(common.encoded(batch), held_odds(model, without_own=True), model.mixer)
+            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(bits.astype(np.float32))], names=["h", "c", "once"])
+
+    rows = counts.select(F.col("word").alias("text"), F.xxhash64("word").alias("h"), "c")
+    seen = rows.filter("c > 1").select("h", "c", F.lit(None).cast("float").alias("once"))
+    return rows.filter("c = 1").mapInArrow(work, "h long, c long, once float").unionByName(seen)
 
 
 #: A context with at least so many times its even share of passages is joined from a broadcast, of at most this many rows.
@@ -621,17 +689,17 @@ def scored(docs: DataFrame, head: int = HEAD, table_bits: int = TABLE_BITS, fold
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"),
         F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends"),
     ).first()
-    parts, mixer = train(docs, counts, head, table_bits, folds)
-    rows = common.saved(_first_scores(docs, parts, mixer, seen["ends"], folds), "scores")
+    models = train(docs, counts, head, table_bits, folds)
+    rows = common.saved(_first_scores(docs, models, seen["ends"], folds), "scores")
     # infrequent words: all that are not in the head
-    infrequent = max(parts.value[0].escapes, 1)
+    infrequent = max(models[0].coder.escapes, 1)
     new = min(max(seen["once"] / infrequent, 0.001), 0.999)
     rare = rows.select("row_key", "held_out", F.explode("rare").alias("r")).select("row_key", "held_out", "r.*")
-    counted = rare.join(counts.select(F.col("word").alias("w"), "c").hint("merge"), F.col("word") == F.col("w"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    others = F.greatest(F.col("c") - (~F.col("held_out")).cast("long"), F.lit(0))
-    chance = F.lit(new) * F.pow(F.lit(2.0), -F.col("spelled")) + F.lit((1 - new) / infrequent) * others
-    spelled = F.least(-F.log2(F.greatest(chance, F.lit(1e-300))), F.col("spelled") - math.log2(new))
-    words = counted.select("row_key", "passage", spelled.alias("bits"), F.lit(0.0).alias("flag"), F.lit(False).alias("same"), F.log10(F.col("c") + 0.1).alias("base"), (F.col("c") > 0).cast("long").alias("known"))
+    table = _known_words(counts, models[1]).withColumnRenamed("h", "k").hint("merge")
+    counted = rare.join(table, F.col("h") == F.col("k"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    others = F.col("c") - (~F.col("held_out")).cast("long")
+    bits = F.when(others > 0, -F.log2(others * F.lit((1 - new) / infrequent))).otherwise(F.coalesce("spelled", "once") - math.log2(new))
+    words = counted.select("row_key", "passage", bits.alias("bits"), F.lit(0.0).alias("flag"), F.lit(False).alias("same"), F.log10(F.col("c") + 0.1).alias("base"), (F.col("c") > 0).cast("long").alias("known"))
     coded = _flags(common.saved(_followed(rows), "passages-followed"))
     passages_ = coded.select("row_key", "passage", F.col("bits").cast("double").alias("bits"), "flag", "same", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"))
     # both groupings lie by row_key, so the rows move once
