@@ -55,8 +55,8 @@ EVERY, CONTEXT = 24, 3
 OWN_CLASS, COMMON = 1024, 64
 FOLDS = 10
 #: Bytes of text coded at a time; rate of the weights; additive constant of the counts.
-CHUNK = 25_000
-RATE = 0.3
+CHUNK = 50_000
+RATE = 0.6
 DELTA = 0.4
 #: Distinct words that a task counts before it passes its counts on.
 HELD_WORDS = 400_000
@@ -141,21 +141,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A Huffman tree with what is needed at each step of each path: the bit, the node's number and a hash of it, how deep (and in which tree)."""
+    """A Huffman tree. Each step of each path is one number: the node's, and in the low eight bits how deep it lies (and in which tree) and the bit.
+
+    ``group``: the node at which the last three levels began, and in the low three bits the place in the subtree of these levels.
+    The slots of a group lie side by side, so that three bits take one line of a table from memory.
+    """
 
     offset: np.ndarray
     length: np.ndarray
-    bit: np.ndarray
-    number: np.ndarray
-    node: np.ndarray
-    depth: np.ndarray
+    step: np.ndarray
+    group: np.ndarray
 
     @classmethod
     def of(cls, weights: list[int], kind: int) -> Tree:
         offset, length, nodes, bits = huffman(weights)
-        step = np.arange(len(nodes)) - np.repeat(offset, length)
-        deep = (step > 2).astype(np.uint8) + (step > 5) + (step > 9)
-        return cls(offset.astype(np.int32), length.astype(np.int32), bits.astype(np.uint8), nodes.astype(np.int32), _mix(nodes * 2 + kind), ((deep + 4 * kind) * 16).astype(np.uint8))
+        at = np.arange(len(nodes)) - np.repeat(offset, length)
+        deep = (at > 2).astype(np.uint32) + (at > 5) + (at > 9)
+        step = nodes.astype(np.uint32) << np.uint32(8) | (deep + np.uint32(4 * kind)) << np.uint32(1) | bits.astype(np.uint32)
+        place, root = np.ones(len(nodes), np.uint32), nodes.copy()
+        for back in (1, 2):
+            inside = np.flatnonzero(at % 3 >= back)
+            root[inside] = nodes[inside - at[inside] % 3]
+        for k in (1, 2):  # one and two levels below the root of the group
+            inside = np.flatnonzero(at % 3 == k)
+            place[inside] = 2 * place[inside - 1] + bits[inside - 1]
+        return cls(offset.astype(np.int32), length.astype(np.int32), step, (root * 2 + kind).astype(np.uint32) << np.uint32(3) | place)
 
 
 @dataclass
@@ -176,19 +186,25 @@ def bits_of(tree: Tree, symbol: np.ndarray, contexts: list[np.ndarray | None], t
     """A context of None is none at all: its slots are the nodes' numbers."""
     n = tree.length[symbol]
     ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-    at = np.arange(ends[-1], dtype=np.int32)
-    at += np.repeat(tree.offset[symbol] - ends[:-1].astype(np.int32), n)
-    at = at.astype(np.intp)
-    node, slots = tree.node[at], []
+    at = np.repeat(tree.offset[symbol] - ends[:-1], n)
+    at += np.arange(len(at))
+    step, group, slots = tree.step[at], tree.group[at], []
+    place = (group & np.uint32(7)).astype(np.intp)
+    group >>= np.uint32(3)
+    group *= np.uint32(0x85EBCA6B)
     for k, context in enumerate(contexts):
         if context is None:
-            slots.append(tree.number[at].astype(np.intp) & ((1 << table_bits) - 1))
+            slots.append((step >> np.uint32(8) & np.uint32((1 << table_bits) - 1)).astype(np.intp))
             continue
-        mixed = np.repeat(_mix(context * 4 + k + 1), n) ^ node
+        mixed = np.repeat(_mix(context * 4 + k + 1), n)
+        mixed ^= group
         mixed *= np.uint32(0x9E3779B1)
-        mixed >>= np.uint32(32 - table_bits)
-        slots.append(mixed.astype(np.intp))
-    return Stream(tree.bit[at], slots, tree.depth[at], ends[:-1])
+        mixed >>= np.uint32(35 - table_bits)
+        slot = mixed.astype(np.intp)
+        slot <<= 3
+        slot += place
+        slots.append(slot)
+    return Stream((step & np.uint32(1)).astype(np.intp), slots, (step >> np.uint32(1) & np.uint32(7)) * np.uint32(16), ends[:-1])
 
 
 @dataclass
@@ -231,7 +247,7 @@ class Coder:
         ids = np.full(int(sizes.sum()), -1, np.int64)
         inside = np.ones(len(ids), bool)
         inside[last] = False
-        ids[inside] = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        ids[inside] = list(map(get, flat, itertools.repeat(-1)))
         unknown = (ids < 0) & inside
         at_unknown = np.flatnonzero(unknown)
         doc = np.repeat(np.arange(len(texts)), sizes)
@@ -287,11 +303,14 @@ class Speller:
 
 def _seen(total: np.ndarray) -> np.ndarray:
     """None, few, some, many."""
-    return (total > 0).astype(np.uint32) + (total > 2) + (total > 12)
+    out = (total > 0).view(np.uint8)
+    out += total > 2
+    out += total > 12
+    return out
 
 
 def _step(mixed: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(mixed * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
+    return np.clip(np.rint(mixed * 2).astype(np.intp) + STEPS // 2, 0, STEPS - 1)
 
 
 #: The middle of each cell of the refinement.
@@ -299,7 +318,7 @@ MIDDLE = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log(ones + np.float32(DELTA)) - np.log(zeros + np.float32(DELTA))
+    return np.log((ones + np.float32(DELTA)) / (zeros + np.float32(DELTA)))
 
 
 @dataclass
@@ -322,17 +341,21 @@ class Tables:
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
         """The predictors' log odds of each bit from the counts so far, and its gate: its depth and tree, and how often the longer two contexts were seen."""
-        found, gate = [], stream.depth.astype(np.uint32)
+        found, gate = [], stream.depth.astype(np.intp)
         for k, slots in enumerate(stream.slots):
-            pair = self.counts[k].view(np.uint64)[slots].view(np.uint32).astype(np.float32)
-            found.append(_log_odds(pair[0::2], pair[1::2]))
+            pair = self.counts[k].view(np.uint64).take(slots)
+            zeros, ones = pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32)
+            found.append(_log_odds(zeros.astype(np.float32), ones.astype(np.float32)))
             if k:
-                gate += _seen(pair[0::2] + pair[1::2]) << np.uint32(2 if k == 1 else 0)
-        return found, gate.astype(np.intp)
+                zeros += ones
+                gate += _seen(zeros) << np.uint8(2 if k == 1 else 0)
+        return found, gate
 
     def add(self, stream: Stream) -> None:
         for k in range(PREDICTORS):
-            np.add.at(self.counts[k], stream.slots[k] * 2 + stream.bit, np.uint32(1))
+            at = stream.slots[k] << 1
+            at += stream.bit
+            np.add.at(self.counts[k], at, np.uint32(1))
 
     def learn(self, stream: Stream, mixer: Mixer) -> None:
         """Predicts each bit with what was learned before these, then learns from them."""
@@ -360,19 +383,24 @@ class Odds:
                 zeros, ones = counts[:, 0], counts[:, 1]
                 if without_own:
                     zeros, ones = (np.maximum(zeros - 1, 0), ones) if own == 0 else (zeros, np.maximum(ones - 1, 0))
-                value = np.rint(_log_odds(zeros, ones) * 64).astype(np.int16) << 2 | _seen(zeros + ones).astype(np.int16)
+                value = np.rint(_log_odds(zeros, ones) * 64).astype(np.int16) << 2 | _seen(zeros + ones)
                 odds[k, block * (BLOCK // 2) * each + own :: each][: len(value)] = value
         return cls(odds, without_own)
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
         """As :meth:`Tables.look`, of the whole corpus."""
-        found, gate = [], stream.depth.astype(np.uint32)
+        found, gate = [], stream.depth.astype(np.intp)
         for k, slots in enumerate(stream.slots):
-            value = self.odds[k][slots * 2 + stream.bit if self.without_own else slots]
-            found.append((value >> 2).astype(np.float32) * np.float32(1 / 64))
+            if self.without_own:
+                slots = slots << 1  # noqa: PLW2901
+                slots += stream.bit
+            value = self.odds[k].take(slots)
             if k:
-                gate += (value & 3).astype(np.uint32) << np.uint32(2 if k == 1 else 0)
-        return found, gate.astype(np.intp)
+                gate += (value & 3) << (2 if k == 1 else 0)
+            value >>= 2
+            found.append(value.astype(np.float32))
+            found[-1] *= np.float32(1 / 64)
+        return found, gate
 
 
 _HELD: dict[tuple[int, bool], tuple[object, Odds]] = {}
@@ -396,26 +424,35 @@ class Mixer:
     costs: np.ndarray | None = None
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        weights = self.weights.astype(np.float32)
-        out = odds[0] * weights[:, 0][gate]
+        weights = self.weights.T.astype(np.float32)
+        out = weights[0][gate]
+        out *= odds[0]
         for k in range(1, PREDICTORS):
-            out += odds[k] * weights[:, k][gate]
+            part = weights[k][gate]
+            part *= odds[k]
+            out += part
         return np.clip(out, -MOST, MOST, out=out)
 
     def learn(self, bit: np.ndarray, odds: list[np.ndarray], gate: np.ndarray) -> None:
         mixed = self.mixed(odds, gate)
-        chance = 1 / (1 + np.exp(-mixed))
-        error, slack = bit - chance, chance * (1 - chance)
-        self.turned += np.bincount((gate * STEPS + _step(mixed)) * 2 + bit, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        cell = gate * STEPS
+        cell += _step(mixed)
+        cell <<= 1
+        cell += bit
+        self.turned += np.bincount(cell, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        np.negative(mixed, out=mixed)
+        np.exp(mixed, out=mixed)
+        mixed += 1
+        chance = np.reciprocal(mixed, out=mixed)
+        error = (bit - chance).astype(np.float64)
+        slack = (chance - chance * chance).astype(np.float64)
         self.used += np.bincount(gate, minlength=GATES)
-        # a damped step for each gate, scaled by the curvature of its bits
-        pull = np.stack([np.bincount(gate, error * odds[k], GATES) for k in range(PREDICTORS)], axis=1)
-        curve = np.zeros((GATES, PREDICTORS, PREDICTORS))
-        for j in range(PREDICTORS):
-            part = slack * odds[j]
-            for k in range(j, PREDICTORS):
-                curve[:, j, k] = curve[:, k, j] = np.bincount(gate, part * odds[k], GATES)
-        step = np.linalg.solve(curve + 30 * np.eye(PREDICTORS), pull[:, :, None])[:, :, 0]
+        # a damped step for each gate, scaled by the curvature of its bits along each predictor
+        step = np.empty((GATES, PREDICTORS))
+        for k in range(PREDICTORS):
+            pull = np.bincount(gate, error * odds[k], GATES)
+            curve = np.bincount(gate, slack * (odds[k] * odds[k]), GATES)
+            step[:, k] = pull / (PREDICTORS * curve + 30)
         self.weights += RATE * np.clip(step, -1, 1)
 
     def packed(self) -> bytes:
@@ -443,9 +480,12 @@ class Mixer:
 
     def code_length(self, bit: np.ndarray, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Bits that each bit takes. The mixed odds are rounded to levels alike for zero and one, whose chances still add up to one."""
-        level = np.rint((self.mixed(odds, gate) + np.float32(MOST)) * np.float32(LEVELS)).astype(np.intp)
+        mixed = self.mixed(odds, gate)
+        mixed += np.float32(MOST)
+        mixed *= np.float32(LEVELS)
+        level = np.rint(mixed, out=mixed).astype(np.intp)
         level += gate * (2 * MOST * LEVELS + 1)
-        level *= 2
+        level <<= 1
         level += bit
         return self.costs[level]
 

@@ -105,14 +105,22 @@ class Plain:
         self.coder, self.counts = coder, {}
         self.weights = [[0.4] * 3 for _ in range(scoring.GATES)]
 
-    def slot(self, k, context, node):
-        return ((mix32(context * 4 + k + 1) ^ node) * 0x9E3779B1 % 2**32) >> (32 - self.coder.table_bits)
+    def slot(self, k, context, root, place):
+        group = (2 * root + isinstance(self.coder, scoring.Speller)) * 0x85EBCA6B % 2**32
+        return (((mix32(context * 4 + k + 1) ^ group) * 0x9E3779B1 % 2**32) >> (35 - self.coder.table_bits)) * 8 + place
 
     def path(self, tree, symbol, contexts):
         """(bit, the keys of its slots, the depth's part of its gate)."""
         at, n = int(tree.offset[symbol]), int(tree.length[symbol])
-        keys = lambda i: [(k, int(tree.number[i]) if x is None else self.slot(k, x, int(tree.node[i]))) for k, x in enumerate(contexts)]
-        return [(int(tree.bit[i]), keys(i), int(tree.depth[i])) for i in range(at, at + n)]
+        kind = int(isinstance(self.coder, scoring.Speller))
+        out = []
+        for i in range(n):
+            number, bit = int(tree.step[at + i]) >> 8, int(tree.step[at + i]) & 1
+            root, place = (number, 1) if i % 3 == 0 else (root, 2 * place + before)
+            before = bit
+            depth = (4 * kind + (i > 2) + (i > 5) + (i > 9)) * 16
+            out.append((bit, [(k, number if x is None else self.slot(k, x, root, place)) for k, x in enumerate(contexts)], depth))
+        return out
 
     def words(self, text):
         c, out, seen = self.coder, [], []
@@ -158,9 +166,9 @@ class Plain:
             mixed = max(min(sum(a * b for a, b in zip(x, self.weights[gate], strict=True)), scoring.MOST), -scoring.MOST)
             p = 1 / (1 + math.exp(-mixed))
             pull[gate] = pull.get(gate, 0) + np.array(x) * (bit - p)
-            curve[gate] = curve.get(gate, 0) + np.outer(x, x) * p * (1 - p)
+            curve[gate] = curve.get(gate, 0) + np.square(x) * p * (1 - p)
         for gate in pull:
-            self.weights[gate] = self.weights[gate] + scoring.RATE * np.clip(np.linalg.solve(curve[gate] + 30 * np.eye(3), pull[gate]), -1, 1)
+            self.weights[gate] = self.weights[gate] + scoring.RATE * np.clip(pull[gate] / (3 * curve[gate] + 30), -1, 1)
         for bit, keys, _ in bits:
             for key in keys:
                 zeros, ones = self.counts.get(key, (0, 0))
