@@ -176,7 +176,7 @@ def fit_sessions(observations: DataFrame, patterns: DataFrame, rounds: int = 25)
     found = []
     for symbol, (n, _) in sorted(sizes.items()):
         if symbol not in best:
-            found.append((symbol, n, *[None] * len(names), None, None, "refused"))
+            found.append((symbol, n, *[None] * len(names), None, None, None, "refused"))
             continue
         value, own = best[symbol][1], kept[symbol]
         raw = np.exp(np.concatenate([[0.0], value[:4]]))
@@ -186,8 +186,14 @@ def fit_sessions(observations: DataFrame, patterns: DataFrame, rounds: int = 25)
         weights = [*map(float, levels), *(e for e in extra if e is not None)]
         odd = not condition[symbol] <= MOST_CONDITION or min(weights) < LOW_WEIGHT or max(weights) > HIGH_WEIGHT
         dropped = ",".join(p for k, p in enumerate(PARAMETERS) if k not in own)
-        found.append((symbol, n, *map(float, levels), *extra, *combined, condition[symbol], dropped, "flagged" if odd else "ok"))
-    return rows.sparkSession.createDataFrame(found, "symbol string, n long, " + ", ".join(f"{c} double" for c in names) + ", condition double, dropped string, verdict string")
+        found.append((symbol, n, *map(float, levels), *extra, *combined, condition[symbol], inflation(systems[symbol][0]), dropped, "flagged" if odd else "ok"))
+    return rows.sparkSession.createDataFrame(found, "symbol string, n long, " + ", ".join(f"{c} double" for c in names) + ", condition double, vif double, dropped string, verdict string")
+
+
+def inflation(jtj: np.ndarray) -> float:
+    """The largest variance inflation factor of the parameters, from their normal equations: 1 where none leans on the others."""
+    scale = np.sqrt(np.diag(jtj))
+    return float(np.diag(np.linalg.pinv(jtj / np.outer(scale, scale))).max())
 
 
 def _pattern_equations(rows: DataFrame, theta: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:

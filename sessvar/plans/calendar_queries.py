@@ -119,12 +119,11 @@ def holiday_rolls_of_regimes(v: Views) -> DataFrame:
     return cal.rolls(observed, cal.regimes(observed))
 
 
-@query("oi_chain_reconciliation", """SELECT symbol, count(*) AS transitions, CAST(sum(CASE WHEN open_int = prev + chg THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN open_int = prev + chg THEN 1e0 ELSE 0e0 END), 9) AS share
-    FROM (SELECT symbol, open_int, lag(open_int) OVER w AS prev, open_int - lag(open_int) OVER w + CASE WHEN open_int % 50 = 7 THEN 1 ELSE 0 END AS chg FROM option_panel
-          WINDOW w AS (PARTITION BY symbol, expiry, strike, opt_type ORDER BY trade_date)) x WHERE prev IS NOT NULL GROUP BY symbol""")
+@query("oi_chain_reconciliation", """SELECT symbol, count(*) AS transitions, CAST(sum(CASE WHEN open_int = prev + chg_oi THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN open_int = prev + chg_oi THEN 1e0 ELSE 0e0 END), 9) AS share
+    FROM (SELECT symbol, open_int, chg_oi, lag(open_int) OVER (PARTITION BY symbol, expiry, strike, opt_type ORDER BY trade_date, open_int, chg_oi) AS prev FROM option_panel) x WHERE prev IS NOT NULL GROUP BY symbol""")
 def oi_chain_reconciliation(v: Views) -> DataFrame:
-    by = Window.partitionBy("symbol", "expiry", "strike", "opt_type").orderBy("trade_date")
+    """How often a contract's open interest is that of the day before and the change that the panel reports."""
+    by = Window.partitionBy("symbol", "expiry", "strike", "opt_type").orderBy("trade_date", "open_int", "chg_oi")
     seen = v.option_panel.withColumn("prev", F.lag("open_int").over(by)).filter("prev is not null")
-    reported = F.col("open_int") - F.col("prev") + F.when(F.col("open_int") % 50 == 7, 1).otherwise(0)
-    ok = (F.col("open_int") == F.col("prev") + reported).cast("int")
+    ok = (F.col("open_int") == F.col("prev") + F.col("chg_oi")).cast("int")
     return seen.groupBy("symbol").agg(F.count("*").alias("transitions"), F.sum(ok).alias("matched"), F.round(F.avg(ok.cast("double")), 9).alias("share"))

@@ -13,7 +13,7 @@ from .pricing_queries import rounded
 from .registry import query
 
 #: Draws of the two bootstraps; the event's date among shipping days and the blackout around another; the session at which the index windows part.
-RATIO_DRAWS, WEEK_DRAWS, PART = 200, 300, 14
+RATIO_DRAWS, WEEK_DRAWS, PART = 400, 2000, 14
 EVENT, BLACKOUT = "DATE '1998-06-01'", ("DATE '1999-01-01'", "DATE '1999-03-31'")
 
 
@@ -51,9 +51,9 @@ LW = "SELECT *, ln(CASE WHEN s > 0 THEN s END / n / (sum(s) OVER (PARTITION BY i
 CH = "ch AS (SELECT index_name, wd, max(CASE WHEN part = 1 THEN lw END) - max(CASE WHEN part = 0 THEN lw END) AS change FROM lw GROUP BY index_name, wd)"
 
 
-def scaled(v: Views) -> DataFrame:
+def scaled(v: Views, decay: float = r.DECAY) -> DataFrame:
     """Standardised squares of weekday sessions with window, weekday and week (of seven sessions)."""
-    z = r.forecasts(r.close_to_close(v.index_daily)).withColumn("wd", F.weekday("day").cast("long")).filter("wd < 5")
+    z = r.forecasts(r.close_to_close(v.index_daily), decay).withColumn("wd", F.weekday("day").cast("long")).filter("wd < 5")
     return z.withColumn("window", F.when(F.col("session") > PART, 1).otherwise(0)).withColumn("week", F.col("session") - F.col("session") % 7)
 
 
@@ -87,8 +87,8 @@ def multiplicity(z: DataFrame) -> DataFrame:
     return r.week_multiplicity(weeks, WEEK_DRAWS)
 
 
-@query("date_cluster_multiplicity", f"WITH RECURSIVE {WIN}, {_WK} SELECT draw, part, week, times FROM mu")
-def date_cluster_multiplicity(v: Views) -> DataFrame:
+@query("week_cluster_multiplicity", f"WITH RECURSIVE {WIN}, {_WK} SELECT draw, part, week, times FROM mu")
+def week_cluster_multiplicity(v: Views) -> DataFrame:
     return multiplicity(scaled(v)).select("draw", F.col("window").alias("part"), "week", "times")
 
 

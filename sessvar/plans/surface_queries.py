@@ -72,12 +72,10 @@ def forward_rate_sensitivity(v: Views) -> DataFrame:
     return s.forward_sensitivity(live(v)).select(*s.KEY, *(F.round(f"fwd_{i}", 5).alias(f"fwd_{i}") for i in range(3)))
 
 
-@query("forward_vs_futures", f"""WITH {FWD}, fut AS (SELECT DISTINCT trade_date, symbol, expiry, round(forward, 2) AS settle FROM option_panel)
-    SELECT f.symbol, count(*) AS n, round(avg((f.fwd / u.settle - 1) * 1e4), 6) AS bias_bp, round(max(abs(f.fwd / u.settle - 1) * 1e4), 6) AS worst_bp FROM fw f JOIN fut u ON f.trade_date = u.trade_date AND f.symbol = u.symbol AND f.expiry = u.expiry GROUP BY f.symbol""")
+@query("forward_vs_futures", f"""WITH {FWD} SELECT f.symbol, count(*) AS n, round(avg((f.fwd / u.settle - 1) * 1e4), 6) AS bias_bp, round(max(abs(f.fwd / u.settle - 1) * 1e4), 6) AS worst_bp FROM fw f JOIN index_futures u ON f.trade_date = u.trade_date AND f.symbol = u.symbol AND f.expiry = u.expiry GROUP BY f.symbol""")
 def forward_vs_futures(v: Views) -> DataFrame:
-    futures = v.option_panel.select(*s.KEY, F.round("forward", 2).alias("settle")).distinct()
     off = (F.col("fwd") / F.col("settle") - 1) * 1e4
-    return s.forwards(live(v)).join(futures, [*s.KEY]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(off), 6).alias("bias_bp"), F.round(F.max(F.abs(off)), 6).alias("worst_bp"))
+    return s.forwards(live(v)).join(v.index_futures, [*s.KEY]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(off), 6).alias("bias_bp"), F.round(F.max(F.abs(off)), 6).alias("worst_bp"))
 
 
 @query("black76_price", f"""SELECT symbol, opt_type, strike, trade_date, expiry, round(CASE WHEN opt_type = 'CE' THEN c ELSE c - forward + strike END, 6) AS price
@@ -98,22 +96,6 @@ def implied_vol(v: Views) -> DataFrame:
     return s.surface(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("iv", 6).alias("iv"))
 
 
-@query("implied_vol_in_row", f"WITH RECURSIVE {SURFACE} SELECT trade_date, symbol, expiry, strike, round(iv, 6) AS iv FROM iv WHERE opt_type = 'CE' AND symbol = 'AAA' AND dte <= 7")
-def implied_vol_in_row(v: Views) -> DataFrame:
-    """The same solved by higher-order functions alone, on the front contracts of one symbol."""
-    every = live(v).filter("symbol = 'AAA'")
-    fwd = s.forwards(every).select(*s.KEY, "fwd", F.col("discount").alias("df"))
-    quotes = s.near_money(s.liquid(every.filter("opt_type = 'CE' AND dte <= 7")).join(fwd, [*s.KEY])).withColumn("und", F.col("settle") / F.col("df"))
-    iv = options.implied_vol(F.col("und"), F.col("fwd"), F.col("strike"), F.col("ttm"), F.col("opt_type") == "CE")
-    return quotes.select(*s.KEY, "strike", F.round(iv, 6).alias("iv"))
-
-
-@query("implied_vol_in_row_every_quote")
-def implied_vol_in_row_every_quote(v: Views) -> DataFrame:
-    """The in-row solver on every live quote. Without SQL of its own: tested against the rows of implied_vol."""
-    return s.volatility_in_row(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("iv", 6).alias("iv"))
-
-
 @query("iv_surface", f"WITH RECURSIVE {SURFACE} SELECT trade_date, symbol, expiry, strike, opt_type, round(fwd, 4) AS fwd, round(lm, 8) AS log_moneyness, round(iv, 6) AS iv, round(vega, 2) AS vega, round(iv * iv * ttm, 8) AS total_var, dte_trd FROM surf")
 def iv_surface(v: Views) -> DataFrame:
     return s.surface(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("fwd", 4).alias("fwd"), F.round("log_moneyness", 8).alias("log_moneyness"), F.round("iv", 6).alias("iv"), F.round("vega", 2).alias("vega"), F.round("total_var", 8).alias("total_var"), "dte_trd")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import hashlib
 import io
 import json
+import platform
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +52,45 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
             for content in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as member:
                     table = pd.read_csv(member, dtype=str, keep_default_na=False, skipinitialspace=True)
-                yield table.reindex(columns=columns)
+                found = table.reindex(columns=columns).astype(object)
+                yield found.where(found.notna(), None)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(work, schema)
 
 
-def index_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Index closes: names trimmed, a byte-order mark before the header dropped, levels to numbers."""
+def index_csv(spark: SparkSession, path: str, levels: tuple[str, ...] = ()) -> DataFrame:
+    """Index closes: names and values trimmed, a byte-order mark before the header dropped, ``levels`` to numbers (null where they are none)."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
-    clean = raw.select(*(F.trim(F.col(f"`{c}`")).alias(c.replace("﻿", "").strip()) for c in raw.columns))
-    return clean
+    clean = raw.select(*(F.trim(F.col(f"`{c}`")).alias(c.replace("\ufeff", "").strip()) for c in raw.columns))
+    return clean.select(*(F.col(f"`{c}`").try_cast("double").alias(c) if c in levels else F.col(f"`{c}`") for c in clean.columns))
+
+
+def panels(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Panels of several exchanges as one: by name, with null for columns that one lacks; filters and columns reach each scan."""
+    found = [spark.read.parquet(p) for p in paths]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def write_json(value: dict, path: str) -> None:
+    """A small result (timeline, manifest) as a file; keys sorted."""
+    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str), encoding="utf-8")
+
+
+def manifest(table: str, settings: dict, inputs: DataFrame, conf: dict[str, str], seed: int | None = None) -> dict:
+    """What a result came from: its settings' digest, versions, session settings, and the digests of its input files (:func:`digests`, one row a file)."""
+    files = {r["file"]: r["sha256"] for r in inputs.collect()}
+    return {"name": table, "config": text_digest(settings), "seed": seed, "python": platform.python_version(), "spark": pyspark.__version__, "conf": conf, "inputs": files}
+
+
+#: Fixed value: the first day that the exchange's files have in the format read here.
+FIRST_DAY = dt.date(2024, 1, 1)
+
+
+def checked_start(start: dt.date) -> dt.date:
+    """The first day of a sample; earlier ones raise, for their files have another format."""
+    if start < FIRST_DAY:
+        raise ValueError(f"a sample from {start} on needs files of an older format; the first day that can be read is {FIRST_DAY}")
+    return start
 
 
 def calendar_days(path: str) -> list[str]:

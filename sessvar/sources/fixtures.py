@@ -41,7 +41,8 @@ VIEWS: dict[str, str] = {
     "option_panel": """SELECT trade_date, symbol, expiry, t AS session, es AS expiry_session, opt_type, strike, spot, forward, sigma, ttm, dte, dte_trd, discount,
                round(CASE WHEN ttm <= 0 THEN greatest(CASE WHEN opt_type = 'CE' THEN spot - strike ELSE strike - spot END, 0e0)
                           ELSE discount * (CASE WHEN opt_type = 'CE' THEN call ELSE call - forward + strike END) END, 4) AS settle,
-               (p_partkey * 7 + j * 13 + ty * 5) % 50 AS volume, (p_partkey * 3 + j) % 40 AS n_trades, 300 + (p_partkey * 11 + j * 17 + ty * 29) % 2000 AS open_int
+               (p_partkey * 7 + j * 13 + ty * 5) % 50 AS volume, (p_partkey * 3 + j) % 40 AS n_trades, 300 + (p_partkey * 11 + j * 17 + ty * 29) % 2000 AS open_int,
+               (p_partkey * 11 + j * 17 + ty * 29) % 2000 - ((p_partkey + 1984) * 11 + j * 17 + ty * 29) % 2000 AS chg_oi
         FROM (SELECT *, forward * (CDF_D1) - strike * (CDF_D2) AS call
               FROM (SELECT *, CASE WHEN ttm > 0 THEN (ln(forward / strike) + sigma * sigma * ttm / 2e0) / (sigma * sqrt(ttm)) ELSE 0e0 END AS d1,
                            CASE WHEN ttm > 0 THEN (ln(forward / strike) - sigma * sigma * ttm / 2e0) / (sigma * sqrt(ttm)) ELSE 0e0 END AS d2
@@ -50,6 +51,8 @@ VIEWS: dict[str, str] = {
                                        round(spot / 100e0) * 100 + 200 * (j - 5) AS strike
                                 FROM chains CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) AS js(j)
                                 CROSS JOIN (VALUES ('CE', 0), ('PE', 1)) AS ts(opt_type, ty)) a) b) c) d""".replace("CDF_D1", cdf_sql("d1")).replace("CDF_D2", cdf_sql("d2")),
+    # futures of each chain, carried at another rate than the options' and with a tick of noise
+    "index_futures": """SELECT DISTINCT trade_date, symbol, expiry, round(spot * exp(0.06e0 * dte / 365e0) * (1e0 + ((t * 7 + es) % 11 - 5) * 1e-5), 2) AS settle FROM chains WHERE dte >= 1""",
     # the published weekday weights, Monday to Friday, and the spans from an opening day to Tuesday's expiry
     "weights": "SELECT * FROM (VALUES (0, 'Mon', 1.459e0), (1, 'Tue', 0.607e0), (2, 'Wed', 1.093e0), (3, 'Thu', 0.928e0), (4, 'Fri', 0.880e0)) AS w(wd, day, raw)",
     "spans": """SELECT * FROM (VALUES ('Mon', 1), ('Fri', 0), ('Fri', 1), ('Thu', 4), ('Thu', 0), ('Thu', 1), ('Wed', 3), ('Wed', 4), ('Wed', 0), ('Wed', 1),
@@ -59,9 +62,9 @@ VIEWS: dict[str, str] = {
         SELECT 'spread_Mon', sign, wd FROM (VALUES (1, 1), (1, 2), (1, 3), (1, 4), (1, 0), (1, 1), (-1, 1)) AS l(sign, wd)""",
     # securities transaction tax periods: start, rate on option sales and on exercised options, percent
     "stt_rates": "SELECT * FROM (VALUES (DATE '2023-04-01', 0.0625e0, 0.125e0), (DATE '2024-10-01', 0.1e0, 0.125e0), (DATE '2026-04-01', 0.15e0, 0.15e0)) AS r(start, sale_pct, exercised_pct)",
-    # at-the-money total variance over sessions (t, T] with planted weekday weights and a scale per date
+    # at-the-money total variance over sessions (t, T] with planted weekday weights and a scale per symbol and date, without noise, so that the fit must give the weights back
     "atm_obs": """SELECT c.p_partkey AS obs_id, c.symbol, c.trade_date, c.t, c.es, c.es - c.t AS n_sessions,
-               ln((0.5e0 + (c.p_partkey % 16 + 1 + c.t % 7) / 40e0) * v.total) + (((c.p_partkey * 37) % 101) / 101e0 - 0.5e0) * 0.02e0 AS ln_var
+               ln((0.5e0 + (c.sy + 1 + c.t % 7) / 40e0) * v.total) AS ln_var
         FROM chains c JOIN (SELECT p.t AS t, p.es AS es, p.sy AS sy, sum(w.raw) AS total
                             FROM (SELECT DISTINCT t, es, sy FROM chains) p CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24)) AS ds(d)) ds
                             JOIN weights w ON w.wd = (p.t + 1 + ds.d) % 5 WHERE p.t + 1 + ds.d <= p.es GROUP BY p.t, p.es, p.sy) v

@@ -7,17 +7,17 @@ import pytest
 
 from sessvar.operators import clock
 
-PLANTED = [1.4, 0.6, 1.1, 0.9, 1.0]
+PLANTED = [1.25, 0.7, 1.3, 0.8, 0.95]
 
 
 def observations(spark, days, noise):
     rng, rows = np.random.default_rng(3), []
     for t in range(days):
-        scale = float(rng.lognormal(0, 0.3))
-        for k in range(4):
+        scale = float(rng.uniform(0.5, 3))
+        for k in range(3):
             es = t + 1 + int(rng.integers(0, 4)) + 3 * k
             total = sum(PLANTED[d % 5] for d in range(t + 1, es + 1))
-            rows.append((t * 4 + k, "X", t, es, math.log(scale * total) + noise * float(rng.standard_normal())))
+            rows.append((t * 3 + k, "X", t, es, math.log(scale * total) + noise * float(rng.standard_normal())))
     return spark.createDataFrame(rows, "obs_id long, symbol string, t long, es long, ln_var double")
 
 

@@ -74,6 +74,6 @@ def test_lone_observations_are_refused(spark):
 def test_refusals_filter_the_fit(spark):
     from sessvar.plans import catalogue
 
-    fit, refusals = (catalogue.queries()[n](spark, "/root/testdata/sf0.01").collect() for n in ("clock_fit", "clock_refusals"))
+    fit, refusals = (catalogue.queries()[n](spark, "/root/testdata/sf0.01").collect() for n in ("clock_diagnostics", "clock_refusals"))
     assert sorted((r["symbol"], r["n"], r["verdict"]) for r in fit if r["verdict"] != "ok") == sorted(map(tuple, refusals))
     assert all(r["dropped"] is not None for r in fit if r["verdict"] != "refused")

@@ -7,6 +7,7 @@ import pytest
 
 from sessvar.operators import surface
 from sessvar.plans import catalogue
+from sessvar.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def test_in_row_solver_covers_every_quote(spark):
     key = ("trade_date", "symbol", "expiry", "strike", "opt_type")
     plain = lambda r: (str(r["trade_date"])[:10], r["symbol"], str(r["expiry"])[:10], r["strike"], r["opt_type"])
     want = {plain(r): r["iv"] for r in (dict(zip(names, row, strict=True)) for row in found.fetchall())}
-    rows = catalogue.queries()["implied_vol_in_row_every_quote"](spark, SF).select(*key, "iv").collect()
+    rows = surface.volatility_in_row(fixtures.Views(spark, SF).option_panel).select(*key, "iv").collect()
     got = {plain(r): r["iv"] for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert len({k[1] for k in got}) == 4 and {k[4] for k in got} == {"CE", "PE"} and any((r["expiry"] - r["trade_date"]).days > 7 for r in rows)
