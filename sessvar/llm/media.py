@@ -125,6 +125,8 @@ def _track(data: memoryview, start: int, end: int) -> dict:
     width, height = struct.unpack_from(">24xHH", data, body)
     a, _ = found[b"stsz"]
     fixed, n = struct.unpack_from(">4xII", data, a)
+    if fixed * n > len(data):
+        raise ValueError("more samples than the file can hold")
     sizes = [fixed] * n if fixed else words(b"stsz", skip=4)
     a, _ = found[b"stts"]
     (entries,) = struct.unpack_from(">I", data, a + 4)
@@ -141,6 +143,8 @@ def _track(data: memoryview, start: int, end: int) -> dict:
             for size in sizes[len(ranges) : len(ranges) + each]:
                 ranges.append((chunk, size))
                 chunk += size
+    if any(a + size > len(data) for a, size in ranges):
+        raise ValueError("a sample runs over the file")
     if len(ranges) != n:
         raise ValueError("the sample tables disagree")
     keys = words(b"stss") if b"stss" in found else range(1, n + 1)
@@ -150,7 +154,7 @@ def _track(data: memoryview, start: int, end: int) -> dict:
 def demux(data: bytes) -> list[dict]:
     """The tracks of a file: codec, size, duration in seconds, (offset, size) of its samples and of its keyframes.
 
-    Payload bytes are not read. Broken nesting or tables raise ValueError (struct.error where a table is cut short).
+    Payload bytes are not read, nor fragments (moof), compact sizes (stz2) and edit lists. Broken nesting or tables raise ValueError (struct.error where a table is cut short).
     """
     view = memoryview(data)
     return [_track(view, a, b) for path, a, b in _walk(view, 0, len(view)) if path == (b"moov", b"trak")]

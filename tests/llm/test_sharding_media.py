@@ -90,3 +90,13 @@ def test_media_columns(spark):
     same = {tuple(r)[1:8] for r in got if r.n_bytes == 1}
     assert len(same) == 1
     assert media.media_columns(docs.limit(0)).count() == 0
+
+
+def test_more_samples_than_bytes_are_refused():
+    good = media.mux(media.padded(b"text"))
+    at = good.index(b"stsz") + 8
+    (fixed, n) = struct.unpack_from(">II", good, at)
+    assert len(media.demux(good)[0]["samples"]) == n
+    for bad in ((1, 2**32 - 1), (2**32 - 1, n)):
+        with pytest.raises(ValueError):
+            media.demux(good[:at] + struct.pack(">II", *bad) + good[at + 8 :])
