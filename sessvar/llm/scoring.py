@@ -141,31 +141,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A Huffman tree. Each step of each path is one number: the node's, and in the low eight bits how deep it lies (and in which tree) and the bit.
+    """A Huffman tree. Each step of each path has its node and one byte: from the lowest bit its place in the subtree of the last three levels (three bits),
+    the bit it stands for, and how deep it lies and in which tree (three bits).
 
-    ``group``: the node at which the last three levels began, and in the low three bits the place in the subtree of these levels.
+    ``group``: a hash of the node at which the last three levels began.
     The slots of a group lie side by side, so that three bits take one line of a table from memory.
     """
 
     offset: np.ndarray
     length: np.ndarray
-    step: np.ndarray
+    node: np.ndarray
     group: np.ndarray
+    byte: np.ndarray
+
+    @property
+    def step(self) -> np.ndarray:
+        """Node, and in the low eight bits depth and tree, and the bit."""
+        return self.node << np.uint32(8) | (self.byte >> np.uint8(4)).astype(np.uint32) << np.uint32(1) | (self.byte >> np.uint8(3) & np.uint8(1))
 
     @classmethod
     def of(cls, weights: list[int], kind: int) -> Tree:
         offset, length, nodes, bits = huffman(weights)
         at = np.arange(len(nodes)) - np.repeat(offset, length)
-        deep = (at > 2).astype(np.uint32) + (at > 5) + (at > 9)
-        step = nodes.astype(np.uint32) << np.uint32(8) | (deep + np.uint32(4 * kind)) << np.uint32(1) | bits.astype(np.uint32)
-        place, root = np.ones(len(nodes), np.uint32), nodes.copy()
+        deep = (at > 2).astype(np.uint8) + (at > 5) + (at > 9)
+        place, root = np.ones(len(nodes), np.uint8), nodes.copy()
         for back in (1, 2):
             inside = np.flatnonzero(at % 3 >= back)
             root[inside] = nodes[inside - at[inside] % 3]
         for k in (1, 2):  # one and two levels below the root of the group
             inside = np.flatnonzero(at % 3 == k)
             place[inside] = 2 * place[inside - 1] + bits[inside - 1]
-        return cls(offset.astype(np.int32), length.astype(np.int32), step, (root * 2 + kind).astype(np.uint32) << np.uint32(3) | place)
+        byte = place | bits.astype(np.uint8) << np.uint8(3) | (deep + np.uint8(4 * kind)) << np.uint8(4)
+        return cls(offset.astype(np.int32), length.astype(np.int32), nodes.astype(np.uint32), (root * 2 + kind).astype(np.uint32) * np.uint32(0x85EBCA6B), byte)
 
 
 @dataclass
@@ -188,23 +195,20 @@ def bits_of(tree: Tree, symbol: np.ndarray, contexts: list[np.ndarray | None], t
     ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
     at = np.repeat(tree.offset[symbol] - ends[:-1], n)
     at += np.arange(len(at))
-    step, group, slots = tree.step[at], tree.group[at], []
-    place = (group & np.uint32(7)).astype(np.intp)
-    group >>= np.uint32(3)
-    group *= np.uint32(0x85EBCA6B)
+    byte, group, slots = tree.byte.take(at), tree.group.take(at), []
+    place = (byte & np.uint8(7)).astype(np.uint32)
     for k, context in enumerate(contexts):
         if context is None:
-            slots.append((step >> np.uint32(8) & np.uint32((1 << table_bits) - 1)).astype(np.intp))
+            slots.append((tree.node.take(at) & np.uint32((1 << table_bits) - 1)).astype(np.intp))
             continue
         mixed = np.repeat(_mix(context * 4 + k + 1), n)
         mixed ^= group
         mixed *= np.uint32(0x9E3779B1)
         mixed >>= np.uint32(35 - table_bits)
-        slot = mixed.astype(np.intp)
-        slot <<= 3
-        slot += place
-        slots.append(slot)
-    return Stream((step & np.uint32(1)).astype(np.intp), slots, (step >> np.uint32(1) & np.uint32(7)) * np.uint32(16), ends[:-1])
+        mixed <<= np.uint32(3)
+        mixed |= place
+        slots.append(mixed.astype(np.intp))
+    return Stream((byte >> np.uint8(3) & np.uint8(1)).astype(np.intp), slots, byte & np.uint8(0x70), ends[:-1])
 
 
 @dataclass
@@ -247,7 +251,7 @@ class Coder:
         ids = np.full(int(sizes.sum()), -1, np.int64)
         inside = np.ones(len(ids), bool)
         inside[last] = False
-        ids[inside] = list(map(get, flat, itertools.repeat(-1)))
+        ids[inside] = np.fromiter(map(get, flat, itertools.repeat(-1)), np.int64, len(flat))
         unknown = (ids < 0) & inside
         at_unknown = np.flatnonzero(unknown)
         doc = np.repeat(np.arange(len(texts)), sizes)
@@ -260,8 +264,8 @@ class Coder:
         previous = np.concatenate([[0], kind[:-1] + 1])
         previous[first] = 0
         # the last two very common words before each token of its document
-        common_at = np.flatnonzero(symbol < min(COMMON, len(self.head)))
-        rank = np.searchsorted(common_at, np.arange(len(symbol)), side="left")
+        very = symbol < min(COMMON, len(self.head))
+        common_at, rank = np.flatnonzero(very), np.cumsum(very) - very
         padded = np.concatenate([[-1, -1], common_at])
         start_of = first[doc]
         recent = [np.where((at := padded[rank + 1 - k]) >= start_of, symbol[np.maximum(at, 0)] + 1, 0) for k in (0, 1)]
@@ -310,7 +314,9 @@ def _seen(total: np.ndarray) -> np.ndarray:
 
 
 def _step(mixed: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(mixed * 2).astype(np.intp) + STEPS // 2, 0, STEPS - 1)
+    step = mixed * 2
+    step += STEPS // 2
+    return np.clip(np.rint(step, out=step), 0, STEPS - 1, out=step).astype(np.intp)
 
 
 #: The middle of each cell of the refinement.
@@ -341,15 +347,15 @@ class Tables:
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
         """The predictors' log odds of each bit from the counts so far, and its gate: its depth and tree, and how often the longer two contexts were seen."""
-        found, gate = [], stream.depth.astype(np.intp)
+        found, gate = [], stream.depth.copy()
         for k, slots in enumerate(stream.slots):
-            pair = self.counts[k].view(np.uint64).take(slots)
-            zeros, ones = pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint32)
-            found.append(_log_odds(zeros.astype(np.float32), ones.astype(np.float32)))
+            seen = self.counts[k].view(np.uint64).take(slots).view(np.uint32).astype(np.float32)
             if k:
-                zeros += ones
-                gate += _seen(zeros) << np.uint8(2 if k == 1 else 0)
-        return found, gate
+                gate += _seen(seen[::2] + seen[1::2]) << np.uint8(2 if k == 1 else 0)
+            seen += np.float32(DELTA)
+            odds = seen[1::2] / seen[::2]
+            found.append(np.log(odds, out=odds))
+        return found, gate.astype(np.intp)
 
     def add(self, stream: Stream) -> None:
         for k in range(PREDICTORS):
@@ -389,18 +395,18 @@ class Odds:
 
     def look(self, stream: Stream) -> tuple[list[np.ndarray], np.ndarray]:
         """As :meth:`Tables.look`, of the whole corpus."""
-        found, gate = [], stream.depth.astype(np.intp)
+        found, gate = [], stream.depth.copy()
         for k, slots in enumerate(stream.slots):
             if self.without_own:
                 slots = slots << 1  # noqa: PLW2901
                 slots += stream.bit
             value = self.odds[k].take(slots)
             if k:
-                gate += (value & 3) << (2 if k == 1 else 0)
+                gate += (value.astype(np.uint8) & np.uint8(3)) << np.uint8(2 if k == 1 else 0)
             value >>= 2
             found.append(value.astype(np.float32))
             found[-1] *= np.float32(1 / 64)
-        return found, gate
+        return found, gate.astype(np.intp)
 
 
 _HELD: dict[tuple[int, bool], tuple[object, Odds]] = {}
@@ -425,10 +431,10 @@ class Mixer:
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         weights = self.weights.T.astype(np.float32)
-        out = weights[0][gate]
+        out = weights[0].take(gate)
         out *= odds[0]
         for k in range(1, PREDICTORS):
-            part = weights[k][gate]
+            part = weights[k].take(gate)
             part *= odds[k]
             out += part
         return np.clip(out, -MOST, MOST, out=out)
@@ -439,14 +445,15 @@ class Mixer:
         cell += _step(mixed)
         cell <<= 1
         cell += bit
-        self.turned += np.bincount(cell, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        turned = np.bincount(cell, minlength=GATES * STEPS * 2).reshape(GATES, STEPS, 2)
+        self.turned += turned
+        self.used += turned.sum(axis=(1, 2))
         np.negative(mixed, out=mixed)
         np.exp(mixed, out=mixed)
         mixed += 1
         chance = np.reciprocal(mixed, out=mixed)
         error = (bit - chance).astype(np.float64)
         slack = (chance - chance * chance).astype(np.float64)
-        self.used += np.bincount(gate, minlength=GATES)
         # a damped step for each gate, scaled by the curvature of its bits along each predictor
         step = np.empty((GATES, PREDICTORS))
         for k in range(PREDICTORS):
@@ -487,7 +494,7 @@ class Mixer:
         level += gate * (2 * MOST * LEVELS + 1)
         level <<= 1
         level += bit
-        return self.costs[level]
+        return self.costs.take(level)
 
 
 @dataclass
