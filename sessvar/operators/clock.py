@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -116,9 +117,9 @@ def flagged_design(spans: DataFrame) -> DataFrame:
     return spans.groupBy("obs_id", "symbol", "t", "ln_var").agg(*(F.count_if(F.col("pattern") == p).alias(f"p{p}") for p in range(len(FEATURES))))
 
 
-def identifiable(counts: np.ndarray) -> list[int]:
-    """Parameters that distinct sessions, so many of each pattern, can tell: on LEAST_SESSIONS sessions at least, and then less, one by one, those that are combinations of others, the least certain first."""
-    kept = [k for k in range(len(PARAMETERS)) if counts @ FEATURES[:, k] >= LEAST_SESSIONS]
+def identifiable(counts: np.ndarray, among: Sequence[int] = range(len(PARAMETERS))) -> list[int]:
+    """Parameters of ``among`` that distinct sessions, so many of each pattern, can tell: on LEAST_SESSIONS sessions at least, and then less, one by one, those that are combinations of others, the least certain first."""
+    kept = [k for k in among if counts @ FEATURES[:, k] >= LEAST_SESSIONS]
     while len(kept) > 1:
         active = FEATURES[:, kept] * np.sqrt(counts)[:, None]
         if np.linalg.matrix_rank(active) == len(kept):

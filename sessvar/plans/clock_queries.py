@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import clock
+from ..operators import clock_windows as cw
 from ..sources.fixtures import Views
 from .pricing_queries import rounded
 from .registry import query
@@ -65,3 +66,61 @@ def clock_diagnostics(v: Views) -> DataFrame:
 def clock_refusals(v: Views) -> DataFrame:
     """Symbols whose weights the rows cannot tell, or tell badly, by the fit of clock_fit."""
     return fitted(v).filter("verdict <> 'ok'").select("symbol", "n", "verdict")
+
+
+def windowed(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of the regimes that the expiries show, their observations, and fits and draws."""
+    spans = v.chains.select(F.col("p_partkey").alias("obs_id"), "expiry")
+    observations = v.atm_obs.filter("n_sessions >= 2").join(spans, "obs_id").select("obs_id", "symbol", "t", "es", F.col("trade_date").alias("opened"), "expiry", "ln_var")
+    windows = cw.halves(cal.regimes(cal.own_session_expiries(v.chains)))
+    return windows, *cw.saved_fits(observations, patterns(v), windows)
+
+
+@query("clock_regime_fits")
+def clock_regime_fits(v: Views) -> DataFrame:
+    """The clock within every regime and its halves, without and with macro events. Tested on planted weights and against a loop over resampled rows."""
+    windows, _, raw = windowed(v)
+    fits = cw.fit_table(raw, windows)
+    return rounded(fits, *(c for c, kind in fits.dtypes if kind != "double"))
+
+
+@query("clock_regime_draws")
+def clock_regime_draws(v: Views) -> DataFrame:
+    return rounded(windowed(v)[2].filter("draw >= 0").select(*cw.FIT, "draw", "parameter", "value"), *cw.FIT, "draw", "parameter")
+
+
+@query("clock_regime_observations")
+def clock_regime_observations(v: Views) -> DataFrame:
+    _, rows, raw = windowed(v)
+    return rounded(cw.observed_and_fitted(rows, raw), "symbol", "label", "obs_id", "opened", "open_weekday", "sessions")
+
+
+@query("clock_identification")
+def clock_identification(v: Views) -> DataFrame:
+    _, rows, raw = windowed(v)
+    return rounded(cw.identification(cw.observed_and_fitted(rows, raw)), "symbol", "label", "open_weekday", "sessions", "n")
+
+
+@query("clock_business_time")
+def clock_business_time(v: Views) -> DataFrame:
+    return rounded(cw.business_time(windowed(v)[2]), "symbol", "label", "place", "session")
+
+
+@query("clock_stability")
+def clock_stability(v: Views) -> DataFrame:
+    windows, _, raw = windowed(v)
+    return rounded(cw.stability(cw.fit_table(raw, windows)), "symbol", "label", "start", "half", "spec", "parameter", "identified")
+
+
+@query("clock_weights")
+def clock_weights(v: Views) -> DataFrame:
+    """Weekday weights of the whole regimes with their intervals."""
+    windows, _, raw = windowed(v)
+    days = cw.fit_table(raw, windows).filter("half = 'full'").filter(F.col("parameter").isin(*cw.WEEK))
+    return rounded(days.select("symbol", "label", "start", "spec", "parameter", "point", "lo", "hi", "condition"), "symbol", "label", "start", "spec", "parameter")
+
+
+@query("clock_macro_shift")
+def clock_macro_shift(v: Views) -> DataFrame:
+    windows, _, raw = windowed(v)
+    return rounded(cw.macro_shift(cw.fit_table(raw, windows)), "symbol", "label", "start", "parameter")
