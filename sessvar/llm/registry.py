@@ -21,6 +21,7 @@ QUERIES = {
     "op8_line_dedup": "lines",
     "op9_quality": "quality",
     "op10_media_columns": "media",
+    "op12_merkle_manifest": "manifest",
 }
 
 
@@ -29,6 +30,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines
+    from . import lines, manifest
 
-    return {"op8_line_dedup": lines.SQL}
+    return {"op8_line_dedup": lines.SQL, "op12_merkle_manifest": manifest.SQL}
