@@ -21,6 +21,7 @@ QUERIES = {
     "op8_line_dedup": "lines",
     "op9_quality": "quality",
     "op10_media_columns": "media",
+    "op11_embedding_whitening": "whitening",
     "op12_merkle_manifest": "manifest",
 }
 
