@@ -23,6 +23,7 @@ QUERIES = {
     "op10_media_columns": "media",
     "op11_embedding_whitening": "whitening",
     "op12_merkle_manifest": "manifest",
+    "op13_ngram_jaccard": "jaccard",
 }
 
 
