@@ -92,16 +92,16 @@ def test_a_group_of_copies_just_short_of_the_threshold(spark):
 
 def test_bounds():
     for n in range(1, 300):
-        partner = any(100 * i >= 90 * (n + m - i) for m in (n - 1, n + 1) for i in (min(n, m),))
-        assert jaccard.linkable(n) == any(100 * n >= 90 * (n + k) for k in (1, 2, 3)) and (jaccard.linkable(n) or not partner or 100 * (n - 1) >= 90 * n)
+        smaller, larger = 100 * (n - 1) >= 90 * n, 100 * n >= 90 * (n + 1)
+        assert jaccard.linkable(n) == (smaller or larger)
         least = next(i for i in range(n + 1) if 100 * i >= 90 * n)
         assert jaccard.prefix_length(n) == n - least + 1
     rng = np.random.default_rng(1)
     for d in (0, 1, 30, 900):
-        a, b, c = np.split(np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))[: 3 * 1000], 3)
+        a, b, c = np.split(rng.permutation(np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64)))[: 3 * 1000], 3)
         x, y = np.sort(np.concatenate([a, b[: d // 2]])), np.sort(np.concatenate([a, c[: d - d // 2]]))
         apart = np.bitwise_count(np.frombuffer(jaccard.parity(x), np.uint64) ^ np.frombuffer(jaccard.parity(y), np.uint64)).sum()
-        assert apart <= d and (d > 30 or apart >= d - 4)
+        assert apart <= d and (d > 30 or apart >= d - 6)
 
 
 def test_rare_words_come_first(spark):
