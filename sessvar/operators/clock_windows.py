@@ -53,18 +53,22 @@ def inside(observations: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 class Quotes:
-    """One window's observations as arrays, sorted by date, with log variances less their date's mean."""
+    """One window's observations as arrays, sorted by date, with log variances less their date's mean. A row may stand for ``n`` alike ones and their mean."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values(["t", "obs_id"])
-        dates = rows["t"].to_numpy()
-        self.counts = rows[PATTERNS].to_numpy(float)
+    def __init__(self, counts: np.ndarray, dates: np.ndarray, ln_var: np.ndarray, n: np.ndarray | None = None) -> None:
+        self.counts, self.n = counts, np.ones(len(dates)) if n is None else n
         self.starts = np.flatnonzero(np.concatenate([[True], dates[1:] != dates[:-1]]))
         self.sizes = np.diff(np.append(self.starts, len(dates)))
-        self.y = self.demeaned(rows["ln_var"].to_numpy(float)[:, None])[:, 0]
+        self.totals = np.add.reduceat(self.n, self.starts)
+        self.y = self.demeaned(ln_var[:, None])[:, 0]
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Quotes:
+        rows = rows.sort_values(["t", "obs_id"])
+        return cls(rows[PATTERNS].to_numpy(float), rows["t"].to_numpy(), rows["ln_var"].to_numpy(float))
 
     def demeaned(self, values: np.ndarray) -> np.ndarray:
-        return values - np.repeat(np.add.reduceat(values, self.starts, axis=0) / self.sizes[:, None], self.sizes, axis=0)
+        return values - np.repeat(np.add.reduceat(values * self.n[:, None], self.starts, axis=0) / self.totals[:, None], self.sizes, axis=0)
 
     def linearised(self, theta: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residuals, and how the fitted values move with each parameter."""
@@ -75,7 +79,7 @@ class Quotes:
 
     def solved(self, features: np.ndarray, start: np.ndarray, times: np.ndarray, rounds: int = 60) -> np.ndarray | None:
         """Least squares with each date counted ``times`` over, by damped Gauss-Newton steps; None if it does not settle."""
-        weight = np.repeat(times, self.sizes).astype(float)
+        weight = np.repeat(times, self.sizes) * self.n
         theta, damping = start, 1e-3
         error, slope = self.linearised(theta, features)
         loss = weight @ error**2
@@ -110,7 +114,7 @@ def fits_and_draws(rows: pd.DataFrame, spec: str, first: int, draws: int) -> Ite
     sessions = np.array(rows["sessions"].iloc[0], float)
     among = [k for k, name in enumerate(clock.PARAMETERS) if k < len(clock.DAYS) or name in SPECS[spec]]
     kept = clock.identifiable(sessions, among)
-    quotes, features = Quotes(rows), clock.FEATURES[:, kept]
+    quotes, features = Quotes.of(rows), clock.FEATURES[:, kept]
     n, dates = len(rows), len(quotes.sizes)
     dropped = ",".join(clock.PARAMETERS[k] for k in among if k not in kept)
     reason, theta = "", None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import random
 
 #: Decay of the forecast, squares that seed it; sessions on either side of an event and between pseudo-events.
 DECAY, SEED = 0.94, 20
+#: Blocks of a scan whose results are handed on.
+CARRIED = 40
 REACH, STRIDE = 63, 5
 #: Percent.
 GENUINE = 20.0
@@ -40,15 +44,26 @@ def range_variances(daily: DataFrame) -> DataFrame:
 def forecasts(returns: DataFrame, decay: float = DECAY) -> DataFrame:
     """Variance forecast of each return from those before it, and its square over the forecast (z2).
 
-    The recurrence runs along one array per index: an index has one number a day, so the array is bounded by its calendar.
+    The recurrence f -> decay * f + (1 - decay) * r ** 2 composes, so it is a scan by blocks: within a block a running sum of squares grown by the decay,
+    across blocks what each hands to the next. A block is long enough that its weight is 1e-8, so what lies CARRIED blocks back weighs less than the
+    smallest double, and no array is longer than that.
     """
-    series = returns.filter("r IS NOT NULL").groupBy("index_name").agg(F.array_sort(F.collect_list(F.struct("session", "day", "r"))).alias("a"))
-    squares = F.transform("a", lambda x: x["r"] * x["r"])
-    seed = F.aggregate(F.slice(squares, 1, SEED), F.lit(0.0), lambda s, x: s + x) / F.least(F.size("a"), F.lit(SEED))
-    grown = F.aggregate(F.slice(squares, F.lit(1), F.size("a") - 1), F.array(seed), lambda s, x: F.concat(s, F.array(decay * F.element_at(s, -1) + (1 - decay) * x)))
-    rows = series.select("index_name", F.explode(F.arrays_zip("a", grown.alias("forecast"))).alias("z"))
-    rows = rows.select("index_name", "z.a.session", "z.a.day", "z.a.r", "z.forecast")
-    return rows.withColumn("z2", F.try_divide(F.col("r") * F.col("r"), F.col("forecast")))
+    block = max(1, math.floor(math.log(1e-8) / math.log(decay)))
+    order = Window.partitionBy("index_name").orderBy("session")
+    rows = returns.filter("r IS NOT NULL").select("index_name", "session", "day", "r", (F.row_number().over(order) - 1).alias("i"), (F.col("r") * F.col("r")).alias("x"))
+    rows = rows.withColumn("block", F.floor(F.col("i") / block)).withColumn("at", F.col("i") - F.col("block") * block)
+    news = (1 - decay) * F.col("x") * F.pow(F.lit(decay), -F.col("at") - 1)
+    within = Window.partitionBy("index_name", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("own", F.coalesce(F.sum(news).over(within), F.lit(0.0)))
+    # a sum and a count of the first SEED squares, which may lie in several blocks
+    first = F.col("i") < SEED
+    sums = rows.groupBy("index_name", "block").agg((F.sum(news) * decay**block).alias("told"), F.sum(F.when(first, F.col("x"))).alias("s"), F.count_if(first).alias("n"))
+    whole = Window.partitionBy("index_name")
+    seed = F.sum("s").over(whole) / F.sum("n").over(whole)
+    earlier = F.collect_list("told").over(whole.orderBy("block").rowsBetween(-CARRIED, -1))
+    starts = sums.select("index_name", "block", F.aggregate(earlier, seed, lambda f, x: f * decay**block + x).alias("start"))
+    found = inside.join(starts, ["index_name", "block"]).withColumn("forecast", F.pow(F.lit(decay), F.col("at")) * (F.col("start") + F.col("own")))
+    return found.select("index_name", "session", "day", "r", "forecast", F.try_divide("x", "forecast").alias("z2"))
 
 
 def front_returns(futures: DataFrame) -> DataFrame:

@@ -69,6 +69,30 @@ VIEWS: dict[str, str] = {
                             FROM (SELECT DISTINCT t, es, sy FROM chains) p CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24)) AS ds(d)) ds
                             JOIN weights w ON w.wd = (p.t + 1 + ds.d) % 5 WHERE p.t + 1 + ds.d <= p.es GROUP BY p.t, p.es, p.sy) v
         ON v.t = c.t AND v.es = c.es AND v.sy = c.sy""",
+    # a calendar of years: shipping days, of which some weekdays are holidays and some weekend days sessions; what ships on another day counts to the session before
+    "ship_sessions": """SELECT ship_day, wd, is_open, greatest(sum(CASE WHEN is_open THEN 1 ELSE 0 END) OVER (ORDER BY ship_day) - 1, 0) AS session,
+               max(CASE WHEN is_open THEN ship_day END) OVER (ORDER BY ship_day) AS before
+        FROM (SELECT ship_day, wd, row_number() OVER (ORDER BY ship_day) = 1 OR CASE WHEN wd < 5 THEN dayofyear(ship_day) % 61 <> 30 ELSE dayofyear(ship_day) % 50 = 0 END AS is_open
+              FROM (SELECT ship_day, CAST(ship_day - DATE '1990-01-01' AS INT) % 7 AS wd FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ship_day FROM lineitem) a) b) c""",
+    "trading_days": "SELECT ship_day AS day, session, wd FROM ship_sessions WHERE is_open",
+    # days that a study leaves out of its weekday means, as budgets and announcements are
+    "excluded_days": "SELECT day FROM trading_days WHERE dayofyear(day) % 45 = 7",
+    # line numbers stand for two indices, a session's lines in order of their orders for its prices
+    "long_daily": """SELECT index_name, d.day, e.session, max(CASE WHEN first_no = 1 THEN price END) AS open, max(price) AS high, min(price) AS low, max(CASE WHEN last_no = 1 THEN price END) AS close
+        FROM (SELECT *, row_number() OVER (PARTITION BY index_name, session ORDER BY ship_day, l_orderkey, l_linenumber, price) AS first_no, row_number() OVER (PARTITION BY index_name, session ORDER BY ship_day DESC, l_orderkey DESC, l_linenumber DESC, price DESC) AS last_no
+              FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'BNK' ELSE 'NFT' END AS index_name, s.session, s.ship_day, l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price
+                    FROM lineitem JOIN ship_sessions s ON s.ship_day = CAST(l_shipdate AS DATE)) x) e JOIN trading_days d ON d.session = e.session GROUP BY index_name, d.day, e.session""",
+    # expiries of three symbols that change their weekday in June 1998, rolled back to the session before where theirs is none; the month's last is its monthly one
+    "long_expiries": """SELECT symbol, nominal, expiry, CASE WHEN nominal = max(nominal) OVER (PARTITION BY symbol, year(nominal), month(nominal)) THEN 'monthly' ELSE 'weekly' END AS tenor
+        FROM (SELECT symbol, ship_day AS nominal, before AS expiry FROM ship_sessions JOIN (VALUES ('NFT', 3, 1), ('SNX', 1, 3), ('BNK', 2, 3)) AS y(symbol, old_wd, new_wd) ON wd = CASE WHEN ship_day < DATE '1998-06-01' THEN old_wd ELSE new_wd END) x""",
+    # weights of two symbols' sessions: a weekday's, less on the weekday that expiries fall on, and their running sum
+    "planted_clock": """SELECT symbol, session, w, sum(w) OVER (PARTITION BY symbol ORDER BY session) AS cum
+        FROM (SELECT symbol, session, CASE wd WHEN 0 THEN 1.2e0 WHEN 1 THEN 1e0 WHEN 2 THEN 1.1e0 WHEN 3 THEN 0.95e0 WHEN 4 THEN 0.9e0 ELSE 0.4e0 END * CASE WHEN wd = CASE WHEN day < DATE '1998-06-01' THEN old_wd ELSE new_wd END THEN 0.65e0 ELSE 1e0 END AS w
+              FROM trading_days CROSS JOIN (VALUES ('NFT', 3, 1), ('SNX', 1, 3)) AS y(symbol, old_wd, new_wd)) x""",
+    # lines stand for quoted at-the-money variances over sessions (t, es], with noise; suppliers for the symbols
+    "term_quotes": """SELECT q.symbol, q.t, q.es, ln((0.5e0 + (q.t % 11) / 20e0) * (b.cum - a.cum)) + noise AS ln_var
+        FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'NFT' ELSE 'SNX' END AS symbol, s.session AS t, least(s.session + 2 + l_partkey % 8, (SELECT max(session) FROM trading_days)) AS es, ((l_orderkey * 7919 + l_linenumber * 10473 + l_partkey * 31) % 1009 / 1009e0 - 0.5e0) * 0.2e0 AS noise
+              FROM lineitem JOIN ship_sessions s ON s.ship_day = CAST(l_shipdate AS DATE)) q JOIN planted_clock a ON a.symbol = q.symbol AND a.session = q.t JOIN planted_clock b ON b.symbol = q.symbol AND b.session = q.es WHERE q.es > q.t""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
