@@ -55,23 +55,29 @@ def runs_of(rows: DataFrame, starts: list[int], sessions: int, reach: int) -> Da
     return placed.filter("high > low").withColumn("run", F.explode(F.sequence(F.expr(f"low div {RUN}"), F.expr(f"(high - 1) div {RUN}")))).select("run", "symbol", "t", "es", "n", "y")
 
 
+def counts_of(t: np.ndarray, es: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sessions by pattern of every row's (t, es], and of all sessions that any row spans. ``kinds``: the kind of each session of the calendar."""
+    upto = np.zeros((len(kinds) + 1, len(clock.FEATURES)))
+    upto[1:][np.arange(len(kinds)), 4 * kinds] = 1
+    upto = np.cumsum(upto, axis=0)
+    covered = np.zeros(len(kinds) + 1, int)
+    np.add.at(covered, t + 1, 1)
+    np.add.at(covered, es + 1, -1)
+    spanned = np.bincount(4 * kinds[np.cumsum(covered)[:-1] > 0], minlength=len(clock.FEATURES)).astype(float)
+    return upto[es + 1] - upto[t + 1], spanned
+
+
 def fitted(t: np.ndarray, es: np.ndarray, n: np.ndarray, y: np.ndarray, kinds: np.ndarray, warm: tuple[list[int], np.ndarray] | None) -> tuple[tuple, tuple[list[int], np.ndarray] | None]:
     """One window's log weights Monday to Friday, condition number, quotes and refusal; and where the next fit may start. Rows are sorted by t."""
     total = int(n.sum())
     refused = lambda reason: ((*[None] * 5, None, total, reason), None)
     if total < clock.LEAST_ROWS:
         return refused(f"{total} observations")
-    covered = np.zeros(len(kinds) + 1, int)
-    np.add.at(covered, t + 1, 1)
-    np.add.at(covered, es + 1, -1)
-    spanned = np.bincount(4 * kinds[np.cumsum(covered)[:-1] > 0], minlength=len(clock.FEATURES)).astype(float)
+    counts, spanned = counts_of(t, es, kinds)
     kept = clock.identifiable(spanned, AMONG)
     if not kept or total - len(np.unique(t)) - len(kept) <= 0:
         return refused("no residual degree of freedom")
-    upto = np.zeros((len(kinds) + 1, len(clock.FEATURES)))
-    upto[1:][np.arange(len(kinds)), 4 * kinds] = 1
-    upto = np.cumsum(upto, axis=0)
-    quotes, features = Quotes(upto[es + 1] - upto[t + 1], t, y, n), clock.FEATURES[:, kept]
+    quotes, features = Quotes(counts, t, y, n), clock.FEATURES[:, kept]
     root = np.sqrt(n)[:, None]
     if np.linalg.matrix_rank(root * quotes.linearised(np.zeros(len(kept)), features)[1]) < len(kept):
         return refused("demeaned design of too low a rank")

@@ -15,6 +15,10 @@ from ..functions.normal import cdf_sql
 #: Annual rate of discounting and days of a year.
 RATE, YEAR = 0.065, 365.0
 
+#: The weekday, from 0 on Monday, that a symbol's expiries of the long calendar fall on.
+EXPIRY_WEEKDAY = """CASE symbol WHEN 'NFT' THEN CASE WHEN {day} < DATE '1998-06-01' THEN 3 ELSE 1 END WHEN 'SNX' THEN CASE WHEN {day} < DATE '1998-06-01' THEN 1 ELSE 3 END
+            ELSE CASE WHEN {day} < DATE '1998-06-01' THEN 0 WHEN {day} < DATE '1999-02-15' THEN 2 ELSE 3 END END"""
+
 VIEWS: dict[str, str] = {
     # one row per calendar day with events, numbered from 0
     "sessions": """SELECT day, row_number() OVER (ORDER BY day) - 1 AS session FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d""",
@@ -82,16 +86,18 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY index_name, session ORDER BY ship_day, l_orderkey, l_linenumber, price) AS first_no, row_number() OVER (PARTITION BY index_name, session ORDER BY ship_day DESC, l_orderkey DESC, l_linenumber DESC, price DESC) AS last_no
               FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'BNK' ELSE 'NFT' END AS index_name, s.session, s.ship_day, l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price
                     FROM lineitem JOIN ship_sessions s ON s.ship_day = CAST(l_shipdate AS DATE)) x) e JOIN trading_days d ON d.session = e.session GROUP BY index_name, d.day, e.session""",
-    # expiries of three symbols that change their weekday in June 1998, rolled back to the session before where theirs is none; the month's last is its monthly one
-    "long_expiries": """SELECT symbol, nominal, expiry, CASE WHEN nominal = max(nominal) OVER (PARTITION BY symbol, year(nominal), month(nominal)) THEN 'monthly' ELSE 'weekly' END AS tenor
-        FROM (SELECT symbol, ship_day AS nominal, before AS expiry FROM ship_sessions JOIN (VALUES ('NFT', 3, 1), ('SNX', 1, 3), ('BNK', 2, 3)) AS y(symbol, old_wd, new_wd) ON wd = CASE WHEN ship_day < DATE '1998-06-01' THEN old_wd ELSE new_wd END) x""",
-    # weights of two symbols' sessions: a weekday's, less on the weekday that expiries fall on, and their running sum
+    # expiries of three symbols that change their weekday in June 1998, one of them again in February 1999, and is monthly by then; rolled back to the session before where theirs is none
+    "long_expiries": """SELECT symbol, nominal, expiry, tenor
+        FROM (SELECT symbol, nominal, expiry, CASE WHEN nominal = max(nominal) OVER (PARTITION BY symbol, year(nominal), month(nominal)) THEN 'monthly' ELSE 'weekly' END AS tenor
+              FROM (SELECT symbol, ship_day AS nominal, before AS expiry FROM ship_sessions JOIN (VALUES ('NFT'), ('SNX'), ('BNK')) AS y(symbol) ON wd = EXPIRY_WEEKDAY) x) z
+        WHERE symbol <> 'BNK' OR nominal < DATE '1998-06-01' OR tenor = 'monthly'""".replace("EXPIRY_WEEKDAY", EXPIRY_WEEKDAY.format(day="ship_day")),
+    # weights of the symbols' sessions: a weekday's, less on the weekday that expiries fall on, and their running sum
     "planted_clock": """SELECT symbol, session, w, sum(w) OVER (PARTITION BY symbol ORDER BY session) AS cum
-        FROM (SELECT symbol, session, CASE wd WHEN 0 THEN 1.2e0 WHEN 1 THEN 1e0 WHEN 2 THEN 1.1e0 WHEN 3 THEN 0.95e0 WHEN 4 THEN 0.9e0 ELSE 0.4e0 END * CASE WHEN wd = CASE WHEN day < DATE '1998-06-01' THEN old_wd ELSE new_wd END THEN 0.65e0 ELSE 1e0 END AS w
-              FROM trading_days CROSS JOIN (VALUES ('NFT', 3, 1), ('SNX', 1, 3)) AS y(symbol, old_wd, new_wd)) x""",
+        FROM (SELECT symbol, session, CASE wd WHEN 0 THEN 1.2e0 WHEN 1 THEN 1e0 WHEN 2 THEN 1.1e0 WHEN 3 THEN 0.95e0 WHEN 4 THEN 0.9e0 ELSE 0.4e0 END * CASE WHEN wd = EXPIRY_WEEKDAY THEN 0.65e0 ELSE 1e0 END AS w
+              FROM trading_days CROSS JOIN (VALUES ('NFT'), ('SNX'), ('BNK')) AS y(symbol)) x""".replace("EXPIRY_WEEKDAY", EXPIRY_WEEKDAY.format(day="day")),
     # lines stand for quoted at-the-money variances over sessions (t, es], with noise; suppliers for the symbols
     "term_quotes": """SELECT q.symbol, q.t, q.es, ln((0.5e0 + (q.t % 11) / 20e0) * (b.cum - a.cum)) + noise AS ln_var
-        FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'NFT' ELSE 'SNX' END AS symbol, s.session AS t, least(s.session + 2 + l_partkey % 8, (SELECT max(session) FROM trading_days)) AS es, ((l_orderkey * 7919 + l_linenumber * 10473 + l_partkey * 31) % 1009 / 1009e0 - 0.5e0) * 0.2e0 AS noise
+        FROM (SELECT CASE l_suppkey % 3 WHEN 0 THEN 'NFT' WHEN 1 THEN 'SNX' ELSE 'BNK' END AS symbol, s.session AS t, least(s.session + 2 + l_partkey % 8, (SELECT max(session) FROM trading_days)) AS es, ((l_orderkey * 7919 + l_linenumber * 10473 + l_partkey * 31) % 1009 / 1009e0 - 0.5e0) * 0.2e0 AS noise
               FROM lineitem JOIN ship_sessions s ON s.ship_day = CAST(l_shipdate AS DATE)) q JOIN planted_clock a ON a.symbol = q.symbol AND a.session = q.t JOIN planted_clock b ON b.symbol = q.symbol AND b.session = q.es WHERE q.es > q.t""",
 }
 
