@@ -6,9 +6,10 @@ among the first n - ceil(n * NUM / DEN) + 1 of each, so classes are joined on th
 bound that no link breaks: sizes; places of the shared n-gram (what is left after it must be enough); and, for the rest of the sets, the
 Hamming distance, at least the number of 1,024 hash ranges in which the two sets' counts differ in parity.
 
-Many sets may share a prefix n-gram, so within its group pairs are found and told in rounds: a round tells a spanning forest of the
-candidate links between classes not yet connected, at most one pair for each, and every pair told is verified once, exactly, against
-both sets. The next round looks at groups that are not yet connected and leaves out pairs found wanting. After ROUNDS all that is left is told.
+Many sets may share a prefix n-gram, so within its group pairs are told in rounds: a round tells a spanning forest of the candidate
+links between members that the group's own verified links do not connect yet, at most one pair for each, and every pair told is verified
+once, exactly, against both sets. The next round looks at groups that told something and leaves out pairs found wanting. After ROUNDS
+all that is left is told.
 A group over BLOCK is split into blocks that meet two by two, so that none is one task's work and no pair is lost.
 
 N-grams are compared by 64-bit hashes; a set's identity is 128 bits. A document without words has an empty set and no links.
@@ -33,7 +34,7 @@ from . import common, graph
 WORDS = 3
 NUM, DEN = 90, 100
 BLOCK = 2048
-ROUNDS = 4
+ROUNDS = 3
 #: Words whose counts tasks hold, the commonest ones: a fixed size, for n-grams' order alone, which may be any.
 KNOWN = 1 << 18
 #: Words a worker remembers between documents; ranges of the parity filter; bits of the filter of rows to read again.
@@ -55,17 +56,15 @@ class Words(dict):
 
     def __init__(self, known: np.ndarray, counts: np.ndarray):
         super().__init__()
-        self.known, self.known_counts = known, counts
+        self.known = dict(zip(known.tolist(), counts.tolist(), strict=True))
         self.hashes, self.counts = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         place = len(self)
         if place == len(self.hashes):
             self.hashes, self.counts = np.resize(self.hashes, 2 * place), np.resize(self.counts, 2 * place)
-        h = np.uint64(xxhash.xxh64_intdigest(word, SEED))
-        at = int(np.searchsorted(self.known, h))
-        self.hashes[place] = h
-        self.counts[place] = self.known_counts[at] if at < len(self.known) and self.known[at] == h else 0
+        self.hashes[place] = h = xxhash.xxh64_intdigest(word, SEED)
+        self.counts[place] = self.known.get(h, 0)
         self[word] = place
         return place
 
@@ -84,8 +83,18 @@ class Words(dict):
         for k in range(width):
             h = _mixed(h + own[k : k + n])
             rare = np.minimum(rare, counts[k : k + n])
-        h, first = np.unique(h, return_index=True)
-        return h, rare[first]
+        order = np.argsort(h)
+        h = h[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        return h[first], rare[order[first]]
+
+
+def prefix(h: np.ndarray, rare: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` of the sorted hashes ``h`` in the order of (rare, hash)."""
+    cut = np.partition(rare, length - 1)[length - 1]
+    below = np.flatnonzero(rare < cut)
+    below = below[np.argsort(rare[below], kind="stable")]
+    return h[np.concatenate([below, np.flatnonzero(rare == cut)[: length - len(below)]])]
 
 
 def linkable(n: int, num: int = NUM, den: int = DEN) -> bool:
@@ -130,11 +139,12 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > KNOWN:
             break
         cut = level["least"]
-    rows = counted.filter(F.col("n") >= cut).collect() if cut is not None else []
+    kept = counted.filter(F.col("n") >= cut) if cut is not None else counted.limit(0)
+    table = kept.toArrow()
     common.dropped(counted)
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    h = table.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return h[order], table.column("n").to_numpy()[order]
 
 
 _ROW = "doc_id long, row_hash long, n long, digest binary, prefix array<long>, parity binary"
@@ -158,7 +168,7 @@ def rows_of(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
                     sizes.append(len(h))
                     digests.append(hashlib.md5(h.tobytes(), usedforsecurity=False).digest() if len(h) else None)
                     if linkable(len(h), num, den):
-                        prefixes.append(h[np.lexsort((h, rare))[: prefix_length(len(h), num, den)]].view(np.int64))
+                        prefixes.append(prefix(h, rare, prefix_length(len(h), num, den)).view(np.int64))
                         parities.append(parity(h))
                     else:
                         prefixes.append(None)
@@ -226,35 +236,60 @@ def _group_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray, bits: np.nda
             hits = hits[~np.isin(hits, barred.get(x, []))]
             for y in hits.tolist():
                 if free[y]:
-                    yield x, y
+                    yield min(x, y), max(x, y)
                     own = of_label[int(label[y])]
                     free[own] = False
                     queue += own.tolist()
 
 
-_TOLD = "token long, key long, a long, b long"
+def _stars(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, own: np.ndarray, starts: np.ndarray, every: bool, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which groups (rows starts[g] to starts[g + 1]) are told at once, all rows of all groups together, and their pairs: those of one member, of two, and,
+    unless every pair is asked for, those whose every member may link with the first. Groups that have told pairs before are left to :func:`_group_pairs`."""
+    sizes = np.diff(starts)
+    first = np.repeat(starts[:-1], sizes)
+    at = np.arange(len(first))
+    a, b = n[first], n[at]
+    least = -(-num * (a + b) // (num + den))
+    near = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(a - pos[first], b - pos[at]) >= least) & (at > first)
+    close = np.flatnonzero(near)
+    near[close] = np.bitwise_count(bits[first[close]] ^ bits[close]).sum(axis=1, dtype=np.int64) <= (a + b - 2 * least)[close]
+    hits = np.add.reduceat(near.astype(np.int64), starts[:-1])
+    simple = np.logical_and.reduceat(own, starts[:-1]) & ((sizes <= 2) | (not every) & (hits == sizes - 1))
+    told = np.flatnonzero(near & np.repeat(simple, sizes))
+    return simple, list(zip(first[told].tolist(), told.tolist(), strict=True))
 
 
-def told_pairs(members: DataFrame, wanting: DataFrame | None, every: bool, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(token, key, a, b) of the groups of ``members`` (token, key, id, label, n, pos, parity). ``wanting``: pairs of a group that are no links."""
-    rows = members.select("token", "key", "id", "label", "n", "pos", "parity", F.lit(None).cast("long").alias("other"))
-    if wanting is not None:
-        rows = rows.unionByName(wanting.select("token", "key", F.col("a").alias("id"), F.col("b").alias("other")), allowMissingColumns=True)
-    sorted_ = rows.repartition("token", "key").sortWithinPartitions("token", "key")
+_TOLD = "token long, key long, a long, b long"
 
-    none = bytes(RANGES // 8)
 
-    def pairs(ids: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, other: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        barred: dict[int, list[int]] = {}
-        if not own.all():
-            place = {v: i for i, v in enumerate(ids[own].tolist())}
-            for a, b in zip(ids[~own].tolist(), other[~own].tolist(), strict=True):
-                barred.setdefault(place[a], []).append(place[b])
-                barred.setdefault(place[b], []).append(place[a])
-            ids, label, n, pos, bits = ids[own], label[own], n[own], pos[own], bits[own]
-        if (label != label[0]).any():
-            for x, y in _group_pairs(n, pos, label, bits, barred, every, num, den):
-                yield (int(ids[x]), int(ids[y])) if ids[x] < ids[y] else (int(ids[y]), int(ids[x]))
+def _labels(ids: np.ndarray, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Of one group's members the component that its verified links make, and of each place those that it is known not to link with."""
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    root, barred = list(range(len(ids))), {}
+    for x, y, yes in zip(a.tolist(), b.tolist(), linked.tolist(), strict=True):
+        x, y = place[x], place[y]
+        if not yes:
+            barred.setdefault(x, []).append(y)
+            barred.setdefault(y, []).append(x)
+            continue
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+    for i in range(len(root)):  # a root comes before what it stands for
+        root[i] = root[root[i]]
+    return np.array(root), barred
+
+
+def told_pairs(members: DataFrame, results: DataFrame | None, every: bool, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(token, key, a, b), a < b, of the groups of ``members`` (token, key, id, n, pos, parity). ``results``: pairs told by a group before, and whether they link."""
+    rows = members.select("token", "key", "id", "n", "pos", "parity", F.lit(None).cast("long").alias("other"), F.lit(False).alias("linked"))
+    if results is not None:
+        rows = rows.unionByName(results.select("token", "key", F.col("a").alias("id"), F.col("b").alias("other"), "linked"), allowMissingColumns=True)
+    # by id too: groups of the same members then tell the same pairs
+    sorted_ = rows.repartition("token", "key").sortWithinPartitions("token", "key", "id")
+    none = bytes(RANGES // 8)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
@@ -274,18 +309,26 @@ def told_pairs(members: DataFrame, wanting: DataFrame | None, every: bool, num:
             # the last group may go on in the next batch
             whole = len(starts) - 1 if batch is None else len(starts) - 2
             held = None if batch is None else table.slice(starts[whole])
+            if not whole:
+                continue
             done = table.slice(0, starts[whole])
-            own = done.column("other").is_null().to_numpy()
-            ids = done.column("id").to_numpy()
-            label, n, pos, other = (done.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("label", "n", "pos", "other"))
-            bits = np.frombuffer(b"".join(none if v is None else v for v in done.column("parity").to_pylist()), np.uint64).reshape(len(own), -1)
-            for low, high in itertools.pairwise(starts[: whole + 1]):
-                if high - low > 1:
-                    of = slice(low, high)
-                    out += [(int(token[low]), int(key[low]), a, b) for a, b in pairs(ids[of], label[of], n[of], pos[of], bits[of], other[of], own[of])]
-                    if len(out) > 50_000:
-                        yield told()
-                        out.clear()
+            own, linked = done.column("other").is_null().to_numpy(), done.column("linked").to_numpy()
+            ids, n, pos, other = (done.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("id", "n", "pos", "other"))
+            parities = done.column("parity").fill_null(none).combine_chunks()
+            bounds = np.frombuffer(parities.buffers()[1], np.int32)[parities.offset :]
+            bits = np.frombuffer(parities.buffers()[2], np.uint8)[bounds[0] : bounds[len(own)]].view(np.uint64).reshape(len(own), -1)
+            edges = np.array(starts[: whole + 1])
+            simple, stars = _stars(n, pos, bits, own, edges, every, num, den)
+            out += [(int(token[x]), int(key[x]), int(ids[x]), int(ids[y])) for x, y in stars]
+            for g in np.flatnonzero(~simple).tolist():
+                rows_ = np.arange(starts[g], starts[g + 1])
+                mine, old = rows_[own[rows_]], rows_[~own[rows_]]
+                label, barred = _labels(ids[mine], ids[old], other[old], linked[old])
+                if label.any():
+                    out += [(int(token[mine[0]]), int(key[mine[0]]), int(ids[mine[x]]), int(ids[mine[y]])) for x, y in _group_pairs(n[mine], pos[mine], label, bits[mine], barred, every, num, den)]
+                if len(out) > 50_000:
+                    yield told()
+                    out.clear()
         yield told()
 
     return sorted_.mapInArrow(work, _TOLD)
@@ -333,34 +376,27 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     return joined.mapInArrow(work, "a long, b long, linked boolean")
 
 
-def class_roots(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame | None:
-    """(node, root) of the classes that link to others; None if none does."""
+def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame | None:
+    """(a, b): verified links between classes that connect what all links connect; None if no two classes are candidates."""
     open_ = common.saved(shared(classes, block), "jaccard-open")
-    roots = sets = known = told = None
-    for turn in itertools.count():
-        label = open_.join(roots, F.col("id") == F.col("node"), "left").select(*open_.columns, F.coalesce("root", "id").alias("label")) if roots is not None else open_.withColumn("label", F.col("id"))
-        wanting = told.join(known.filter("NOT linked"), ["a", "b"]).select("token", "key", "a", "b") if known is not None else None
-        now = common.saved(told_pairs(label, wanting, turn >= rounds, num, den), "jaccard-pairs")
-        told = now if told is None else told.unionByName(now)
-        pairs = now.select("a", "b").distinct()
+    members, results, told, sets, known = open_, None, None, None, None
+    for turn in range(rounds + 1):
+        now = common.saved(told_pairs(members, results, turn == rounds, num, den), "jaccard-pairs")
         if not now.limit(1).count():
             break
+        pairs = now.select("a", "b").distinct()
         if sets is None:
             # a class that has any candidate is in the first round's forest, so no other set is ever needed
             needed = now.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest", "row_hash"), "id")
             sets = sets_of(docs, needed, words)
-        fresh = verified(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), sets, num, den)
-        checked = common.saved(fresh, "jaccard-verified")
+        fresh = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
+        checked = common.saved(verified(fresh, sets, num, den), "jaccard-verified")
         known = checked if known is None else known.unionByName(checked)
-        links = known.filter("linked").select("a", "b")
-        roots = graph.components(links)
-        if turn >= rounds:
-            break
-        still = common.saved(open_.join(now.select("token", "key").distinct(), ["token", "key"], "left_semi"), "jaccard-open")
-        common.dropped(open_)
-        open_ = still
+        groups = now.select("token", "key").distinct()
+        told = now if told is None else told.join(groups, ["token", "key"], "left_semi").unionByName(now)
+        members, results = open_.join(groups, ["token", "key"], "left_semi"), told.join(known, ["a", "b"])
     common.dropped(open_)
-    return roots
+    return known.filter("linked").select("a", "b") if known is not None else None
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -370,10 +406,10 @@ def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DE
     """
     rows = common.saved(rows_of(docs, words, num, den), "jaccard-rows")
     classes = classes_of(rows)
-    roots = class_roots(docs, classes, words, num, den, block, rounds)
+    found = links(docs, classes, words, num, den, block, rounds)
     rooted = classes.select("digest", "least", F.col("id").alias("root"))
-    if roots is not None:
-        rooted = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
+    if found is not None:
+        rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id")
     with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

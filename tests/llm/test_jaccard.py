@@ -90,6 +90,50 @@ def test_a_group_of_copies_just_short_of_the_threshold(spark):
     assert sorted_rows(jaccard.near_sets(frame(spark, rows)).collect()) == sorted_rows(want)
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_pairs_of_groups(spark, every):
+    rng = random.Random(6)
+    rows = []
+    for group in range(60):
+        base = [rng.getrandbits(64) for _ in range(60)]
+        for k in range(rng.choice((1, 2, 2, 3, 5, 9))):
+            h = np.array(sorted({*base[rng.randrange(9) :], *(rng.getrandbits(64) for _ in range(rng.randrange(7)))}), np.uint64)
+            rows.append((group % 7, group, 100 * group + k, len(h), rng.randrange(3), jaccard.parity(h)))
+    members = spark.createDataFrame(rows, "token long, key long, id long, n int, pos int, parity binary")
+    by = {r[2]: r for r in rows}
+    bits = {i: np.frombuffer(r[5], np.uint64) for i, r in by.items()}
+
+    def may(x, y):
+        (a, p), (b, q) = by[x][3:5], by[y][3:5]
+        least = -(-90 * (a + b) // 190)
+        return 100 * min(a, b) >= 90 * max(a, b) and min(a - p, b - q) >= least and np.bitwise_count(bits[x] ^ bits[y]).sum() <= a + b - 2 * least
+
+    want = {(x, y) for x, y in itertools.combinations(sorted(by), 2) if by[x][1] == by[y][1] and may(x, y)}
+    barred, linked = sorted(want)[::9], sorted(want)[4::9]
+    results = spark.createDataFrame([(*by[x][:2], x, y, pair is linked) for pair in (barred, linked) for x, y in pair], "token long, key long, a long, b long, linked boolean")
+    got = [(r.a, r.b) for r in jaccard.told_pairs(members, results, every).collect()]
+    joined = plain_groups(by, linked)
+    left = {(x, y) for x, y in want if joined[x] != joined[y] and (x, y) not in barred}
+    assert len(got) == len(set(got)) and set(got) <= left
+    if every:
+        assert set(got) == left
+    else:
+        assert plain_groups(by, [*got, *linked]) == plain_groups(by, [*left, *linked]) and len(got) < len(left)
+
+
+def plain_groups(nodes, pairs):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    return {i: find(i) for i in nodes}
+
+
 def test_bounds():
     for n in range(1, 300):
         smaller, larger = 100 * (n - 1) >= 90 * n, 100 * n >= 90 * (n + 1)
