@@ -75,48 +75,51 @@ def rolls(expiries: DataFrame, regimes: DataFrame) -> DataFrame:
     return off.filter("days_early > 0").withColumn("kind", F.when(F.col("days_early") <= 3, "backward_roll").otherwise("off_cycle"))
 
 
-def best_cut(expiries: DataFrame, least: int = 5) -> DataFrame:
-    """The cut of each symbol's expiries into two regimes that leaves fewest off their side's commonest weekday.
+def segments_sql(expiries: str, least: int = 5, gain: int = 3, spark: bool = True) -> str:
+    """Tables of a recursive query that cuts each symbol's expiries (symbol, expiry, wd, i from 1) again and again; ``sg`` has symbol, lo, hi: expiries lo + 1 to hi.
 
-    One level of binary segmentation: counts to the left of each cut are running sums, those to the right
-    what is missing to the total; no cut is compared row by row. Ties go to the earliest cut.
+    A row is a segment with its best cut, null once no cut sets right ``gain`` expiries, and carries its symbol's running counts of
+    weekdays, one array as long as its expiries, so that a segment's cuts are weighed by look-ups. The two dialects differ in how lists are written.
     """
-    order = Window.partitionBy("symbol").orderBy("expiry")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("symbol")
-    flags = [F.sum((F.weekday("expiry") == w).cast("int")).over(upto).alias(f"l{w}") for w in range(7)]
-    totals = [F.sum((F.weekday("expiry") == w).cast("int")).over(whole).alias(f"t{w}") for w in range(7)]
-    seen = expiries.select("symbol", "expiry", F.row_number().over(order).alias("i"), F.count("*").over(whole).alias("n"), *flags, *totals)
-    left = F.col("i") - F.greatest(*(F.col(f"l{w}") for w in range(7)))
-    right = F.col("n") - F.col("i") - F.greatest(*(F.col(f"t{w}") - F.col(f"l{w}") for w in range(7)))
-    base = F.col("n") - F.greatest(*(F.col(f"t{w}") for w in range(7)))
-    costs = seen.select("symbol", "expiry", "i", "n", (left + right).alias("cost"), base.alias("uncut")).filter((F.col("i") >= least) & (F.col("n") - F.col("i") >= least))
-    best = costs.groupBy("symbol", "n", "uncut").agg(F.min(F.struct("cost", "i", "expiry")).alias("b"))
-    return best.select("symbol", "n", "uncut", F.col("b.cost").alias("cost"), F.col("b.i").alias("left_n"), F.col("b.expiry").alias("last_left"))
+    at = (lambda k: f"p[CAST({k} AS INT)]") if spark else (lambda k: f"p[{k} + 1]")
+    days = [f"c{w}" for w in range(7)]
+    row = "named_struct('i', i, " + ", ".join(f"'{c}', {c}" for c in days) + ")" if spark else "{'i': i, " + ", ".join(f"'{c}': {c}" for c in days) + "}"
+    collected = f"sort_array(collect_list({row}))" if spark else f"list({row} ORDER BY i)"
+
+    def off(lo: str, hi: str) -> str:
+        return f"({hi} - {lo} - greatest({', '.join(f'{at(hi)}.{c} - {at(lo)}.{c}' for c in days)}))"
+
+    weighed = f"({off('lo', 'k')} + {off('k', 'hi')}) * 1000000 + k"
+    first, last = f"lo + {least}", f"hi - {least}"
+    costs = f"array_min(transform(sequence({first}, {last}), k -> {weighed}))" if spark else f"list_min(list_transform(range({first}, {last} + 1), lambda k: {weighed}))"
+    best = f"CASE WHEN hi - lo >= {2 * least} THEN {costs} END"
+    # ties to the first cut: costs are whole numbers, told apart by the cut
+    cut = f"CASE WHEN {off('lo', 'hi')} - floor(best / 1000000e0) >= {gain} THEN best % 1000000 END"
+    both = "explode(array(named_struct('lo', lo, 'hi', cut), named_struct('lo', cut, 'hi', hi)))" if spark else "unnest([{'lo': lo, 'hi': cut}, {'lo': cut, 'hi': hi}])"
+    of = lambda source: f"SELECT symbol, p, lo, hi, {cut} AS cut FROM (SELECT symbol, p, lo, hi, {best} AS best FROM ({source}) a) b"
+    counts = ", ".join(f"CAST(sum(CASE WHEN wd = {w} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY i) AS BIGINT) AS c{w}" for w in range(7))
+    zeros = ", ".join(f"CAST(0 AS BIGINT) AS c{w}" for w in range(7))
+    return f"""rc AS (SELECT symbol, CAST(i AS BIGINT) AS i, {counts} FROM {expiries} UNION ALL SELECT DISTINCT symbol, CAST(0 AS BIGINT), {zeros} FROM {expiries}),
+    rp AS (SELECT symbol, {collected} AS p, CAST(0 AS BIGINT) AS lo, max(i) AS hi FROM rc GROUP BY symbol),
+    sq(symbol, p, lo, hi, cut) AS ({of('SELECT symbol, p, lo, hi FROM rp')}
+      UNION ALL {of(f'SELECT symbol, p, z.lo AS lo, z.hi AS hi FROM (SELECT symbol, p, {both} AS z FROM sq WHERE cut IS NOT NULL) y')}),
+    sg AS (SELECT symbol, lo, hi FROM sq WHERE cut IS NULL)"""
 
 
 def regimes(expiries: DataFrame, least: int = 5, gain: int = 3) -> DataFrame:
     """All weekday regimes of each symbol: symbol, regime_wd, start, end, n.
 
-    Best cuts repeat within each segment until none sets right ``gain`` expiries; then neighbours of one weekday merge.
-    Every round cuts all open segments of all symbols at once, and only cuts reach the driver: a few for each regime.
+    Best cuts repeat within each segment until none sets right ``gain`` expiries, in one recursive query; then neighbours of one weekday merge.
+    A symbol's expiries are a row a date of its calendar.
     """
-    keyed = expiries.select("symbol", "expiry").distinct()
-    final: list[tuple[str, object, object]] = []
-    open_: list[tuple[str, object, object]] = [(r["symbol"], r["a"], r["b"]) for r in keyed.groupBy("symbol").agg(F.min("expiry").alias("a"), F.max("expiry").alias("b")).collect()]
-    while open_:
-        parts = expiries.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(open_)], "part long, symbol string, a date, b date")
-        inside = keyed.join(F.broadcast(parts), "symbol").filter("expiry between a and b")
-        # best_cut takes the part for the symbol
-        cuts = {int(r["symbol"]): r for r in best_cut(inside.select(F.col("part").cast("string").alias("symbol"), "expiry"), least).filter(F.col("uncut") - F.col("cost") >= gain).collect()}
-        last = {r["part"]: r["next"] for r in inside.join(F.broadcast(expiries.sparkSession.createDataFrame([(i, c["last_left"]) for i, c in cuts.items()], "cut long, at date")), F.col("part") == F.col("cut")).filter("expiry > at").groupBy("part").agg(F.min("expiry").alias("next")).collect()} if cuts else {}
-        final += [p for i, p in enumerate(open_) if i not in cuts]
-        open_ = [q for i, (symbol, a, b) in enumerate(open_) if i in cuts for q in ((symbol, a, cuts[i]["last_left"]), (symbol, last[i], b))]
-    bounds = expiries.sparkSession.createDataFrame(sorted(final), "symbol string, a date, b date")
-    counted = keyed.join(F.broadcast(bounds), "symbol").filter("expiry between a and b").groupBy("symbol", "a", "b", F.weekday("expiry").alias("wd")).agg(F.count("*").alias("c"), F.min("expiry").alias("first"))
+    order = Window.partitionBy("symbol").orderBy("expiry")
+    numbered = expiries.select("symbol", "expiry").distinct().withColumns({"wd": F.weekday("expiry").cast("long"), "i": F.row_number().over(order).cast("long")})
+    segments = expiries.sparkSession.sql(f"WITH RECURSIVE {segments_sql('{e}', least, gain)} SELECT symbol, lo, hi FROM sg", e=numbered)
+    inside = numbered.alias("e").join(F.broadcast(segments).alias("s"), (F.col("e.symbol") == F.col("s.symbol")) & (F.col("i") > F.col("lo")) & (F.col("i") <= F.col("hi"))).select("e.symbol", "expiry", "wd", "lo")
+    counted = inside.groupBy("symbol", "lo", "wd").agg(F.count("*").alias("c"), F.min("expiry").alias("first"), F.max("expiry").alias("last"))
     # the commonest weekday; ties to the one that comes first
-    top = counted.groupBy("symbol", "a", "b").agg(F.min_by("wd", F.struct(-F.col("c"), F.col("first"))).alias("regime_wd"), F.sum("c").alias("n"))
-    order = Window.partitionBy("symbol").orderBy("a")
-    new = F.coalesce((F.col("regime_wd") != F.lag("regime_wd").over(order)).cast("int"), F.lit(0))
-    runs = top.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    top = counted.groupBy("symbol", "lo").agg(F.min_by("wd", F.struct(-F.col("c"), F.col("first"))).alias("regime_wd"), F.sum("c").alias("n"), F.min("first").alias("a"), F.max("last").alias("b"))
+    by_start = Window.partitionBy("symbol").orderBy("a")
+    new = F.coalesce((F.col("regime_wd") != F.lag("regime_wd").over(by_start)).cast("int"), F.lit(0))
+    runs = top.withColumn("new", new).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("symbol", "run", "regime_wd").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.sum("n").alias("n")).drop("run")

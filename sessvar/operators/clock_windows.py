@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 from . import clock
 
-#: Draws of a whole regime and of a half of one; draws a task makes; effects beside the weekdays, by specification.
+#: Draws of a whole regime and of a half of one, and the effects beside the weekdays by specification. Draws a task makes.
 FULL_DRAWS, HALF_DRAWS, BATCH = 300, 100, 25
 SPECS = {"weekday": ("weekend",), "macro": ("weekend", "macro_event")}
 WEEK = ("Mon", *clock.DAYS)
@@ -194,10 +194,9 @@ def fit_table(raw: DataFrame, windows: DataFrame) -> DataFrame:
 
 def macro_shift(fits: DataFrame) -> DataFrame:
     """How far each parameter of a whole regime moves when macro events are told apart."""
-    full = fits.filter("half = 'full' AND point IS NOT NULL")
-    keys = ["symbol", "label", "start", "parameter"]
-    plain, macro = (full.filter(F.col("spec") == s).select(*keys, F.col("point").alias(s)) for s in SPECS)
-    return plain.join(macro, keys).withColumn("rel_change", F.col("macro") / F.col("weekday") - 1)
+    of = lambda spec: F.max(F.when(F.col("spec") == spec, F.col("point"))).alias(spec)
+    wide = fits.where("half = 'full'").groupBy("symbol", "label", "start", "parameter").agg(*map(of, SPECS))
+    return wide.select("*", (F.try_divide("macro", "weekday") - 1).alias("rel_change")).dropna(subset=list(SPECS))
 
 
 def observed_and_fitted(rows: DataFrame, raw: DataFrame) -> DataFrame:

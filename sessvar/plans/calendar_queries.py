@@ -89,34 +89,28 @@ def lot_size_staircase(v: Views) -> DataFrame:
     return cal.changed_sets(lots, "symbol", "trade_date", "lot")
 
 
-@query("holiday_rolls_days_early", f"""SELECT symbol, expiry, isodow(expiry) - 1 AS wd, 3 AS regime_wd, (3 - isodow(expiry) + 1 + 7) % 7 AS days_early, CASE WHEN (3 - isodow(expiry) + 1 + 7) % 7 <= 3 THEN 'backward_roll' ELSE 'off_cycle' END AS kind
-    FROM ({EXPIRIES}) e WHERE (3 - isodow(expiry) + 1 + 7) % 7 > 0""")
-def holiday_rolls_days_early(v: Views) -> DataFrame:
-    regimes = listed(v).groupBy("symbol").agg(F.min("expiry").alias("start"), F.max("expiry").alias("end"), F.lit(3).alias("regime_wd"))
-    return cal.rolls(listed(v), regimes)
-
-
-@query("expiry_regimes", f"""WITH e AS (SELECT symbol, expiry, isodow(expiry) - 1 AS wd, row_number() OVER (PARTITION BY symbol ORDER BY expiry) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({EXPIRIES}) x),
-    sides AS (SELECT c.symbol, c.i, c.n, c.expiry, CASE WHEN e.i <= c.i THEN 0 ELSE 1 END AS side, e.wd, count(*) AS m FROM e c JOIN e ON e.symbol = c.symbol WHERE c.i >= 5 AND c.n - c.i >= 5 GROUP BY ALL),
-    best AS (SELECT symbol, i, n, expiry, side, max(m) AS top FROM sides GROUP BY ALL),
-    cost AS (SELECT symbol, i, n, expiry, CAST(n - sum(top) AS BIGINT) AS cost FROM best GROUP BY symbol, i, n, expiry),
-    base AS (SELECT symbol, max(n) - max(m) AS uncut FROM (SELECT symbol, wd, max(n) AS n, count(*) AS m FROM e GROUP BY symbol, wd) b GROUP BY symbol)
-    SELECT symbol, n, uncut, cost, i AS left_n, expiry AS last_left FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY cost, i) AS best_no FROM cost) c JOIN base USING (symbol) WHERE best_no = 1""")
-def expiry_regimes(v: Views) -> DataFrame:
-    return cal.best_cut(listed(v))
-
-
-@query("expiry_regimes_every")
+#: Expiries of the long calendar, numbered; their regimes; those off their regime's weekday.
+REGIMES = f"""xe AS (SELECT symbol, expiry, isodow(expiry) - 1 AS wd, row_number() OVER (PARTITION BY symbol ORDER BY expiry) AS i FROM (SELECT DISTINCT symbol, expiry FROM long_expiries) d),
+    {cal.segments_sql('xe', spark=False)},
+    gc AS (SELECT sg.symbol, lo, wd, count(*) AS c, min(expiry) AS f, max(expiry) AS l FROM xe JOIN sg ON sg.symbol = xe.symbol AND xe.i > lo AND xe.i <= hi GROUP BY sg.symbol, lo, wd),
+    gt AS (SELECT symbol, lo, sum(c) AS n, min(f) AS a, max(l) AS b FROM gc GROUP BY symbol, lo),
+    gm AS (SELECT gt.*, w.wd FROM gt JOIN (SELECT symbol, lo, wd, row_number() OVER (PARTITION BY symbol, lo ORDER BY c DESC, f) AS best FROM gc) w ON w.symbol = gt.symbol AND w.lo = gt.lo AND best = 1),
+    gr AS (SELECT *, sum(changed) OVER (PARTITION BY symbol ORDER BY a) AS run FROM (SELECT *, CASE WHEN wd <> lag(wd) OVER (PARTITION BY symbol ORDER BY a) THEN 1 ELSE 0 END AS changed FROM gm) x),
+    rg AS (SELECT symbol, wd AS regime_wd, min(a) AS start, max(b) AS finish, CAST(sum(n) AS BIGINT) AS n FROM gr GROUP BY symbol, run, wd),
+    ro AS (SELECT xe.symbol, xe.expiry, xe.wd, rg.regime_wd, (rg.regime_wd - xe.wd + 7) % 7 AS days_early FROM xe JOIN rg ON rg.symbol = xe.symbol AND xe.expiry BETWEEN rg.start AND rg.finish WHERE xe.wd <> rg.regime_wd)"""
+
+
+@query("expiry_regimes_every", f'WITH RECURSIVE {REGIMES} SELECT symbol, regime_wd, start, finish AS "end", n FROM rg')
 def expiry_regimes_every(v: Views) -> DataFrame:
-    """All regimes, however many, of expiries quoted on their own day. Without SQL: the cuts are a loop, tested against a brute-force one."""
-    return cal.regimes(cal.own_session_expiries(v.chains))
+    """All regimes of each symbol's expiries, however many: one recursive query of the engine, held against the same recursion in SQL and, in tests, against a loop."""
+    return cal.regimes(v.long_expiries)
 
 
-@query("holiday_rolls_of_regimes")
+@query("holiday_rolls_of_regimes", f"WITH RECURSIVE {REGIMES} SELECT *, CASE WHEN days_early <= 3 THEN 'backward_roll' ELSE 'off_cycle' END AS kind FROM ro")
 def holiday_rolls_of_regimes(v: Views) -> DataFrame:
-    """Expiries off the weekday of the regime that they lie in. Without SQL, as the regimes are."""
-    observed = cal.own_session_expiries(v.chains)
-    return cal.rolls(observed, cal.regimes(observed))
+    """Expiries off the weekday of the regime that they lie in: holidays of the long calendar roll them back."""
+    dates = v.long_expiries.select("symbol", "expiry").distinct()
+    return cal.rolls(dates, cal.regimes(dates))
 
 
 @query("oi_chain_reconciliation", """SELECT symbol, count(*) AS transitions, CAST(sum(CASE WHEN open_int = prev + chg_oi THEN 1 ELSE 0 END) AS BIGINT) AS matched, round(avg(CASE WHEN open_int = prev + chg_oi THEN 1e0 ELSE 0e0 END), 9) AS share

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import clock
 from ..operators import clock_windows as cw
+from ..sources import scratch
 from ..sources.fixtures import Views
 from .pricing_queries import rounded
 from .registry import query
@@ -29,31 +32,45 @@ def demeaned_log_variance(v: Views) -> DataFrame:
     return clock.demeaned(v.atm_obs, "ln_var", "symbol", "t").select("obs_id", F.round("ln_var_dev", 8).alias("dev"))
 
 
-#: Days of the union budget and of the central bank's announcements.
-MACRO = """2024-02-01 2025-02-01 2026-02-01 2024-02-08 2024-04-05 2024-06-07 2024-08-08 2024-10-09 2024-12-06 2025-02-07 2025-04-09 2025-06-06 2025-08-06 2025-10-01 2025-12-05
-    2026-02-06 2026-04-08 2026-06-05 2026-08-05 2026-10-07""".split()
+#: Tables that queries of one session share, by application and folder: a fit is made once and read again by every query that needs it.
+_SHARED: dict[tuple, object] = {}
+
 
+def shared(v: Views, name: str, make: Callable[[], object]) -> object:
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
 
-def patterns(v: Views) -> DataFrame:
-    """The stand-in calendar, weekdays from the first quote to the last expiry, with each symbol's expiry days and the macro events."""
+
+def patterns(v: Views, observations: DataFrame) -> DataFrame:
+    """The stand-in calendar, weekdays from the first quote to the last expiry, with the expiry days of the symbols observed and macro events on a day in every thirteen."""
     bounds = v.chains.agg(F.min("trade_date").alias("a"), F.max("expiry").alias("b"))
     days = bounds.select(F.explode(F.sequence("a", "b")).alias("day")).filter(F.weekday("day") < 5)
-    macro = v.spark.createDataFrame([(d,) for d in MACRO], "day string").select(F.col("day").cast("date").alias("day"))
-    return clock.session_patterns(cal.sessions(days), v.chains.select("symbol").distinct(), cal.own_session_expiries(v.chains), macro)
+    macro = days.filter(F.dayofyear("day") % 13 == 6)
+    return clock.session_patterns(cal.sessions(days), observations.select("symbol").distinct(), cal.own_session_expiries(v.chains), macro)
+
+
+#: A symbol whose rows cannot tell its weights: of one that can, each date's nearest expiry alone.
+LONE, OF = "ONE", "AAA"
 
 
 def fitted(v: Views) -> DataFrame:
-    return clock.fit_sessions(v.atm_obs.filter("n_sessions >= 2").select("obs_id", "symbol", "t", "es", "ln_var"), patterns(v))
+    columns = ("obs_id", "symbol", "t", "es", "ln_var")
+    known = v.atm_obs.filter("n_sessions >= 2")
+    lone = known.filter((F.col("symbol") == OF) & (F.col("k") == 0)).withColumn("symbol", F.lit(LONE))
+    rows = known.select(*columns).unionByName(lone.select(*columns))
+    return shared(v, "fit", lambda: scratch.saved(clock.fit_sessions(rows, patterns(v, rows)), "clock-fit"))
 
 
 @query("clock_fit", """SELECT symbol, n, day, round(CASE WHEN n >= 50 THEN raw / (sum(raw) OVER (PARTITION BY symbol) / 5e0) END, 5) AS weight
     FROM (SELECT symbol, count(*) AS n FROM atm_obs WHERE n_sessions >= 2 GROUP BY symbol) o CROSS JOIN weights w""")
 def clock_fit(v: Views) -> DataFrame:
-    """Weights of the weekdays, scaled to average one over the five. The view has no noise, so its planted weights are the SQL."""
+    """Weights of the weekdays, scaled to average one over the five. These rows have no noise, so their planted weights are the SQL."""
     days = ("Mon", *clock.DAYS)
     mean = sum((F.col(d) for d in days), F.lit(0.0)) / 5
     each = F.explode(F.array(*(F.struct(F.lit(d).alias("day"), F.round(F.col(d) / mean, 5).alias("weight")) for d in days)))
-    return fitted(v).select("symbol", "n", each.alias("w")).select("symbol", "n", "w.*")
+    return fitted(v).filter(F.col("symbol") != LONE).select("symbol", "n", each.alias("w")).select("symbol", "n", "w.*")
 
 
 @query("clock_diagnostics")
@@ -62,18 +79,23 @@ def clock_diagnostics(v: Views) -> DataFrame:
     return rounded(fitted(v), "symbol", "n", "dropped", "verdict")
 
 
-@query("clock_refusals")
+@query("clock_refusals", f"""SELECT symbol, count(*) AS n, 'refused' AS verdict FROM (SELECT symbol FROM atm_obs WHERE n_sessions >= 2 UNION ALL SELECT '{LONE}' FROM atm_obs WHERE n_sessions >= 2 AND symbol = '{OF}' AND k = 0) x
+    GROUP BY symbol HAVING symbol = '{LONE}' OR count(*) < {clock.LEAST_ROWS}""")
 def clock_refusals(v: Views) -> DataFrame:
-    """Symbols whose weights the rows cannot tell, or tell badly, by the fit of clock_fit."""
+    """Symbols whose weights the rows cannot tell, by the fit of clock_fit: too few of them, or each alone on its date."""
     return fitted(v).filter("verdict <> 'ok'").select("symbol", "n", "verdict")
 
 
 def windowed(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows of the regimes that the expiries show, their observations, and fits and draws."""
-    spans = v.chains.select(F.col("p_partkey").alias("obs_id"), "expiry")
-    observations = v.atm_obs.filter("n_sessions >= 2").join(spans, "obs_id").select("obs_id", "symbol", "t", "es", F.col("trade_date").alias("opened"), "expiry", "ln_var")
-    windows = cw.halves(cal.regimes(cal.own_session_expiries(v.chains)))
-    return windows, *cw.saved_fits(observations, patterns(v), windows)
+    """Windows of the regimes that the expiries show, their observations (the noisy ones), and fits and draws: made once for all queries."""
+
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        spans = v.chains.select(F.col("p_partkey").alias("obs_id"), "expiry")
+        observations = v.atm_obs.filter("n_sessions >= 2").join(spans, "obs_id").select("obs_id", "symbol", "t", "es", F.col("trade_date").alias("opened"), "expiry", F.col("noisy").alias("ln_var"))
+        windows = scratch.saved(cw.halves(cal.regimes(cal.own_session_expiries(v.chains))), "clock-regimes")
+        return windows, *cw.saved_fits(observations, patterns(v, observations), windows)
+
+    return shared(v, "windows", make)
 
 
 @query("clock_regime_fits")

@@ -10,6 +10,7 @@ from ..operators import calendar as cal
 from ..operators import design
 from ..operators import returns as r
 from ..sources.fixtures import Views
+from .calendar_queries import REGIMES
 from .pricing_queries import rounded
 from .registry import query
 from .returns_queries import CH, DAYS, FRONT, LW, WIN, ln_ratio, scaled
@@ -96,7 +97,9 @@ def variance_scaling(v: Views) -> DataFrame:
     return each.groupBy(F.weekday("trade_date").cast("long").alias("wd")).agg(F.round(F.regr_slope(F.ln("variance"), F.ln("n")), 6).alias("slope"))
 
 
-@query("expiry_timeline")
+@query("expiry_timeline", f"""WITH RECURSIVE {REGIMES} SELECT 'regime' AS what, symbol, start, finish AS "end", regime_wd, n, NULL AS wd, NULL AS days_early, NULL AS kind FROM rg
+    UNION ALL SELECT 'roll', symbol, expiry, NULL, regime_wd, NULL, wd, days_early, CASE WHEN days_early <= 3 THEN 'backward_roll' ELSE 'off_cycle' END FROM ro
+    UNION ALL SELECT 'weekend', NULL, day, NULL, NULL, NULL, wd, NULL, CASE WHEN month(day) = 2 AND day(day) = 1 THEN 'union_budget' ELSE 'special_session' END FROM trading_days WHERE wd >= 5""")
 def expiry_timeline(v: Views) -> DataFrame:
-    """Regimes, rolls and weekend sessions in one table, columns that one kind lacks being null. Without SQL, as the regimes are; tested on a planted calendar."""
-    return design.timeline(cal.own_session_expiries(v.chains), cal.sessions(v.lineitem, "l_shipdate"))
+    """Regimes, rolls and weekend sessions of the long calendar in one table, columns that one kind lacks being null."""
+    return design.timeline(v.long_expiries.select("symbol", "expiry").distinct(), v.trading_days.select("day", "session"))

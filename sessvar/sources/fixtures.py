@@ -66,9 +66,9 @@ VIEWS: dict[str, str] = {
         SELECT 'spread_Mon', sign, wd FROM (VALUES (1, 1), (1, 2), (1, 3), (1, 4), (1, 0), (1, 1), (-1, 1)) AS l(sign, wd)""",
     # securities transaction tax periods: start, rate on option sales and on exercised options, percent
     "stt_rates": "SELECT * FROM (VALUES (DATE '2023-04-01', 0.0625e0, 0.125e0), (DATE '2024-10-01', 0.1e0, 0.125e0), (DATE '2026-04-01', 0.15e0, 0.15e0)) AS r(start, sale_pct, exercised_pct)",
-    # at-the-money total variance over sessions (t, T] with planted weekday weights and a scale per symbol and date, without noise, so that the fit must give the weights back
-    "atm_obs": """SELECT c.p_partkey AS obs_id, c.symbol, c.trade_date, c.t, c.es, c.es - c.t AS n_sessions,
-               ln((0.5e0 + (c.sy + 1 + c.t % 7) / 40e0) * v.total) AS ln_var
+    # at-the-money total variance over sessions (t, T] with planted weekday weights and a scale per symbol and date: without noise, so that the fit must give the weights back, and with it
+    "atm_obs": """SELECT c.p_partkey AS obs_id, c.symbol, c.trade_date, c.t, c.es, c.k, c.es - c.t AS n_sessions,
+               ln((0.5e0 + (c.sy + 1 + c.t % 7) / 40e0) * v.total) AS ln_var, ln((0.5e0 + (c.sy + 1 + c.t % 7) / 40e0) * v.total) + ((c.p_partkey * 7919 + c.es * 31) % 1009 / 1009e0 - 0.5e0) * 0.15e0 AS noisy
         FROM chains c JOIN (SELECT p.t AS t, p.es AS es, p.sy AS sy, sum(w.raw) AS total
                             FROM (SELECT DISTINCT t, es, sy FROM chains) p CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24)) AS ds(d)) ds
                             JOIN weights w ON w.wd = (p.t + 1 + ds.d) % 5 WHERE p.t + 1 + ds.d <= p.es GROUP BY p.t, p.es, p.sy) v
