@@ -9,9 +9,12 @@ different ones stay apart, and whoever has the key can invert it.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import functools
 import hashlib
 import hmac
+import ipaddress
 import itertools
 import re
 from collections.abc import Callable, Iterator
@@ -147,8 +150,8 @@ def _phone_valid(text: str) -> bool:
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str:
-    """The country code after a plus sign stays."""
-    code = re.match(r"\+\d{1,3}(?=[ (.-])", text)
+    """What stays: the country code after a plus sign, where a separator ends it, else that sign's first digit; a national number's leading zero."""
+    code = re.match(r"\+\d{1,3}(?=[ (.-])|\+\d(?=\d*$)|0", text)
     start = code.end() if code else 0
     return text[:start] + _refilled(text[start:], places(_digits(text[start:]), key, "phone" + text[:start], inverse=inverse))
 
@@ -162,29 +165,59 @@ def _ip(text: str, key: bytes, inverse: bool) -> str:
     return ".".join(map(str, feistel(value, 1 << 16, 1 << 16, key, "ip", inverse).to_bytes(4, "big")))
 
 
+def _ipv6_valid(text: str) -> bool:
+    try:
+        return text.count(":") > 1 and bool(re.search(r"\d", text)) and ipaddress.IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
+def _ipv6(text: str, key: bytes, inverse: bool) -> str:
+    """Groups keep their lengths, and digits and letters their places, so the result is an address of the same shape."""
+    return places(text, key, "ipv6", (DIGITS, "abcdef", "ABCDEF"), inverse)
+
+
 #: Dates permute within the days of two centuries.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
-def _day(text: str) -> tuple[dt.date | None, str]:
+@functools.cache
+def _days(month_first: bool, widths: tuple[int, int]) -> list[dt.date]:
+    """The days that a format can write: a field of one place holds 1 to 9, and what can be read day first is not month first."""
+    every = (FIRST_DAY + dt.timedelta(k) for k in range((LAST_DAY - FIRST_DAY).days + 1))
+    fields = (lambda d: (d.month, d.day)) if month_first else (lambda d: (d.day, d.month))
+    return [d for d in every if all(w > 1 or f < 10 for w, f in zip(widths, fields(d), strict=True)) and not (month_first and d.day < 13)]
+
+
+def _day(text: str) -> tuple[dt.date | None, bool, Callable[[dt.date], str]]:
+    """The day, whether it is written month first, and how its format writes a day. Year first, else day first, else month first."""
     a, sep, b, _, c = re.split(r"([-/.])", text)
-    year_first = len(a) == 4
-    try:
-        return dt.date(*(map(int, (a, b, c) if year_first else (c, b, a)))), f"%Y{sep}%m{sep}%d" if year_first else f"%d{sep}%m{sep}%Y"
-    except ValueError:
-        return None, ""
+    if len(a) == 4:
+        orders = ((False, (a, b, c), lambda d: f"{d.year:04d}{sep}{d.month:02d}{sep}{d.day:02d}"),)
+    else:
+        shape = lambda x, y, d: f"{x:0{len(a)}d}{sep}{y:0{len(b)}d}{sep}{d.year:04d}"
+        orders = ((False, (c, b, a), lambda d: shape(d.day, d.month, d)), (True, (c, a, b), lambda d: shape(d.month, d.day, d)))
+    for month_first, parts, written in orders:
+        try:
+            return dt.date(*map(int, parts)), month_first, written
+        except ValueError:
+            pass
+    return None, False, str
 
 
 def _date_valid(text: str) -> bool:
-    day, _ = _day(text)
+    day, *_ = _day(text)
     return day is not None and FIRST_DAY <= day <= LAST_DAY
 
 
 def _date(text: str, key: bytes, inverse: bool) -> str:
-    day, shape = _day(text)
-    size = (LAST_DAY - FIRST_DAY).days + 1
-    half = int(size**0.5) + 1
-    return (FIRST_DAY + dt.timedelta(permuted((day - FIRST_DAY).days, size, (half, half), key, "date", inverse))).strftime(shape)
+    """Within the days that the text's format can write."""
+    day, month_first, written = _day(text)
+    a, b = re.split(r"[-/.]", text)[:2]
+    widths = (2, 2) if len(a) == 4 else (len(a), len(b))
+    days, tweak = _days(month_first, widths), "date" if not month_first and widths == (2, 2) else f"date{'m' * month_first}{widths[0]}{widths[1]}"
+    half = int(len(days) ** 0.5) + 1
+    return written(days[permuted(bisect.bisect_left(days, day), len(days), (half, half), key, tweak, inverse)])
 
 
 def _email(text: str, key: bytes, inverse: bool) -> str:
@@ -220,10 +253,11 @@ KINDS = (
     Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", _access_key),
     Kind("secret", r"(?i:(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9_+/-]{12,})", _secret, lambda text: bool(re.search(r"\d", text))),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban, _iban_valid),
-    Kind("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip, _ip_valid),
-    Kind("date", r"(?<![\d./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![./-]?\d)", _date, _date_valid),
+    Kind("ipv6", r"(?<![\w:.])[0-9A-Fa-f:]{3,39}+(?![\w:])", _ipv6, _ipv6_valid),
+    Kind("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip, _ip_valid),
+    Kind("date", r"(?<![\d./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?![./-]?\d)", _date, _date_valid),
     Kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, _ssn_valid),
-    Kind("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", _phone, _phone_valid),
+    Kind("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d[ .-])0(?:\d{2,4}(?P<s>[ -])\d{3,4}(?P=s)\d{3,4}|\d{4}[ -]\d{6})(?![ .-]?\d)|\+[1-9]\d{7,14})(?!\d)", _phone, _phone_valid),
     Kind("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5})(?![.-]?\d)", _card, _card_valid),
 )
 
@@ -232,18 +266,33 @@ def _compiled() -> list[tuple[Kind, re.Pattern]]:
     return [(k, re.compile(k.pattern)) for k in KINDS]
 
 
+def _accepted(kind: Kind, value: str) -> str | None:
+    """The candidate, if it is valid; of a telephone number, which a next number may follow, the longest part up to a separator that is."""
+    while not kind.valid(value):
+        ends = [m.start() for m in re.finditer(r"[ .-]+", value)] if kind.name == "phone" else []
+        if not ends:
+            return None
+        value = value[: ends[-1]]
+    return value
+
+
 def pseudonymised(text: str, key: bytes = KEY, inverse: bool = False, compiled: list | None = None) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with its values replaced; (kind, start, end, what stands there now) of each in the old text."""
     found = []
     if "@" not in text and not re.search(r"\d", text):
         return text, found
     for rank, (kind, pattern) in enumerate(compiled or _compiled()):
-        if kind.name == "email" and "@" not in text or kind.name == "phone" and not re.search(r"\d[)]? ?[.-]?\d", text):
+        if kind.name == "email" and "@" not in text or kind.name == "ipv6" and text.count(":") < 2 or kind.name == "phone" and not re.search(r"\d[)]? ?[.-]?\d", text):
             continue
         group = "v" if "?P<v>" in kind.pattern else 0
-        for m in pattern.finditer(text):
-            if kind.valid(m[group]):
-                found.append((m.start(group), rank, m.end(group), kind, m[group]))
+        at = 0
+        while m := pattern.search(text, at):
+            start, value = m.start(group), _accepted(kind, m[group])
+            if value is None:
+                at = m.start() + 1  # another candidate may begin within this one
+            else:
+                found.append((start, rank, start + len(value), kind, value))
+                at = start + len(value)
     out, spans, at = [], [], 0
     for start, _, end, kind, value in sorted(found, key=lambda f: f[:3]):
         if start < at:

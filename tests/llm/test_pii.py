@@ -57,6 +57,76 @@ def test_inverse(day, payload, address):
     assert dt.date.fromisoformat(out[:10])
 
 
+#: Values of kinds that have several formats, and what of each stays.
+FORMATS = {
+    "date": ["12/31/2020", "1/2/2021", "10/9/1999", "9.12.2031", "2-29-2020", "02/29/2020", "29/02/2020", "7/31/1900", "31/12/2099"],
+    "phone": ["+14155552671", "+442079460958", "020 7946 0958", "0161-496-0123", "01632 960961", "+44 20 7946 0958"],
+    "ipv6": ["2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334", "fe80::1", "::1"],
+}
+
+
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, values in FORMATS.items() for v in values])
+def test_every_format_is_found_kept_and_undone(kind, value):
+    text = f"see {value}, and"
+    out, spans = pii.pseudonymised(text)
+    assert [(s[0], text[s[1] : s[2]]) for s in spans] == [(kind, value)]
+    new = spans[0][3]
+    assert re.sub(r"[0-9]", "9", new) == re.sub(r"[0-9]", "9", value) or kind == "ipv6" and re.sub(r"[0-9A-Fa-f]", "9", new) == re.sub(r"[0-9A-Fa-f]", "9", value)
+    assert next(k for k in pii.KINDS if k.name == kind).valid(new) and len(new) == len(value)
+    assert pii.pseudonymised(out, inverse=True)[0] == text
+    if value[0] in "0+":
+        assert new[:2] == value[:2] if value[0] == "+" else new[0] == "0"
+
+
+@pytest.mark.parametrize("text", ["v1.2.3.4", "release1.2.3.4", "12:30:45", "a::b", "std::1x", "13/32/2020", "32/13/2020", "0/1/2020", "1/2/20201", "+1234567", "+1234567890123456", "2020 12 12", "::", "dead:beef:1"])
+def test_what_looks_like_a_value_and_is_none(text):
+    assert pii.pseudonymised(text) == (text, [])
+
+
+def test_dates_of_every_format_are_permuted_within_it():
+    for first, widths in ((False, (1, 1)), (True, (1, 2)), (True, (2, 2)), (False, (2, 1)), (False, (1, 2))):
+        days = pii._days(first, widths)
+        shape = (lambda d: (d.month, d.day)) if first else (lambda d: (d.day, d.month))
+        texts = ["/".join(f"{v:0{w}d}" for v, w in zip(shape(d), widths, strict=True)) + f"/{d.year}" for d in days[:: len(days) // 500]]
+        new = [pii._date(t, pii.KEY, False) for t in texts]
+        assert len(set(new)) == len(texts) and [pii._date(t, pii.KEY, True) for t in new] == texts
+        assert all(pii._day(t)[1] == first for t in texts + new)
+
+
+def plain_values(text):
+    """(kind, start, end) by trying, from each place on, each kind in turn with the longest stretch that its pattern takes and its validator accepts."""
+    out, at = [], 0
+    while at < len(text):
+        for kind in pii.KINDS:
+            plain = re.compile(kind.pattern.replace("++", "+").replace("*+", "*").replace("}+", "}"))
+            m = plain.match(text, at)
+            group = "v" if "?P<v>" in kind.pattern else 0
+            if m:
+                a, b = m.span(group)
+                ends = [b] + [e for e in range(b - 1, a, -1) if kind.name == "phone" and text[e] in " .-" and text[e - 1] not in " .-"]
+                end = next((e for e in ends if kind.valid(text[a:e])), None)
+                if end is not None:
+                    out.append((kind.name, a, end))
+                    at = end - 1
+                    break
+        at += 1
+    return out
+
+
+def test_whole_texts_against_a_plain_scan():
+    rng = random.Random(8)
+    values = [v for group in FORMATS.values() for v in group] + [TEXT[a:b] for _, a, b, _ in pii.pseudonymised(TEXT)[1]] + ["token=abcdef123456789", "v1.2.3.4", "4845168114407328", "12:30", "a@b", "0.5", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(values) + rng.choice([" ", ", ", "; ", "\n", ") "]) for _ in range(rng.randrange(1, 9)))
+        out, spans = pii.pseudonymised(text)
+        assert [s[:3] for s in spans] == plain_values(text)
+        built, at = "", 0
+        for (name, a, b, new), kind in ((s, next(k for k in pii.KINDS if k.name == s[0])) for s in spans):
+            assert new == kind.pseudonym(text[a:b], pii.KEY, False) and kind.pseudonym(new, pii.KEY, True) == text[a:b]
+            built, at = built + text[at:a] + new, b
+        assert out == built + text[at:]
+
+
 def test_distinct_values_stay_apart():
     values = [f"{a}.{b}.3.4" for a in range(1, 40) for b in range(40)]
     assert len({pii.pseudonymised(v)[0] for v in values}) == len(values)
@@ -73,7 +143,7 @@ def test_whole_table(spark):
 
 @pytest.mark.parametrize(
     "text",
-    ["a" * 300_000 + " x@ ", "x@" + "a." * 150_000, "a@" * 150_000, "1." * 150_000, "1-" * 150_000 + "@x", "x@a" + "-" * 300_000, "AB12" + " ABCD" * 60_000, "+1 " * 100_000, "token   " * 40_000],
+    ["a" * 300_000 + " x@ ", "x@" + "a." * 150_000, "a@" * 150_000, "1." * 150_000, "1-" * 150_000 + "@x", "x@a" + "-" * 300_000, "AB12" + " ABCD" * 60_000, "+1 " * 100_000, "token   " * 40_000, "a:" * 150_000, "1/" * 150_000, "0" * 300_000, "+1" * 150_000],
 )
 def test_very_long_tokens_take_time_in_proportion(text):
     began = time.monotonic()
