@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,19 +36,25 @@ def key(line: bytes, least: int = LEAST) -> bytes | None:
     return hashlib.md5(plain, usedforsecurity=False).digest()
 
 
+def _row() -> Column:
+    """What tells rows of one doc_id apart: rows that agree in it and in their doc_id have the same lines, but for a chance of 2 ** -64."""
+    return F.xxhash64("text").alias("row")
+
+
 def line_hashes(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, h): the distinct hashes of the lines of each row."""
+    """(doc_id, row, h): the distinct hashes of the lines of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            ids, hashes = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.encoded(batch), strict=True):
+            ids, rows, hashes = [], [], []
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), common.encoded(batch), strict=True):
                 found = {h for line in text.split(b"\n") if (h := key(line, least))}
                 ids += [doc_id] * len(found)
+                rows += [row] * len(found)
                 hashes += found
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["doc_id", "h"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(hashes, pa.binary())], names=["doc_id", "row", "h"])
 
-    return common.texts(docs).mapInArrow(work, "doc_id long, h binary")
+    return common.texts(docs).withColumn("row", _row()).mapInArrow(work, "doc_id long, row long, h binary")
 
 
 class Runs:
@@ -105,7 +111,7 @@ class Runs:
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, h) of the lines to drop: hashes of a document that a smaller doc_id holds too. A null doc_id counts as the largest."""
+    """(doc_id, row, h) of the lines to drop: hashes of a document that a smaller doc_id holds too. A null doc_id counts as the largest."""
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)])).first()[0] or []
     # the batch of a document is how many cuts are below it
@@ -113,7 +119,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES,
     hashes = common.saved(line_hashes(docs, least).withColumn("batch", number), "lines", partition_by=("batch",))
     runs, found = Runs(spark, fanout), []
     for i in range(len(cuts) + 1):
-        batch = hashes.filter(F.col("batch") == i).select("doc_id", "h")
+        batch = hashes.filter(F.col("batch") == i).select("doc_id", "row", "h")
         own = runs.add(batch).select(F.col("h").alias("own_h"), F.col("doc_id").alias("own_id")).hint("merge")
         # joined on both columns, so that a line which very many documents hold is spread over tasks
         lost = batch.join(own, (F.col("h") == F.col("own_h")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_anti")
@@ -132,9 +138,10 @@ def deduplicated(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fa
     A null or empty text is one empty line. Rows of one doc_id count as one document.
     """
     kept = [c for c in common.DOCUMENT_COLUMNS if c in docs.columns]
-    lost = repeated_lines(docs, least, batches, fanout).groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_list("h").alias("lost")).hint("shuffle_hash")
-    whole = common.texts(docs, *(c for c in kept if c not in ("doc_id", "text")))
-    joined = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
+    # a row's own lines alone, and by row, so that neither a null doc_id nor a frequent one is a group
+    lost = repeated_lines(docs, least, batches, fanout).groupBy(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row")).agg(F.collect_list("h").alias("lost")).hint("shuffle_hash")
+    whole = common.texts(docs, *(c for c in kept if c not in ("doc_id", "text"))).withColumn("row", _row())
+    joined = whole.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row") == F.col("lost_row")), "left").drop("lost_id", "lost_row", "row")
     places = {c: joined.columns.index(c) for c in joined.columns}
     schema = joined.drop("lost").schema.add("n_lines", "long").add("n_dropped", "long")
 

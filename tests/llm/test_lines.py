@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sessvar.llm import lines
 
@@ -53,3 +54,21 @@ def test_sql_says_the_same():
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", data)
     assert sorted(con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({lines.SQL})").fetchall(), key=str) == plain(data)
+
+
+def test_rows_of_a_null_id_are_spread_and_carry_their_own_lines(spark):
+    n = 4000
+    shared = [f"a passage of number {i} that both tables hold" for i in range(500)]
+    rows = [(i, shared[i]) for i in range(500)] + [(None, f"{shared[i % 500]}\nits own line {i}") for i in range(n)] + [(None, "the very same row again\n" + shared[0])] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    lost = lines.repeated_lines(docs).groupBy("doc_id", "row").count()
+    assert lost.agg({"count": "max"}).first()[0] == 1 and lost.count() == n + 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = lines.deduplicated(docs)
+        sizes = [r["count"] for r in out.filter("doc_id is null").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n + 50 and max(sizes) < n / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted([(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect()], key=str)
+    assert got == plain(rows)
