@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessvar.llm import common, lines, mixing, packing, quality, simhash
+from sessvar.llm import common, lines, mixing, near, packing, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each near-duplicate group."""
-    return simhash.representatives(docs)
+    """Leaves one document of each near-duplicate group: of what SimHash links, and of what reaches a similarity of 0.8 beyond its radius."""
+    return near.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,10 +37,10 @@ BLOCK = 2048
 ROUNDS = 3
 #: Words whose counts tasks hold, the commonest ones: a fixed size, for n-grams' order alone, which may be any.
 KNOWN = 1 << 18
-#: Words a worker remembers between documents; ranges of the parity filter; bits of the filter of rows to read again.
+#: Words a worker remembers between documents; ranges of the parity filter; bits of the filter of texts to read again.
 REMEMBERED = 1 << 20
 RANGES = 1024
-ROW_BITS = 1 << 23
+TEXT_BITS = 1 << 23
 SEED = 7
 
 
@@ -147,11 +147,11 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], table.column("n").to_numpy()[order]
 
 
-_ROW = "doc_id long, row_hash long, n long, digest binary, prefix array<long>, parity binary"
+_ROW = "doc_id long, text_hash long, n long, digest binary, prefix array<long>, parity binary"
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return common.texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+    return common.texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def rows_of(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -174,16 +174,15 @@ def rows_of(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
                         prefixes.append(None)
                         parities.append(None)
                 columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
-                yield pa.record_batch(columns, names=["doc_id", "row_hash", "n", "digest", "prefix", "parity"])
+                yield pa.record_batch(columns, names=["doc_id", "text_hash", "n", "digest", "prefix", "parity"])
 
     return _hashed(docs).mapInArrow(work, _ROW)
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """A row a distinct set: ``id``, ``least`` (smallest doc_id), the digest, one row that has it, size, prefix, parities."""
-    order = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    """A row a distinct set: ``id``, ``least`` (smallest doc_id), the digest, one text that has it, size, prefix, parities."""
     grouped = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min_by("row_hash", F.struct(order, "row_hash")).alias("row_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")
+        F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")
     )
     return common.saved(grouped.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
@@ -335,12 +334,12 @@ def told_pairs(members: DataFrame, results: DataFrame | None, every: bool, num:
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, items) of the classes of ``needed`` (id, digest, row_hash): texts are read again, and those whose row may be needed are made sets.
+    """(id, items) of the classes of ``needed`` (id, digest, text_hash): texts are read again, and those that may be needed are made sets.
 
-    A filter of ROW_BITS bits over row hashes, put together by the executors, keeps other rows from being shuffled; the join is what decides.
+    A filter of TEXT_BITS bits over their hashes, put together by the executors, keeps other ones from being shuffled; the join is what decides.
     """
-    words_of_bits = needed.select((F.pmod("row_hash", F.lit(ROW_BITS)).cast("int")).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits")).collect()
-    flags = np.zeros(ROW_BITS // 64, np.int64)
+    words_of_bits = needed.select((F.pmod("text_hash", F.lit(TEXT_BITS)).cast("int")).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits")).collect()
+    flags = np.zeros(TEXT_BITS // 64, np.int64)
     for r in words_of_bits:
         flags[r["word"]] = r["bits"]
     set_bits = np.unpackbits(flags.view(np.uint8), bitorder="little")
@@ -349,7 +348,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame
         set_ = np.zeros(0, np.uint64)
         seen = Words(set_, set_.view(np.int64))
         for batch in batches:
-            wanted = set_bits[np.mod(batch.column(1).to_numpy(), ROW_BITS)].astype(bool)
+            wanted = set_bits[np.mod(batch.column(1).to_numpy(), TEXT_BITS)].astype(bool)
             for part in common.slices([batch.filter(pa.array(wanted))]):
                 found = [seen.grams(text, words)[0].tobytes() for text in common.encoded(part)]
                 digests = [hashlib.md5(f, usedforsecurity=False).digest() for f in found]
@@ -387,7 +386,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NU
         pairs = now.select("a", "b").distinct()
         if sets is None:
             # a class that has any candidate is in the first round's forest, so no other set is ever needed
-            needed = now.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest", "row_hash"), "id")
+            needed = now.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "digest", "text_hash"), "id")
             sets = sets_of(docs, needed, words)
         fresh = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
         checked = common.saved(verified(fresh, sets, num, den), "jaccard-verified")
@@ -399,11 +398,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NU
     return known.filter("linked").select("a", "b") if known is not None else None
 
 
-def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least doc_id reachable over links, of every row.
-
-    Rows of one doc_id may lie in different components. A component of null ids alone has a null id.
-    """
+def near_rows(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and root of every row. ``root``, a class, is each component's own; null for an empty set."""
     rows = common.saved(rows_of(docs, words, num, den), "jaccard-rows")
     classes = classes_of(rows)
     found = links(docs, classes, words, num, den, block, rounds)
@@ -411,9 +407,18 @@ def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DE
     if found is not None:
         rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id")
-    with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.unionByName(rows.filter("digest IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id", "root")
+    columns = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
+    with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select(*columns, "component_id", "root")
+    return with_words.unionByName(rows.filter("digest IS NULL").select(*columns, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+
+
+def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles and component_id, the least doc_id reachable over links, of every row.
+
+    Rows of one doc_id may lie in different components. A component of null ids alone has a null id.
+    """
+    return near_rows(docs, words, num, den, block, rounds).select("doc_id", "n_shingles", "component_id")
 
 
 def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, on the smallest tables."""
 
+import random
 import re
 
 import pytest
@@ -11,6 +12,59 @@ from sessvar.llm import common, lines, mixing, simhash  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text, words=5):
+    found = re.findall(common.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def similar(a, b):
+    both = len(a & b)
+    return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def test_near_copies_that_simhash_cannot_reach(spark):
+    """Of planted copies at a similarity of 0.8 or more every one goes, and nothing else does; repeated rows, null ids and texts without words are told apart."""
+    rng = random.Random(3)
+    rows, kept, pairs = [], set(), 0
+    for group in range(30):
+        base = [f"w{group}x{rng.randrange(10**6)}" for _ in range(150)]
+        rows.append((1000 * group, " ".join(base)))
+        kept.add(1000 * group)
+        for k in range(1, 6):
+            words = list(base)
+            for at in rng.sample(range(5, 145), rng.randrange(1, 9)):
+                words[at] = f"e{rng.randrange(10**9)}"
+            rows.append((1000 * group + k, " ".join(words)))
+            if not similar(shingles(rows[-1][1]), shingles(rows[-k - 1][1])):
+                kept.add(1000 * group + k)
+            else:
+                pairs += (simhash.fingerprint(rows[-1][1].encode()) ^ simhash.fingerprint(rows[-k - 1][1].encode())).bit_count() > simhash.RADIUS
+    assert pairs > 20 and len(kept) > 40
+    # two edited copies may link where both miss the first: those groups are worked out by all pairs
+    sets = {d: shingles(t) for d, t in rows}
+    prints = {d: simhash.fingerprint(t.encode()) for d, t in rows}
+    for d in sorted(kept):
+        group = [e for e in sets if e // 1000 == d // 1000]
+        reached, queue = {d}, [d]
+        while queue:
+            x = queue.pop()
+            for y in group:
+                if y not in reached and (similar(sets[x], sets[y]) or (prints[x] ^ prints[y]).bit_count() <= simhash.RADIUS):
+                    reached.add(y)
+                    queue.append(y)
+        if min(reached) != d:
+            kept.discard(d)
+    rows += [(0, rows[0][1]), (90_000, None), (90_001, " "), (None, "words of a null id alone"), (None, "words of a null id alone"), (None, "other words of a null id"), (7000, "another text under a known id")]
+    docs = spark.createDataFrame([(d, t, "en", None, 1, "clash") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, near string").repartition(3)
+    out = corpus_pipeline.dedup_near(spark, docs, SF)
+    assert out.columns == list(common.DOCUMENT_COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert sorted(d for d, _ in got if d is not None) == sorted([*kept, 7000, 90_000])
+    assert sorted(t for d, t in got if d is None) == ["other words of a null id", "words of a null id alone"]
+    assert corpus_pipeline.dedup_near(spark, docs.filter("false"), SF).count() == 0
+
+
 def test_stages(spark):
     docs = common.documents(spark, SF).repartition(3)
     inputs, outputs = [], []
@@ -45,9 +99,10 @@ def test_stages(spark):
             d = root[d]
         return d
 
+    sets = {r["doc_id"]: shingles(r["text"]) for r in inputs[2]}
     for a in prints:
         for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS:
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS or similar(sets[a], sets[b])):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     assert sorted(r["doc_id"] for r in outputs[2]) == sorted({find(d) for d in prints})
     # mixing: each source near its target
