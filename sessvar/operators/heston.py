@@ -8,6 +8,7 @@ in Arrow batches: nothing is shuffled, and memory is one grid of nodes.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,10 +36,16 @@ def exponents(u: np.ndarray, pieces: list[tuple[float, float]], kappa: float, th
     return total, slope
 
 
+@functools.cache
+def _rule(nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A worker makes its quadrature rule once."""
+    return np.polynomial.legendre.leggauss(nodes)
+
+
 def call(forward: float, strike: float, pieces: list[tuple[float, float]], v0: float, kappa: float, theta: float, xi: float, rho: float, nodes: int = NODES) -> float:
     """Undiscounted call. ``xi`` must be above nought."""
     sd = math.sqrt(min(v0, theta) * sum(w * t for w, t in pieces))
-    x, weight = np.polynomial.legendre.leggauss(nodes)
+    x, weight = _rule(nodes)
     end = max(LEAST_END, END_IN_SD / sd)
     u = end * (x + 1) / 2
     a, b = exponents(u - 0.5j, pieces, kappa, theta, xi, rho)

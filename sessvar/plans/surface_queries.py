@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import options
 from ..functions.normal import cdf_sql, pdf_sql
 from ..operators import surface as s
+from ..operators.selection import medians
 from ..sources.fixtures import Views
 from .registry import query
 
@@ -115,8 +116,12 @@ def atm_variance(v: Views) -> DataFrame:
 
 @query("dte_bucket_summary", f"""WITH RECURSIVE {SMILE} SELECT CASE WHEN dte <= 3 THEN '1-3' WHEN dte <= 7 THEN '4-7' WHEN dte <= 14 THEN '8-14' WHEN dte <= 30 THEN '15-30' ELSE '31+' END AS bucket, count(*) AS n, round(median(atm_iv), 5) AS median_iv, round(median(n_quotes), 3) AS median_quotes FROM sf GROUP BY 1""")
 def dte_bucket_summary(v: Views) -> DataFrame:
+    """Smiles by days to expiry; the medians of few buckets are selected exactly by histograms, so no task holds a bucket."""
     found = s.smiles(s.surface(v.option_panel)).withColumn("bucket", s.dte_bucket(F.col("dte")))
-    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.median("atm_iv"), 5).alias("median_iv"), F.round(F.median("n_quotes"), 3).alias("median_quotes"))
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value")) for c in ("atm_iv", "n_quotes"))))
+    middle = medians(found.select("bucket", both.alias("b")).select("bucket", "b.*"), ["bucket", "what"], "value")
+    of = lambda c: F.max(F.when(F.col("what") == c, F.col("median")))
+    return middle.groupBy("bucket").agg(F.max("n").alias("n"), F.round(of("atm_iv"), 5).alias("median_iv"), F.round(of("n_quotes"), 3).alias("median_quotes"))
 
 
 PAIN = """pain AS (SELECT s.trade_date, s.symbol, s.expiry, s.strike, max(s.n) AS n, sum(CASE WHEN o.opt_type = 'CE' THEN o.open_int * greatest(s.strike - o.strike, 0) ELSE o.open_int * greatest(o.strike - s.strike, 0) END) AS pain
@@ -135,7 +140,8 @@ def max_pain(v: Views) -> DataFrame:
 def max_pain_convergence(v: Views) -> DataFrame:
     spot = v.chains.select(*s.KEY, "spot", "dte")
     joined = s.max_pain(v.option_panel).join(spot, [*s.KEY]).withColumn("bucket", s.dte_bucket(F.col("dte")))
-    return joined.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("max_pain") / F.col("spot") - 1)), 8).alias("median_distance"))
+    middle = medians(joined.withColumn("distance", F.abs(F.col("max_pain") / F.col("spot") - 1)), ["bucket"], "distance")
+    return middle.select("bucket", "n", F.round("median", 8).alias("median_distance"))
 
 
 @query("max_pain_gap_at_expiry", f"""WITH {PAIN}, sp AS (SELECT DISTINCT symbol, trade_date AS day, spot FROM chains),
