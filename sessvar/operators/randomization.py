@@ -47,11 +47,11 @@ def did_by_design(designs: DataFrame, sums: DataFrame, treated: str, control: st
 
 
 def ranked(stats: DataFrame, sign: int, *by: str) -> DataFrame:
-    """The event's ``stat`` among those of pseudo-events: how many, their median, percentile, p on the side that ``sign`` expects, and whether it lies in the middle
+    """The event's ``stat`` among those of pseudo-events: how many, their median and 5% and 95% points, percentile, p on the side that ``sign`` expects, and whether it lies in the middle
     nine tenths. Without a statistic of the event there is no row."""
     star = stats.filter("is_event AND stat IS NOT NULL").select(*by, F.col("stat").alias("star"))
     null = stats.filter("NOT is_event AND stat IS NOT NULL")
     null = null.join(F.broadcast(star), list(by)) if by else null.crossJoin(F.broadcast(star))
     extreme = F.col("stat") <= F.col("star") if sign < 0 else F.col("stat") >= F.col("star")
-    out = null.groupBy(*by, "star").agg(F.count("*").alias("n"), F.median("stat").alias("null_median"), F.count_if(extreme).alias("extreme"), F.avg((F.col("stat") < F.col("star")).cast("double")).alias("below"))
-    return out.select(*by, "star", "n", "null_median", (100 * F.col("below")).alias("percentile"), ((1 + F.col("extreme")) / (1 + F.col("n"))).alias("p"), F.col("below").between(0.05, 0.95).alias("inside"))
+    out = null.groupBy(*by, "star").agg(F.count("*").alias("n"), F.median("stat").alias("null_median"), F.percentile("stat", F.lit(0.05)).alias("q05"), F.percentile("stat", F.lit(0.95)).alias("q95"), F.count_if(extreme).alias("extreme"), F.avg((F.col("stat") < F.col("star")).cast("double")).alias("below"))
+    return out.select(*by, "star", "n", "null_median", "q05", "q95", (100 * F.col("below")).alias("percentile"), ((1 + F.col("extreme")) / (1 + F.col("n"))).alias("p"), F.col("below").between(0.05, 0.95).alias("inside"))

@@ -72,7 +72,7 @@ def randomization_did(v: Views) -> DataFrame:
 
 @query("randomization_did_p", f"""WITH RECURSIVE {DESIGNS}, ta AS (SELECT tau FROM dx WHERE NOT is_event AND did IS NOT NULL), ga AS (SELECT min(tau) AS tau FROM ta UNION ALL SELECT (SELECT min(ta.tau) FROM ta WHERE ta.tau >= ga.tau + {2 * r.REACH}) FROM ga WHERE ga.tau IS NOT NULL),
     nu AS (SELECT n.did, e.did AS star FROM dx n CROSS JOIN (SELECT did FROM dx WHERE is_event AND did IS NOT NULL) e WHERE NOT n.is_event AND n.did IS NOT NULL)
-    SELECT round(star, 6) AS star, count(*) AS n, round(median(did), 6) AS null_median, round(100 * avg(CASE WHEN did < star THEN 1e0 ELSE 0e0 END), 6) AS percentile, round((1 + count(*) FILTER (WHERE did >= star)) / (1e0 + count(*)), 6) AS p,
+    SELECT round(star, 6) AS star, count(*) AS n, round(median(did), 6) AS null_median, round(quantile_cont(did, 0.05), 6) AS q05, round(quantile_cont(did, 0.95), 6) AS q95, round(100 * avg(CASE WHEN did < star THEN 1e0 ELSE 0e0 END), 6) AS percentile, round((1 + count(*) FILTER (WHERE did >= star)) / (1e0 + count(*)), 6) AS p,
       avg(CASE WHEN did < star THEN 1e0 ELSE 0e0 END) BETWEEN 0.05 AND 0.95 AS inside, (SELECT count(tau) FROM ga) AS disjoint FROM nu GROUP BY star""")
 def randomization_did_p(v: Views) -> DataFrame:
     """Percentile and upper-sided p of the event's difference, and how many designs share no session."""

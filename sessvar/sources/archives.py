@@ -9,10 +9,12 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.csv as pc_csv
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "daily_archive"
@@ -68,6 +70,28 @@ class Archives(DataSource):
         return _Reader(self.options)
 
 
+def write_archives(rows: DataFrame, folder: str, day: str) -> DataFrame:
+    """A zipped CSV of each day's rows (day, then the other columns as text) in ``folder``, any store that pyarrow opens by its address: file and rows of each.
+
+    For tables of an exchange's size a day: a day's rows are one task's. A run that is repeated writes the same files again.
+    """
+    columns = [c for c in rows.columns if c != day]
+
+    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name = f"day_{key[0]:%Y%m%d}.csv.zip"
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(name[:-4]), group[columns].sort_values(columns).to_csv(index=False))
+        with store.open_output_stream(f"{base}/{name}") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"file": [name], "n": [len(group)]})
+
+    text = rows.select(F.col(day).cast("date").alias(day), *(F.col(c).cast("string").alias(c) for c in columns))
+    return text.groupBy(day).applyInPandas(work, "file string, n long")
+
+
 def listed(spark: SparkSession, pattern: str) -> list[str]:
     """Files of any store that the session reads, by glob: a name a day, listed by the driver."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)

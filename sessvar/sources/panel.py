@@ -76,7 +76,7 @@ def write_observed(table: DataFrame, path: str, settings: dict, inputs: DataFram
     input files (:func:`files.digests`), the settings' digest, versions and the commit. Columns may be of any type that hashes, which maps do not."""
     spark, seen = table.sparkSession, Observation()
     table.observe(seen, *_metrics(table.columns)).write.mode("overwrite").parquet(path)
-    made = {"name": Path(path).name, "columns": dict(table.dtypes), "config": text_digest(settings), "seed": seed, "commit": commit(), "python": platform.python_version(), "spark": pyspark.__version__, **seen.get}
+    made = {"name": Path(path).name, "columns": [list(c) for c in table.dtypes], "config": text_digest(settings), "seed": seed, "commit": commit(), "python": platform.python_version(), "spark": pyspark.__version__, **seen.get}
     made["inputs"] = {r["file"]: r["sha256"] for r in inputs.collect()} if inputs is not None else {}
     write_text(spark, sidecar(path), json.dumps(made, indent=2, sort_keys=True, default=str))
     return made
@@ -85,6 +85,6 @@ def write_observed(table: DataFrame, path: str, settings: dict, inputs: DataFram
 def intact(spark: SparkSession, path: str) -> bool:
     """Whether a table still has the rows that its side-car tells of."""
     made = json.loads(read_text(spark, sidecar(path)))
-    now = spark.read.parquet(path)
-    found = now.agg(*_metrics(list(made["columns"]))).first().asDict() if set(now.columns) == set(made["columns"]) else {}
+    now, columns = spark.read.parquet(path), [name for name, _ in made["columns"]]
+    found = now.agg(*_metrics(columns)).first().asDict() if set(now.columns) == set(columns) else {}
     return {k: str(v) for k, v in found.items()} == {k: str(made[k]) for k in ("rows", "xor", "sum")}

@@ -90,7 +90,7 @@ def test_days_of_a_calendar_prune_folders_at_run_time(spark, written, tmp_path):
 def test_a_manifest_tells_of_the_rows_as_they_were_written(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("x\n1\n")
-    table = spark.createDataFrame([(i, f"t{i}", [i, None], None if i % 3 else 0.5) for i in range(100)], "a long, b string, c array<int>, d double").repartition(5)
+    table = spark.createDataFrame([(i, f"t{i}", [i, None], None if i % 3 else 0.5) for i in range(100)], "z long, b string, c array<int>, a double").repartition(5)
     path = str(tmp_path / "table")
     made = panel.write_observed(table, path, {"least": 5}, files.digests(spark, str(tmp_path / "in")), seed=7)
     side = json.loads((tmp_path / "table.manifest.json").read_text())
