@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import dropped, saved, scratch
+from ..sources.scratch import dropped, only, saved, scratch
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-__all__ = ["DOCUMENT_COLUMNS", "WORD", "documents", "dropped", "encoded", "id_crc", "saved", "scratch", "slices", "texts"]
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "documents", "dropped", "encoded", "id_crc", "only", "saved", "scratch", "slices", "texts"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

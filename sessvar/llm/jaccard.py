@@ -36,9 +36,9 @@ NUM, DEN = 90, 100
 BLOCK = 2048
 ROUNDS = 3
 #: Words whose counts tasks hold, the commonest ones: a fixed size, for n-grams' order alone, which may be any.
-KNOWN = 1 << 18
-#: Words a worker remembers between documents; ranges of the parity filter; bits of the filter of texts to read again.
-REMEMBERED = 1 << 20
+KNOWN = 1 << 17
+#: Words a worker remembers or counts before it starts anew; ranges of the parity filter; bits of the filter of texts to read again.
+REMEMBERED = 1 << 18
 RANGES = 1024
 TEXT_BITS = 1 << 23
 SEED = 7
@@ -126,10 +126,12 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for part in common.slices([batch.select([0])]):
                 for text in common.encoded(part):
                     held.update(text.lower().split())
-                if len(held) > REMEMBERED:
-                    yield told()
-                    held.clear()
+                    if len(held) > REMEMBERED:
+                        yield told()
+                        held.clear()
         yield told()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     counted = common.saved(common.texts(docs).select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "jaccard-words")
     levels = counted.groupBy(F.floor(4 * F.log2("n")).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
@@ -175,6 +177,7 @@ def rows_of(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
                         parities.append(None)
                 columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
                 yield pa.record_batch(columns, names=["doc_id", "text_hash", "n", "digest", "prefix", "parity"])
+        pa.default_memory_pool().release_unused()
 
     return _hashed(docs).mapInArrow(work, _ROW)
 
@@ -329,6 +332,7 @@ def told_pairs(members: DataFrame, results: DataFrame | None, every: bool, num:
                     yield told()
                     out.clear()
         yield told()
+        pa.default_memory_pool().release_unused()
 
     return sorted_.mapInArrow(work, _TOLD)
 
@@ -350,29 +354,21 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int = WORDS) -> DataFrame
         for batch in batches:
             wanted = set_bits[np.mod(batch.column(1).to_numpy(), TEXT_BITS)].astype(bool)
             for part in common.slices([batch.filter(pa.array(wanted))]):
-                found = [seen.grams(text, words)[0].tobytes() for text in common.encoded(part)]
-                digests = [hashlib.md5(f, usedforsecurity=False).digest() for f in found]
-                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["digest", "items"])
+                found = [seen.grams(text, words)[0] for text in common.encoded(part)]
+                digests = [hashlib.md5(f.tobytes(), usedforsecurity=False).digest() for f in found]
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["digest", "items"])
+        pa.default_memory_pool().release_unused()
 
-    read = _hashed(docs).mapInArrow(work, "digest binary, items binary").groupBy("digest").agg(F.first("items").alias("items"))
+    read = _hashed(docs).mapInArrow(work, "digest binary, items array<long>").groupBy("digest").agg(F.first("items").alias("items"))
     return common.saved(read.join(needed.select("id", "digest"), "digest").select("id", "items"), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b, linked): whether the two sets link, by their exact intersection."""
+    """(a, b, linked): whether the two sets link, by their exact intersection, which built-in functions count."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items")
-    return joined.mapInArrow(work, "a long, b long, linked boolean")
+    both = F.size(F.array_intersect("a_items", "b_items")).cast("long")
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("a_items") + F.size("b_items")).cast("long").alias("sizes"))
+    return counted.select("a", "b", (den * F.col("both") >= num * (F.col("sizes") - F.col("both"))).alias("linked"))
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame | None:
@@ -398,19 +394,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NU
     return known.filter("linked").select("a", "b") if known is not None else None
 
 
-def near_rows(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and root of every row. ``root``, a class, is each component's own; null for an empty set."""
+def linked_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """:func:`rows_of` and :func:`classes_of`, saved, and the :func:`links` between classes."""
     rows = common.saved(rows_of(docs, words, num, den), "jaccard-rows")
     classes = classes_of(rows)
-    found = links(docs, classes, words, num, den, block, rounds)
-    rooted = classes.select("digest", "least", F.col("id").alias("root"))
-    if found is not None:
-        rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id", "root")
-    columns = ("doc_id", "text_hash", F.col("n").alias("n_shingles"))
-    with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select(*columns, "component_id", "root")
-    return with_words.unionByName(rows.filter("digest IS NULL").select(*columns, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+    return rows, classes, links(docs, classes, words, num, den, block, rounds)
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -418,7 +406,14 @@ def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DE
 
     Rows of one doc_id may lie in different components. A component of null ids alone has a null id.
     """
-    return near_rows(docs, words, num, den, block, rounds).select("doc_id", "n_shingles", "component_id")
+    rows, classes, found = linked_classes(docs, words, num, den, block, rounds)
+    rooted = classes.select("digest", "least", F.col("id").alias("root"))
+    if found is not None:
+        rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id")
+    with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return with_words.unionByName(rows.filter("digest IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ The hashes that earlier documents hold lie in runs: tables bucketed and sorted b
 A batch of later documents is merge-anti-joined with the runs; what is left of it, with the smallest
 document that holds each hash, is the batch's own run and joins the first level. When a level has
 FANOUT runs they are merged into one of the next. A line stays just where its document is the one in the batch's new run.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 :func:`mux` stores bytes losslessly as frames of a raw 8-bit grey video track; :func:`demux` walks the
 boxes of any such file and decodes the sample tables, which give codec, duration and the byte ranges
 of samples and keyframes without touching the payload. :func:`media_columns` does both per document.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ of its block indices, once per pass over the source, and are joined to the block
 Independent draws miss a source's exact number of slots by chance; the slots that a source drew
 beyond its number are dealt, in order, to those that drew too few. So the mix takes every block of a
 source equally often to within one, and a source at three times its size takes every block thrice.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

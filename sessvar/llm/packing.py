@@ -5,6 +5,8 @@ from how many there are of each length. The plan is made from that histogram: le
 segment tree over the remaining capacities finds the tightest open bin that still fits, and runs of equal
 pieces are placed at once. It has runs of bins, not bins, and so stays small whatever the corpus. Each piece is
 then numbered among those of its length, and its run gives its sequence and offset.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ day number), put through a keyed Feistel permutation of all values of that forma
 with its separators and case. Check digits are made anew, dates stay dates, addresses stay addresses.
 The permutation depends on the key and the kind alone, so equal values stay linked across documents,
 different ones stay apart, and whoever has the key can invert it.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 Each class has a mean and a covariance, shrunk toward the pooled covariance and toward its own
 diagonal. A document's score is the logistic of the difference of the two Gaussian log densities,
 taken from cached Cholesky factors, over a temperature.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

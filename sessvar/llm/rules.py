@@ -2,6 +2,8 @@
 
 The trees are grown on histograms of a bounded sample of labelled documents, with the direction of chosen
 features held fixed, and flattened into numpy node arrays that score a batch of documents a level at a time.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ Every shard has its own preference order over the slots of a prime-sized table (
 stride derived from its name). The shards take turns, each claiming the first slot of its order that
 is still free, until the table is full. A key is placed by one hash and one lookup, shards differ by
 at most one slot, and removing a shard moves few keys of the others.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ radius agrees under one of the 2 ** (radius + 1) - 1 masks, with no chance of a
 Equal fingerprints are one node. Within a bucket a spanning forest of the links is made, never all
 pairs. A bucket too large for that is linked through middle points: two fingerprints are within 2m bits
 just when some value is within m bits of both, so links to such values connect the same nodes, in linear size.
+
+Odd input is handled as :mod:`.common` states, but for what is said here.
 """
 
 from __future__ import annotations

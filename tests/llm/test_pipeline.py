@@ -65,6 +65,24 @@ def test_near_copies_that_simhash_cannot_reach(spark):
     assert corpus_pipeline.dedup_near(spark, docs.filter("false"), SF).count() == 0
 
 
+def test_odd_rows_pass_through_all_stages(spark):
+    """Null ids, sources and texts, repeated rows, an extra column under a name that stages use, and no rows at all."""
+    good = [r["text"] for r in common.documents(spark, SF).filter("n_chars > 300").limit(25).collect()]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(good)] * 2
+    rows += [(None, good[0] + " and more", None, None, None), (None, good[1] + " other", "en", "s1", 5), (None, good[1] + " other", "en", "s1", 5), (7, None, "en", "s1", 0), (8, "", None, None, None), (9, "x " * 50_000, "en", "s2", 100_000)]
+    for some in (rows, []):
+        docs = spark.createDataFrame([(*r, "clash") for r in some], "doc_id long, text string, lang string, source string, n_chars long, size string").repartition(3)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.saved(stage(spark, docs, SF), "odd-" + name.replace(" ", "-"))
+            assert name == "best-fit packing" or docs.columns == list(common.DOCUMENT_COLUMNS)
+        found = docs.collect()
+        assert bool(found) == bool(some)
+        by = {}
+        for r in found:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in parts) <= 2048 and sorted(parts)[0][0] == 0 for parts in by.values())
+
+
 def test_stages(spark):
     docs = common.documents(spark, SF).repartition(3)
     inputs, outputs = [], []
