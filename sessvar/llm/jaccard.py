@@ -36,9 +36,10 @@ NUM, DEN = 90, 100
 BLOCK = 2048
 ROUNDS = 3
 #: Words whose counts tasks hold, the commonest ones: a fixed size, for n-grams' order alone, which may be any.
-KNOWN = 1 << 17
-#: Words a worker remembers or counts before it starts anew; ranges of the parity filter; bits of the filter of texts to read again.
+KNOWN = 1 << 18
+#: Words a worker remembers, and words it counts, before it starts anew; ranges of the parity filter; bits of the filter of texts to read again.
 REMEMBERED = 1 << 18
+COUNTED = 1 << 20
 RANGES = 1024
 TEXT_BITS = 1 << 23
 SEED = 7
@@ -126,7 +127,7 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for part in common.slices([batch.select([0])]):
                 for text in common.encoded(part):
                     held.update(text.lower().split())
-                    if len(held) > REMEMBERED:
+                    if len(held) > COUNTED:
                         yield told()
                         held.clear()
         yield told()
@@ -394,11 +395,14 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, num: int = NU
     return known.filter("linked").select("a", "b") if known is not None else None
 
 
-def linked_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def linked_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """:func:`rows_of` and :func:`classes_of`, saved, and the :func:`links` between classes."""
     rows = common.saved(rows_of(docs, words, num, den), "jaccard-rows")
     classes = classes_of(rows)
-    return rows, classes, links(docs, classes, words, num, den, block, rounds)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    # the links alone stay of what their search writes
+    found = common.only(docs.sparkSession, lambda: links(docs, classes, words, num, den, block, rounds) or none, "jaccard-links")
+    return rows, classes, found
 
 
 def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -407,9 +411,7 @@ def near_sets(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DE
     Rows of one doc_id may lie in different components. A component of null ids alone has a null id.
     """
     rows, classes, found = linked_classes(docs, words, num, den, block, rounds)
-    rooted = classes.select("digest", "least", F.col("id").alias("root"))
-    if found is not None:
-        rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
+    rooted = classes.join(graph.components(found), F.col("id") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(of_root, "root").select(F.col("digest").alias("d"), "component_id")
     with_words = rows.filter("digest IS NOT NULL").join(of_class.hint("merge"), F.col("digest") == F.col("d")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -17,7 +17,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 _KEY = ("doc_id", "text_hash")
 
 
-def _classes(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+def _classes(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_hash and ``id``, the set's class (-1 without words), of every distinct (doc_id, text), and the links between classes."""
     rows, classes, found = jaccard.linked_classes(docs, words, num, den)
     own = rows.select(*_KEY, "digest").distinct().join(classes.select(F.col("digest").alias("c"), "id").hint("merge"), F.col("digest") == F.col("c"), "left")
@@ -39,7 +39,7 @@ def groups(docs: DataFrame, words: int = SHINGLE, num: int = NUM, den: int = DEN
     of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
     edges = met.join(least, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
     edges = edges.union(close.join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id"))
-    roots = graph.components(edges.union(similar) if similar is not None else edges)
+    roots = graph.components(edges.union(similar))
     return both.join(roots, F.col("id") == F.col("node"), "left").select(*_KEY, F.coalesce("root", "id").alias("near"))
 
 
