@@ -2,7 +2,8 @@
 
 A window takes the observations whose whole span lies in it. Each is fitted without and with the macro events; the expiry day
 has no multiplier of its own there, since within one regime it is nearly a weekday. All fits and draws are one job: a group is a
-window, a specification and BATCH draws, and holds one symbol's quotes in that window, bounded by its calendar and its listed maturities.
+window and BATCH draws. Dates whose quotes span the same sessions are one shape, a few hundred in any calendar; a fit needs no more of them than
+how often they were drawn and their quotes' means, so a group holds a number and a few values a date and fits shapes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from . import clock
 
 #: Draws of a whole regime and of a half of one, and the effects beside the weekdays by specification. Draws a task makes.
 FULL_DRAWS, HALF_DRAWS, BATCH = 300, 100, 25
+#: Sessions whose dates lie in one row of :func:`blocks`.
+BLOCK = 8192
 SPECS = {"weekday": ("weekend",), "macro": ("weekend", "macro_event")}
 WEEK = ("Mon", *clock.DAYS)
 WINDOW = ("symbol", "label", "half")
@@ -62,11 +65,6 @@ class Quotes:
         self.totals = np.add.reduceat(self.n, self.starts)
         self.y = self.demeaned(ln_var[:, None])[:, 0]
 
-    @classmethod
-    def of(cls, rows: pd.DataFrame) -> Quotes:
-        rows = rows.sort_values(["t", "obs_id"])
-        return cls(rows[PATTERNS].to_numpy(float), rows["t"].to_numpy(), rows["ln_var"].to_numpy(float))
-
     def demeaned(self, values: np.ndarray) -> np.ndarray:
         return values - np.repeat(np.add.reduceat(values * self.n[:, None], self.starts, axis=0) / self.totals[:, None], self.sizes, axis=0)
 
@@ -109,23 +107,53 @@ def levels(theta: np.ndarray, kept: list[int], sessions: np.ndarray) -> dict[str
     return out | {clock.PARAMETERS[k]: float(np.exp(whole[k])) for k in kept if k >= len(clock.DAYS)}
 
 
-def fits_and_draws(rows: pd.DataFrame, spec: str, first: int, draws: int) -> Iterator[tuple]:
+class Shapes:
+    """A window's dates by shape: the sessions by pattern of each of their quotes. Dates of a shape differ in their log variances alone."""
+
+    def __init__(self, blocks: pd.DataFrame) -> None:
+        blocks = blocks.sort_values("block")
+        names = sorted({name for own in blocks["shapes"] for name in own})
+        number = {name: i for i, name in enumerate(names)}
+        codes = [np.array([number[name] for name in own])[np.frombuffer(b, np.int32)] for own, b in zip(blocks["shapes"], blocks["codes"], strict=True)]
+        self.codes, values = np.concatenate(codes), np.concatenate([np.frombuffer(b) for b in blocks["ln_var"]])
+        rows = [name.split("|") for name in names]
+        sizes = np.array([len(r) for r in rows])
+        self.n, self.dates = len(values), len(self.codes)
+        self.of = np.repeat(np.arange(len(names)), sizes)
+        self.quotes = Quotes(np.array([q.split() for r in rows for q in r], float), self.of, np.zeros(len(self.of)))
+        # of each quote its date and its place among the rows of shapes, quotes of a date one after another
+        own = sizes[self.codes]
+        self.date = np.repeat(np.arange(self.dates), own)
+        self.place = np.arange(self.n) - np.repeat(np.cumsum(own) - own, own) + np.repeat(self.quotes.starts[self.codes], own)
+        self.values = values - (np.bincount(self.date, values) / own)[self.date]
+
+    def drawn(self, times: np.ndarray) -> np.ndarray:
+        """How often each shape occurs if each date counts ``times`` over; the shapes' quotes become the means of these dates'."""
+        counted = np.bincount(self.codes, times, len(self.quotes.sizes))
+        sums = np.bincount(self.place, times[self.date] * self.values, len(self.of))
+        self.quotes.y = self.quotes.demeaned((sums / np.maximum(counted, 1)[self.of])[:, None])[:, 0]
+        return counted
+
+
+def fits_and_draws(shapes: Shapes, sessions: np.ndarray, spec: str, first: int, draws: int) -> Iterator[tuple]:
     """Rows of RAW after the keys: the point as draw -1 if ``first`` is 0, and draws from ``first`` on. A draw that does not settle is left out."""
-    sessions = np.array(rows["sessions"].iloc[0], float)
     among = [k for k, name in enumerate(clock.PARAMETERS) if k < len(clock.DAYS) or name in SPECS[spec]]
     kept = clock.identifiable(sessions, among)
-    quotes, features = Quotes.of(rows), clock.FEATURES[:, kept]
-    n, dates = len(rows), len(quotes.sizes)
+    quotes, features = shapes.quotes, clock.FEATURES[:, kept]
+    n, dates = shapes.n, shapes.dates
     dropped = ",".join(clock.PARAMETERS[k] for k in among if k not in kept)
     reason, theta = "", None
+    each = shapes.drawn(np.ones(dates))
+    # rows of shapes as heavy as all that are alike: the design's products, singular values and rank are those of the quotes
+    heavy = np.sqrt(each)[shapes.of][:, None]
     if n < clock.LEAST_ROWS:
         reason = f"{n} observations"
     elif not kept or n - dates - len(kept) <= 0:
         reason = "no residual degree of freedom"
-    elif np.linalg.matrix_rank(quotes.linearised(np.zeros(len(kept)), features)[1]) < len(kept):
+    elif _rank(quotes.linearised(np.zeros(len(kept)), features)[1] * heavy, n) < len(kept):
         reason = "demeaned design of too low a rank"
     else:
-        theta = quotes.solved(features, np.zeros(len(kept)), np.ones(dates))
+        theta = quotes.solved(features, np.zeros(len(kept)), each)
         reason = "" if theta is not None else "least squares did not settle"
     if theta is None:
         if first == 0:
@@ -133,31 +161,58 @@ def fits_and_draws(rows: pd.DataFrame, spec: str, first: int, draws: int) -> Ite
         return
     if first == 0:
         error, slope = quotes.linearised(theta, features)
+        whole, slope = shapes.values - (quotes.y - error)[shapes.place], slope * heavy
         low = np.linalg.svd(slope, compute_uv=False)
         spread = np.diag(np.linalg.pinv(slope.T @ slope)) * (slope**2).sum(axis=0)
         vif = {clock.PARAMETERS[k]: float(s) for k, s in zip(kept, spread, strict=True)}
         condition = float(low[0] / low[-1]) if low[-1] > 0 else float("inf")
         for name, value in levels(theta, kept, sessions).items():
-            yield -1, name, value, vif.get(name), condition, n, dates, float(np.sqrt(np.mean(error**2))), dropped, ""
+            yield -1, name, value, vif.get(name), condition, n, dates, float(np.sqrt(np.mean(whole**2))), dropped, ""
     for draw in range(first, min(first + BATCH, draws)):
         times = np.bincount(np.random.default_rng([0, draw]).integers(0, dates, dates), minlength=dates)
-        found = quotes.solved(features, theta, times)
+        found = quotes.solved(features, theta, shapes.drawn(times))
         if found is not None:
             yield from ((draw, name, value, None, None, n, dates, None, dropped, "") for name, value in levels(found, kept, sessions).items())
 
 
-def _fit_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    *names, spec, first = key
+def _rank(design: np.ndarray, n: int) -> int:
+    """The rank of ``n`` rows that ``design`` stands for."""
+    values = np.linalg.svd(design, compute_uv=False)
+    return int((values > values.max() * max(n, design.shape[1]) * np.finfo(float).eps).sum())
+
+
+def _fit_group(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+    *names, first = key
     columns = [part.split()[0] for part in RAW.split(",")]
-    return pd.DataFrame([(*names, spec, *r) for r in fits_and_draws(rows, spec, int(first), int(rows["n_boot"].iloc[0]))], columns=columns)
+    shapes, sessions, draws = Shapes(blocks), np.array(blocks["sessions"].iloc[0], float), int(blocks["n_boot"].iloc[0])
+    return pd.DataFrame([(*names, spec, *r) for spec in SPECS for r in fits_and_draws(shapes, sessions, spec, int(first), draws)], columns=columns)
+
+
+def _block(key: tuple, dates: pd.DataFrame) -> pd.DataFrame:
+    dates = dates.sort_values("t")
+    codes, shapes = pd.factorize(dates["shape"])
+    values = np.concatenate([np.asarray(v, float) for v in dates["ln_var"]])
+    return pd.DataFrame([(*key, dates["sessions"].iloc[0], shapes.tolist(), codes.astype(np.int32).tobytes(), values.tobytes())])
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Windows of :func:`designed` in rows of BLOCK sessions' dates: their shapes, each date's shape by its number among these, and log variances, all by date."""
+    quote = F.struct(F.concat_ws(" ", *PATTERNS).alias("counts"), "ln_var")
+    by = (*WINDOW, "n_boot")
+    dates = rows.groupBy(*by, "t").agg(F.sort_array(F.collect_list(quote)).alias("q"), F.first("sessions").alias("sessions"))
+    flat = dates.select(*by, F.floor(F.col("t") / BLOCK).alias("block"), "t", "sessions", F.array_join("q.counts", "|").alias("shape"), F.col("q.ln_var").alias("ln_var"))
+    kinds = dict(flat.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "block", "sessions")) + ", shapes array<string>, codes binary, ln_var binary"
+    return flat.groupBy(*by, "block").applyInPandas(_block, schema)
 
 
 def designed(observations: DataFrame, patterns: DataFrame, windows: DataFrame) -> DataFrame:
     """Each window's observations with their sessions by pattern, and the window's distinct sessions by pattern in ``sessions``."""
     spans = clock.spanned(inside(observations, windows).drop("split_rule"), patterns)
     by = (*WINDOW, "n_boot")
-    seen = [F.count_distinct(F.when(F.col("pattern") == p, F.col("session"))) for p in range(len(PATTERNS))]
-    sessions = spans.groupBy(*WINDOW).agg(F.array(*seen).alias("sessions"))
+    # made distinct first: a distinct count of each pattern would lay out every row once for each
+    distinct = spans.select(*WINDOW, "pattern", "session").distinct()
+    sessions = distinct.groupBy(*WINDOW).agg(F.array(*(F.count_if(F.col("pattern") == p) for p in range(len(PATTERNS)))).alias("sessions"))
     each = [F.count_if(F.col("pattern") == p).alias(name) for p, name in enumerate(PATTERNS)]
     return spans.groupBy(*by, "obs_id", "t", "opened", "ln_var").agg(*each).join(sessions, list(WINDOW))
 
@@ -165,8 +220,9 @@ def designed(observations: DataFrame, patterns: DataFrame, windows: DataFrame) -
 def resampled(rows: DataFrame) -> DataFrame:
     """Points and draws (RAW) of every window of :func:`designed`, by both specifications."""
     first = F.explode(F.sequence(F.lit(0), F.col("n_boot") - 1, F.lit(BATCH)))
-    tasks = rows.withColumn("spec", F.explode(F.array(*map(F.lit, SPECS)))).withColumn("first", first)
-    return tasks.groupBy(*FIT, "first").applyInPandas(_fit_group, RAW)
+    # of few bytes, which would else be few tasks
+    tasks = blocks(rows).withColumn("first", first).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *WINDOW, "first")
+    return tasks.groupBy(*WINDOW, "first").applyInPandas(_fit_group, RAW)
 
 
 def fit_table(raw: DataFrame, windows: DataFrame) -> DataFrame:

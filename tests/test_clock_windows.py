@@ -110,3 +110,30 @@ def test_windows_of_a_weekday_that_comes_back_keep_apart(spark):
     assert {r["label"] for r in found} == {"Thu regime", "Tue regime", "Thu regime 2"}
     halves = {r["half"]: r for r in found if r["label"] == "Tue regime"}
     assert halves["h1"]["end"] + dt.timedelta(1) == halves["h2"]["start"] and (halves["h1"]["start"], halves["h2"]["end"]) == (day(41), day(80))
+
+
+def test_draws_are_made_of_shapes_of_dates(spark, case, monkeypatch):
+    """What a group of draws holds does not grow with quotes or their sessions, and blocks of dates are put together in order."""
+    rows, _, _, designed, raw = case
+    monkeypatch.setattr(cw, "BLOCK", 16)
+    parts = cw.blocks(designed.filter("half = 'full'")).collect()
+    within = [r for r in rows if r[5] <= day(130)]
+    assert {c for p in parts for c in p.asDict()} == {*cw.WINDOW, "n_boot", "block", "sessions", "shapes", "codes", "ln_var"}
+    assert sum(len(p["codes"]) for p in parts) == 4 * len({r[2] for r in within}) and sum(len(p["ln_var"]) for p in parts) == 8 * len(within)
+    key = ("half", "spec", "draw", "parameter")
+    values = lambda table: {tuple(r[c] for c in key): r["value"] for r in table.collect()}
+    got, want = values(cw.resampled(designed)), values(raw)
+    assert got.keys() == want.keys() and all(want[k] is None or got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_sessions_of_a_window_are_counted_without_a_copy_for_each_pattern(spark):
+    schema = "obs_id long, symbol string, t long, es long, opened date, expiry date, ln_var double"
+    seen = spark.createDataFrame([(1, "X", 0, 4, day(0), day(4), 0.1), (2, "X", 0, 6, day(0), day(6), 0.2)], schema)
+    patterns = spark.createDataFrame([("X", s, 4 * (s % 5)) for s in range(9)], "symbol string, session long, pattern long")
+    windows = spark.createDataFrame([("X", "Tue regime", "full", day(0), day(9), "", 1)], "symbol string, label string, half string, start date, end date, split_rule string, n_boot int")
+    found = cw.designed(seen, patterns, windows)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = [0] * 24
+    for s in range(1, 7):
+        counts[4 * (s % 5)] += 1
+    assert [list(r["sessions"]) for r in found.collect()] == [counts, counts]
