@@ -48,8 +48,9 @@ def forwards(panel: DataFrame, rate: float = RATE, least: int = LEAST_PAIRS) ->
     """Put-call-parity forward of each expiry: the median over strikes, with the deviations' median and maximum. Expiring contracts raise."""
     discount = discounting(rate)
     each = pairs(unexpired(panel)).withColumn("f", F.col("strike") + (F.col("call") - F.col("put")) / discount)
-    # the join back and the deviations' median use the key's partitioning again
-    middle = each.join(each.groupBy(*KEY).agg(F.median("f").alias("fwd"), F.count("*").alias("n_pairs")).filter(F.col("n_pairs") >= least), [*KEY])
+    # over windows, so that pairs are made once; the deviations' median uses their partitioning again
+    whole = Window.partitionBy(*KEY)
+    middle = each.withColumns({"fwd": F.median("f").over(whole), "n_pairs": F.count("*").over(whole)}).filter(F.col("n_pairs") >= least)
     off = F.abs(F.col("f") - F.col("fwd"))
     return middle.groupBy(*KEY, "dte", "fwd", "n_pairs").agg(F.max(off).alias("fwd_dev_max"), F.median(off).alias("fwd_mad")).withColumn("discount", discount)
 

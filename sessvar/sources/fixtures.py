@@ -7,6 +7,7 @@ stand in it as they are. Nothing here is an operator.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,14 +104,17 @@ VIEWS: dict[str, str] = {
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+#: What a chain's quotes share, and the chains whose quotes one task makes: 22 of each.
+CHAIN, CHAINS_A_TASK = ("trade_date", "symbol", "expiry"), 20_000
 
-def _needs(text: str) -> list[str]:
-    """The views that ``text`` names, those they need first."""
+
+def _needs(text: str, given: Collection[str] = ()) -> list[str]:
+    """The views that ``text`` names, those they need first, but those ``given``."""
     out: list[str] = []
 
     def visit(sql: str) -> None:
         for name, body in VIEWS.items():
-            if name not in out and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+            if name not in out and name not in given and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
                 visit(body)
                 if name not in out:
                     out.append(name)
@@ -119,12 +123,12 @@ def _needs(text: str) -> list[str]:
     return out
 
 
-def with_views(sql: str) -> str:
-    """The query with the views it names in front of it."""
+def with_views(sql: str, given: Collection[str] = ()) -> str:
+    """The query with the views it names in front of it, but those ``given``."""
     sql = sql.strip()
     recursive = re.match(r"WITH\s+RECURSIVE\s+", sql)
     rest = re.sub(r"^WITH\s+(RECURSIVE\s+)?", "", sql) if sql.startswith("WITH") else None
-    ctes = [f"{name} AS ({VIEWS[name]})" for name in _needs(sql)]
+    ctes = [f"{name} AS ({VIEWS[name]})" for name in _needs(sql, given)]
     if not ctes:
         return sql
     head = "WITH RECURSIVE " if recursive else "WITH "
@@ -140,14 +144,21 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """Runs SQL over the tables and views. Table names are bound to this folder, not to the session's catalogue."""
-        whole = with_views(text)
-        used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", whole)]
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        """Runs SQL over the tables and views. Table names are bound to this folder, not to the session's catalogue; views ``given`` as frames stand for their SQL."""
+        whole = with_views(text, given)
+        bound = {t: self.table(t) for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", whole)} | given
         escaped = whole.replace("{", "{{").replace("}", "}}")
-        for t in used:
+        for t in bound:
             escaped = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", escaped)
-        return self.spark.sql(escaped, **{t: self.table(t) for t in used})
+        return self.spark.sql(escaped, **bound)
+
+    @property
+    def option_panel(self) -> DataFrame:
+        """Quotes over spread chains: parts are small and lie in few row groups, whose tasks would else make, price and group all quotes.
+        A task's chains are bounded and whole, so that what groups quotes by their chain moves none of them."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.part.count() // CHAINS_A_TASK))
+        return self.sql("SELECT * FROM option_panel", chains=self.chains.repartition(tasks, *CHAIN))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

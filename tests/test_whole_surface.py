@@ -35,3 +35,15 @@ def test_gap_at_expiry_uses_the_expiry_days_spot(spark):
     spots = spark.createDataFrame([("X", a, 80.0), ("X", b, 125.0), ("Y", b, 1.0)], "symbol string, day date, spot double")
     (r,) = surface.max_pain_gaps(pain, spots).collect()
     assert (r["dte"], r["gap_now"], r["gap_final"]) == (3, pytest.approx(25.0), pytest.approx(20.0))
+
+
+def test_quotes_are_made_and_grouped_by_tasks_of_few_chains(spark, monkeypatch):
+    """Parts lie in one row group, whose task would make every quote; a chain's quotes stay in the task that made them."""
+    monkeypatch.setattr(fixtures, "CHAINS_A_TASK", 20)
+    v = fixtures.Views(spark, SF)
+    panel = v.option_panel
+    assert panel.rdd.getNumPartitions() == -(-v.part.count() // 20) > 4
+    for found in (surface.pairs(panel), surface.forwards(panel.filter("dte >= 1")), surface.max_pain(panel)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert panel.count() == 22 * v.chains.count()
