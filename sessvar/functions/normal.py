@@ -32,15 +32,20 @@ def _horner(highest_first: tuple[float, ...], x: str) -> str:
     return out
 
 
-def cdf_sql(x: str) -> str:
-    """The cumulative distribution of column ``x``, which is named several times: give a column, not an expression."""
+def tail_sql(x: str) -> str:
+    """The upper tail at the absolute value of column ``x``."""
     a = f"abs({x})"
     inner = f"exp(-{x} * {x} / 2e0) * {_horner(TAIL_TOP[::-1], a)} / {_horner(TAIL_BOTTOM[::-1], a)}"
     fraction = a
     for n in (0.65, 4, 3, 2, 1):
         fraction = f"({a} + {number(n)} / {fraction})" if n != 0.65 else f"({a} + {number(0.65)})"
     outer = f"exp(-{x} * {x} / 2e0) / {fraction} / {number(2.506628274631)}"
-    tail = f"(CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < {number(7.07106781186547)} THEN {inner} ELSE {outer} END)"
+    return f"(CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < {number(7.07106781186547)} THEN {inner} ELSE {outer} END)"
+
+
+def cdf_sql(x: str, tail: str | None = None) -> str:
+    """The cumulative distribution of column ``x``, which is named several times: give a column, not an expression. ``tail``: a column that holds its tail."""
+    tail = tail or tail_sql(x)
     return f"(CASE WHEN {x} > 0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 

@@ -11,7 +11,7 @@ from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.normal import cdf_sql
+from ..functions.normal import cdf_sql, tail_sql
 
 #: Annual rate of discounting and days of a year.
 RATE, YEAR = 0.065, 365.0
@@ -108,6 +108,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 CHAIN, CHAINS_A_TASK = ("trade_date", "symbol", "expiry"), 20_000
 
 
+def _priced_in_steps(panel: str) -> str:
+    """The panel's SQL with the same operations in the same order, each tail of the normal a column of a step of its own.
+
+    A step is a generated method, and the JVM compiles none beyond 8,000 bytes: both distributions in one step are left to its interpreter.
+    """
+    head, steps = panel.split(" AS call\n", 1)
+    head = head.replace(f"({cdf_sql('d1')})", "below1").replace(f"({cdf_sql('d2')})", cdf_sql("d2", "tail2"))
+    steps = f"FROM (SELECT *, {cdf_sql('d1', 'tail1')} AS below1, {tail_sql('d2')} AS tail2 FROM (SELECT *, {tail_sql('d1')} AS tail1\n{steps.removesuffix(') d')}) f) e) d"
+    return f"{head} AS call\n{steps}"
+
+
 def _needs(text: str, given: Collection[str] = ()) -> list[str]:
     """The views that ``text`` names, those they need first, but those ``given``."""
     out: list[str] = []
@@ -158,7 +169,7 @@ class Views:
         """Quotes over spread chains: parts are small and lie in few row groups, whose tasks would else make, price and group all quotes.
         A task's chains are bounded and whole, so that what groups quotes by their chain moves none of them."""
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.part.count() // CHAINS_A_TASK))
-        return self.sql("SELECT * FROM option_panel", chains=self.chains.repartition(tasks, *CHAIN))
+        return self.sql(_priced_in_steps(VIEWS["option_panel"]), chains=self.chains.repartition(tasks, *CHAIN))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -1,6 +1,7 @@
 """The surface queries over every quote, and max pain's distance at expiry."""
 
 import datetime as dt
+import re
 
 import duckdb
 import pytest
@@ -47,3 +48,18 @@ def test_quotes_are_made_and_grouped_by_tasks_of_few_chains(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert panel.count() == 22 * v.chains.count()
+
+
+def test_quotes_are_priced_by_methods_that_the_jvm_compiles(spark):
+    """The same values as the view's SQL, whose generated method is beyond the 8,000 bytes that the JVM compiles."""
+    v = fixtures.Views(spark, SF)
+    plain, priced = v.sql("SELECT * FROM option_panel"), v.option_panel
+    assert priced.schema == plain.schema and priced.count() == plain.count() > 0
+    assert priced.exceptAll(plain).isEmpty()
+    largest = lambda df: max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen"))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans show no code before they have run
+    try:
+        assert largest(v.sql("SELECT * FROM option_panel")) > 8000 > largest(v.option_panel)
+        assert largest(surface.pairs(v.option_panel)) < 8000 and largest(surface.max_pain(v.option_panel)) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
