@@ -2,26 +2,27 @@
 
 The vocabulary drops white space and never joins characters across it, so a text's ids are its words'
 ids one after the other. Words repeat, so a worker keeps the ids of words and of their parts in
-bounded tables; only parts not seen before are merged, and odd words take the tokenizer as it is.
+bounded tables; only parts not in them are merged, and odd words take the tokenizer as it is.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import regex
 
-#: Words, and parts, that a worker remembers, some 250 bytes each; the tables start afresh when full, which changes no result.
-REMEMBERED = 600_000
-#: Parts merged in one call.
-GROUP = 16
+#: Words and parts of a generation, some 200 bytes each. A worker remembers two: a full one becomes the old one, from which what is met again is taken over. No result depends on it.
+REMEMBERED = 300_000
+#: Parts merged in one call, and words of the texts split at a time.
+GROUP, GROUP_WORDS = 64, 75_000
 
 #: Fixed values of the vocabulary: how a lower-cased word falls into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words of printable ASCII and Latin-1 alone; in them lower-casing and composing are the plain ones.
-PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+")
+PLAIN = re.compile(r"[\x21-\x7E\xA1-\xFF]+")
 #: The markers that the vocabulary itself would find inside a word.
 MARKER = "<|"
 
@@ -59,63 +60,64 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         letters = _byte_letters()
         self.letters = str.maketrans({chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)})
+        # ids of words and of parts, lower-cased, which as words of their own have the same
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        groups = [parts[i : i + GROUP] for i in range(0, len(parts), GROUP)]
-        found = self.merge.encode_batch_fast([" ".join(p.translate(self.letters) for p in g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found, strict=True):
-            ids = np.array(encoding.ids, np.uint32)
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for part, end in zip(group, ends.tolist(), strict=True):
-                self.parts[part] = raw[start:end]
-                start = end
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        texts = [p.decode() if p.isascii() else p.decode().translate(self.letters) for p in parts]
+        found = self.merge.encode_batch_fast([" ".join(texts[i : i + GROUP]) for i in range(0, len(texts), GROUP)], add_special_tokens=False)
+        ids = np.array([i for encoding in found for i in encoding.ids], "<u4")
+        ends, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+        self.words.update(zip(parts, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        plain, odd = {}, []
+        known, old, plain, odd, new = self.words, self.old, [], [], set()
         for word in words:
-            text = word.decode()
-            if PLAIN.fullmatch(text) and MARKER not in text:
-                plain[word] = parts_of(text)
+            if (ids := old.get(word)) is not None:
+                known[word] = ids
+            elif word.isalpha():  # of bytes: ASCII letters
+                plain.append((word, (word.lower(),)))
+            elif word[:-1].isalpha() and 0x21 <= word[-1] <= 0x7E:
+                low = word.lower()
+                plain.append((word, (low[:-1], low[-1:])))
+            elif PLAIN.fullmatch(text := word.decode()) and MARKER not in text:
+                plain.append((word, [p.encode() for p in parts_of(text)]))
             else:
                 odd.append((word, text))
-        needed = {p for parts in plain.values() for p in parts}
-        new = [p for p in needed if p not in self.parts]
+        for _, parts in plain:
+            for part in parts:
+                if part not in known:
+                    if (ids := old.get(part)) is not None:
+                        known[part] = ids
+                    else:
+                        new.add(part)
         if new:
-            self._learn_parts(new)
-            lost = [p for p in needed if p not in self.parts]  # the table started afresh
-            if lost:
-                self._learn_parts(lost)
-        for word, parts in plain.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+            self._learn_parts(list(new))
+        for word, parts in plain:
+            known[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         if odd:
             found = self.full.encode_batch_fast([t for _, t in odd], add_special_tokens=False)
             for (word, _), encoding in zip(odd, found, strict=True):
-                self.words[word] = np.array(encoding.ids, "<u4").tobytes()
+                known[word] = np.array(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
         out = []
-        # a few texts at a time, so that a fresh table holds all words of the group at hand
+        # a few texts at a time, so that memory follows them and not the batch
         start = 0
-        while start < len(split):
-            end, size = start, 0
-            while end < len(split) and (end == start or size + len(split[end]) <= max(REMEMBERED // 8, 1)):
-                size += len(split[end])
-                end += 1
+        while start < len(texts):
+            split, size = [], 0
+            while start < len(texts) and (not split or size <= GROUP_WORDS):
+                split.append(texts[start].split())
+                size += len(split[-1])
+                start += 1
+            if len(self.words) > REMEMBERED:
+                self.old, self.words = self.words, {}
             known = self.words
-            new = {w for words in split[start:end] for w in words if w not in known}
+            new = set().union(*split).difference(known)
             if new:
-                full = len(known) > REMEMBERED
-                self._learn(new | {w for words in split[start:end] for w in words} if full else new)
-            out += [b"".join([known[w] for w in words]) for words in split[start:end]]
-            start = end
+                self._learn(new)
+            out += [b"".join(map(known.__getitem__, words)) for words in split]
         return out
 
 

@@ -35,6 +35,20 @@ def test_small_memory_changes_nothing(full, monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_worker_remembers_each_part_once_and_learns_none_that_recurs_again(monkeypatch):
+    encoder = tokens.WordEncoder(PATH)
+    encoder.encode([b"the quick brown fox"])
+    held = lambda: sum(len(t) for name, t in vars(encoder).items() if isinstance(t, dict) and name != "letters")
+    assert held() == 4
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    encoder, learned, learn = tokens.WordEncoder(PATH), [], tokens.WordEncoder._learn_parts
+    monkeypatch.setattr(tokens.WordEncoder, "_learn_parts", lambda self, parts: (learned.extend(parts), learn(self, parts))[1])
+    for i in range(40):
+        encoder.encode([f"The {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}x".encode()])
+    assert len(learned) == len(set(learned)) == 41
+    assert held() <= 2 * (8 + 3)
+
+
 def best_fit(lengths, capacity):
     """Piece by piece, the plain way: remaining rooms of the bins in the order they were opened."""
     rooms = []
