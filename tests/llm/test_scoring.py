@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -248,3 +249,21 @@ def test_copies_of_a_document_are_told_apart(spark):
     alone = [got[i]["bits_per_byte"] for i in range(150) if i % 10]
     twice = [got[i]["bits_per_byte"] for i in range(0, 150, 10) if not held(1000 + i)]
     assert max(twice) < min(alone)
+
+
+def test_words_of_slices_are_those_of_python():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice([32, 9, 10, 11, 12, 13, 28, 31, 65, 97, 195, 160, 0, 133], 40).astype(np.uint8)) for _ in range(300)] + [b"", b" ", b"A"]
+    for low, n in ((0, 303), (7, 50), (290, 13), (300, 2), (5, 0)):
+        sizes, words = scoring.tokens(pa.array(texts, pa.binary()).slice(low, n))
+        want = [t.lower().split() for t in texts[low : low + n]]
+        assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_bits_of_few_tokens_at_a_time_are_those_of_the_whole_text():
+    coder = small_model()[0].coder
+    coded = coder.code([b"a bc zz d " * 50, b"", b"e new A"])
+    parts = [coded.bits(slice(at, at + 7)) for at in range(0, len(coded.ids), 7)]
+    whole = coded.stream
+    assert max(len(p.starts) for p in parts) == 7 and np.array_equal(np.concatenate([p.bit for p in parts]), whole.bit)
+    assert all(np.array_equal(np.concatenate([p.slots[k] for p in parts]), whole.slots[k]) for k in range(3))
