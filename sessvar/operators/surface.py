@@ -137,21 +137,23 @@ def volatility_in_row(panel: DataFrame) -> DataFrame:
 def smiles(quotes: DataFrame, least: int = 6) -> DataFrame:
     """Vega-weighted quadratic smile of each expiry by its normal equations: level at the money, its variance, residuals.
 
-    Sums of powers are one aggregation and the 3 by 3 system is solved in columns by cofactors; residuals take a second
-    pass, safer than expanding them. Groups of fewer quotes, or singular ones, have no row.
+    Sums of powers stand beside the quotes, so that ``quotes`` are made once, and the 3 by 3 system is solved in columns by
+    cofactors; residuals take a second pass, safer than expanding them. Groups of fewer quotes, or singular ones, have no row.
+    Quotes spread by their expiry stay in their tasks.
     """
-    good = quotes.filter(F.col("iv").isNotNull() & ~F.isnan("iv") & (F.col("vega") > 0)).withColumn("w", F.col("vega") * F.col("vega"))
+    good = quotes.filter(F.col("iv").isNotNull() & ~F.isnan("iv") & (F.col("vega") > 0)).dropna(subset=[*KEY]).withColumn("w", F.col("vega") * F.col("vega"))
     x, w, y = F.col("log_moneyness"), F.col("w"), F.col("iv")
-    powers = [F.sum(w * F.pow(x, F.lit(k))).alias(f"s{k}") for k in range(5)] + [F.sum(w * F.pow(x, F.lit(k)) * y).alias(f"b{k}") for k in range(3)]
-    sums = good.groupBy(*KEY).agg(F.count("*").alias("n_quotes"), *powers).filter(F.col("n_quotes") >= least)
+    whole = Window.partitionBy(*KEY)
+    powers = {f"s{k}": F.sum(w * F.pow(x, F.lit(k))).over(whole) for k in range(5)} | {f"b{k}": F.sum(w * F.pow(x, F.lit(k)) * y).over(whole) for k in range(3)}
+    sums = good.withColumns({"n_quotes": F.count("*").over(whole), **powers}).filter(F.col("n_quotes") >= least)
     s, b = [F.col(f"s{k}") for k in range(5)], [F.col(f"b{k}") for k in range(3)]
     c00, c01, c02 = s[2] * s[4] - s[3] * s[3], s[2] * s[3] - s[1] * s[4], s[1] * s[3] - s[2] * s[2]
     c11, c12, c22 = s[0] * s[4] - s[2] * s[2], s[1] * s[2] - s[0] * s[3], s[0] * s[2] - s[1] * s[1]
     det = s[0] * c00 + s[1] * c01 + s[2] * c02
     solved = sums.withColumn("det", det).filter("det > 0")
-    solved = solved.select(*KEY, "n_quotes", ((c00 * b[0] + c01 * b[1] + c02 * b[2]) / F.col("det")).alias("a0"), ((c01 * b[0] + c11 * b[1] + c12 * b[2]) / F.col("det")).alias("a1"), ((c02 * b[0] + c12 * b[1] + c22 * b[2]) / F.col("det")).alias("a2"), (c00 / F.col("det")).alias("inv00"))
+    solved = solved.select(*good.columns, "n_quotes", ((c00 * b[0] + c01 * b[1] + c02 * b[2]) / F.col("det")).alias("a0"), ((c01 * b[0] + c11 * b[1] + c12 * b[2]) / F.col("det")).alias("a1"), ((c02 * b[0] + c12 * b[1] + c22 * b[2]) / F.col("det")).alias("a2"), (c00 / F.col("det")).alias("inv00"))
     r = F.col("iv") - (F.col("a0") + F.col("a1") * x + F.col("a2") * x * x)
-    fitted = good.join(solved, [*KEY]).groupBy(*KEY, "n_quotes", "dte", "dte_trd", "ttm", "a0", "a1", "a2", "inv00").agg(F.sum(w * r * r).alias("wrss"), F.sqrt(F.avg(r * r)).alias("resid_rms"))
+    fitted = solved.groupBy(*KEY, "n_quotes", "dte", "dte_trd", "ttm", "a0", "a1", "a2", "inv00").agg(F.sum(w * r * r).alias("wrss"), F.sqrt(F.avg(r * r)).alias("resid_rms"))
     return fitted.withColumnRenamed("a0", "atm_iv").withColumn("var_atm_iv", F.col("wrss") / (F.col("n_quotes") - 3) * F.col("inv00")).drop("wrss", "inv00")
 
 

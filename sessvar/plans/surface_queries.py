@@ -102,22 +102,27 @@ def iv_surface(v: Views) -> DataFrame:
     return s.surface(v.option_panel).select(*s.KEY, "strike", "opt_type", F.round("fwd", 4).alias("fwd"), F.round("log_moneyness", 8).alias("log_moneyness"), F.round("iv", 6).alias("iv"), F.round("vega", 2).alias("vega"), F.round("total_var", 8).alias("total_var"), "dte_trd")
 
 
+def smiles(v: Views) -> DataFrame:
+    """Smiles of quotes that are spread once more after their volatilities: as many tasks as chains need, however few shuffle partitions there are."""
+    return s.smiles(v.spread(s.surface(v.option_panel)))
+
+
 @query("smile_fit", f"WITH RECURSIVE {SMILE} SELECT trade_date, symbol, expiry, n_quotes, round(atm_iv, 5) AS atm_iv, round(resid_rms, 5) AS resid_rms FROM sf")
 def smile_fit(v: Views) -> DataFrame:
-    return s.smiles(s.surface(v.option_panel)).select(*s.KEY, "n_quotes", F.round("atm_iv", 5).alias("atm_iv"), F.round("resid_rms", 5).alias("resid_rms"))
+    return smiles(v).select(*s.KEY, "n_quotes", F.round("atm_iv", 5).alias("atm_iv"), F.round("resid_rms", 5).alias("resid_rms"))
 
 
 @query("atm_variance", f"""WITH RECURSIVE {SMILE} SELECT trade_date, symbol, expiry, dte, dte_trd, n_quotes, round(atm_iv, 5) AS atm_iv, round(atm_iv * atm_iv * ttm, 7) AS total_var_raw,
     round(CASE WHEN atm_iv * atm_iv - var_atm_iv > 0 THEN (atm_iv * atm_iv - var_atm_iv) * ttm END, 7) AS total_var_corr, round(var_atm_iv / (atm_iv * atm_iv), 5) AS noise_share FROM sf""")
 def atm_variance(v: Views) -> DataFrame:
-    found = s.atm_variance(s.smiles(s.surface(v.option_panel)))
+    found = s.atm_variance(smiles(v))
     return found.select(*s.KEY, "dte", "dte_trd", "n_quotes", F.round("atm_iv", 5).alias("atm_iv"), F.round("total_var_raw", 7).alias("total_var_raw"), F.round("total_var_corr", 7).alias("total_var_corr"), F.round("noise_share", 5).alias("noise_share"))
 
 
 @query("dte_bucket_summary", f"""WITH RECURSIVE {SMILE} SELECT CASE WHEN dte <= 3 THEN '1-3' WHEN dte <= 7 THEN '4-7' WHEN dte <= 14 THEN '8-14' WHEN dte <= 30 THEN '15-30' ELSE '31+' END AS bucket, count(*) AS n, round(median(atm_iv), 5) AS median_iv, round(median(n_quotes), 3) AS median_quotes FROM sf GROUP BY 1""")
 def dte_bucket_summary(v: Views) -> DataFrame:
     """Smiles by days to expiry; the medians of few buckets are selected exactly by histograms, so no task holds a bucket."""
-    found = s.smiles(s.surface(v.option_panel)).withColumn("bucket", s.dte_bucket(F.col("dte")))
+    found = smiles(v).withColumn("bucket", s.dte_bucket(F.col("dte")))
     both = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value")) for c in ("atm_iv", "n_quotes"))))
     middle = medians(found.select("bucket", both.alias("b")).select("bucket", "b.*"), ["bucket", "what"], "value")
     of = lambda c: F.max(F.when(F.col("what") == c, F.col("median")))

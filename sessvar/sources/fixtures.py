@@ -168,8 +168,12 @@ class Views:
     def option_panel(self) -> DataFrame:
         """Quotes over spread chains: parts are small and lie in few row groups, whose tasks would else make, price and group all quotes.
         A task's chains are bounded and whole, so that what groups quotes by their chain moves none of them."""
+        return self.sql(_priced_in_steps(VIEWS["option_panel"]), chains=self.spread(self.chains))
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Chains, or what was made of them and has lost its place in Python, whole and about ``CHAINS_A_TASK`` a task."""
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.part.count() // CHAINS_A_TASK))
-        return self.sql(_priced_in_steps(VIEWS["option_panel"]), chains=self.chains.repartition(tasks, *CHAIN))
+        return rows.repartition(tasks, *CHAIN)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -63,3 +63,25 @@ def test_quotes_are_priced_by_methods_that_the_jvm_compiles(spark):
         assert largest(surface.pairs(v.option_panel)) < 8000 and largest(surface.max_pain(v.option_panel)) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_smiles_solve_quotes_once_and_fit_them_by_tasks_of_few_chains(spark, monkeypatch):
+    """Quotes lose their place in Python; spread by their chains again they are not fitted by the few tasks that the session's shuffle partitions make."""
+    monkeypatch.setattr(fixtures, "CHAINS_A_TASK", 20)
+    tasks = -(-fixtures.Views(spark, SF).part.count() // 20)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("smile_fit", "atm_variance"):
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "")
+        # chains for forwards, chains for quotes, solved quotes
+        assert len(re.findall(rf"Exchange hashpartitioning\(trade_date#\d+, symbol#\d+, expiry#\d+, {tasks}\), REPARTITION_BY_NUM", plan)) == 3
+
+
+def test_smiles_leave_out_quotes_without_an_expiry_or_a_volatility(spark):
+    a, b = dt.date(2024, 1, 1), dt.date(2024, 1, 4)
+    quote = lambda symbol, i, iv: (a, symbol, b, 3, 3, 3 / 365, i / 10, iv, 3.0 + i)
+    rows = [quote(symbol, i, 0.2 + 0.1 * i / 10 + 0.5 * i * i / 100) for symbol in ("X", None) for i in range(-3, 4)] + [quote("X", 1, None), quote("X", 1, float("nan")), *(quote("Y", i, 0.2) for i in range(5))]
+    quotes = spark.createDataFrame(rows, "trade_date date, symbol string, expiry date, dte long, dte_trd long, ttm double, log_moneyness double, iv double, vega double")
+    (r,) = surface.smiles(quotes).collect()
+    assert (r["symbol"], r["n_quotes"]) == ("X", 6) and r["atm_iv"] == pytest.approx(0.2) and r["a1"] == pytest.approx(0.1) and r["a2"] == pytest.approx(0.5)
+    assert r["resid_rms"] < 1e-12 and r["var_atm_iv"] < 1e-24
